@@ -445,3 +445,79 @@ def export_checklist(nodes: DataFrame) -> DataFrame:
         F.when(F.col("accepted") & ~plain, F.concat(F.lit("accepted "), status))
         .when(~F.col("accepted") & plain, F.concat(F.lit("*"), status))
         .otherwise(status).alias("taxonomicStatus"))
+
+
+# -- sums along paths ---------------------------------------------------------------------
+
+
+def path_sums(nodes: DataFrame) -> DataFrame:
+    """(nid, n_lt, n_le, weight): edge labels and edge weights summed from the root down.
+
+    The weight of an edge is the whole part of log2 of the number of children above it.
+    """
+    crowd = nodes.select(F.col("nid").alias("sup"), F.greatest("n_children", F.lit(1)).alias("_n"))
+    edges = nodes.select("nid", "sup", "relation").join(crowd, "sup", "left").select(
+        F.col("nid").alias("ancestor"), (F.col("relation") == rcc5.LT).cast("int").alias("lt"),
+        (F.col("relation") == rcc5.LE).cast("int").alias("le"), (F.length(F.bin("_n")) - 1).alias("w"))
+    return ancestor_closure(nodes).join(edges, "ancestor").groupBy("nid").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("lt", "n_lt"), ("le", "n_le"), ("w", "weight"))])
+
+
+def compare_in_tree_v8(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Add ``relation`` to pairs (x, y): both climb to equal level and the edge labels compose.
+
+    Along a chain of < and <= edges one < makes the whole chain <.
+    """
+    info = nodes.join(path_sums(nodes), "nid").select("nid", "path", "n_lt", "n_le")
+    out = pairs.join(prefixed(info, "x_"), F.col("x") == F.col("x_nid")).join(prefixed(info, "y_"), F.col("y") == F.col("y_nid"))
+    level = F.least(F.size("x_path"), F.size("y_path"))
+    out = out.withColumns({"x3": F.element_at("x_path", level), "y3": F.element_at("y_path", level)})
+    sums = info.select("nid", "n_lt", "n_le")
+    out = out.join(sums.toDF("x3", "x3_lt", "x3_le"), "x3").join(sums.toDF("y3", "y3_lt", "y3_le"), "y3")
+
+    def climb(p: str) -> Column:
+        return (F.when(F.col(p + "_n_lt") > F.col(p + "3_lt"), rcc5.LT)
+                .when(F.col(p + "_n_le") > F.col(p + "3_le"), rcc5.LE).otherwise(rcc5.EQ))
+
+    out = out.withColumns({"_rx": climb("x"), "_ry": climb("y")})
+    bridge = (F.when(F.col("x3") == F.col("y3"), rcc5.EQ)
+              .when((F.col("_rx") != rcc5.LE) & (F.col("_ry") != rcc5.LE), rcc5.DISJOINT).otherwise(rcc5.NOINFO))
+    relation = rcc5.compose(rcc5.compose(F.col("_rx"), bridge), rcc5.reverse(F.col("_ry")))
+    return out.select(*pairs.columns, relation.alias("relation"))
+
+
+def lineage_distance(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Add ``distance``: edge weights from x and y up to their MRCA, less 1 on each side that climbs."""
+    sums = path_sums(nodes).select("nid", "weight")
+    met = compare_in_tree(pairs, nodes).select(*pairs.columns, "mrca")
+    out = (met.join(sums.toDF("x", "_wx"), "x").join(sums.toDF("y", "_wy"), "y").join(sums.toDF("mrca", "_wm"), "mrca"))
+    side = lambda node, w: F.when(F.col(node) == F.col("mrca"), 0).otherwise(F.col(w) - F.col("_wm") - 1)
+    return out.select(*pairs.columns, "mrca", (side("x", "_wx") + side("y", "_wy")).alias("distance"))
+
+
+# -- repeated and senior names ------------------------------------------------------------
+
+
+def duplicate_records(nodes: DataFrame) -> DataFrame:
+    """(side, taxonID, best, n_children): records that repeat another's name, family and rank.
+
+    The best of a group is accepted, has more children, and a name closer to its parent's.
+    """
+    family = nodes.select(F.col("nid").alias("_fam"), F.col("canonicalName").alias("family"))
+    parent = nodes.select(F.col("nid").alias("sup"), F.col("canonicalName").alias("_parent"))
+    rows = (nodes.filter("level > 1").withColumn("_fam", F.coalesce("family_nid", F.lit(0)))
+            .join(family, "_fam", "left").join(parent, "sup", "left"))
+    name = [F.coalesce(F.col("parts." + f), F.lit("?")).alias(f) for f in ("genus", "epithet", "middle", "token", "year")]
+    order = F.struct((~F.col("accepted")).cast("int"), -F.col("n_children"),
+                     F.levenshtein("canonicalName", F.coalesce("_parent", F.lit(""))), F.col("taxonID"))
+    keys = ["side", "family", "genus", "epithet", "middle", "token", "year", "rank"]
+    rows = rows.select("side", F.coalesce("family", F.lit("")).alias("family"), *name, "rank", "taxonID", "n_children", order.alias("_o"))
+    groups = rows.groupBy(*keys).agg(F.min_by("taxonID", "_o").alias("best"), F.count("*").alias("_n")).filter("_n > 1")
+    return rows.join(groups, keys).filter("taxonID <> best").select("side", "taxonID", "best", "n_children")
+
+
+def senior_synonyms(nodes: DataFrame) -> DataFrame:
+    """(side, taxonID, accepted_id): synonyms published no later than their accepted name."""
+    target = nodes.select(F.col("nid").alias("sup"), F.col("taxonID").alias("accepted_id"), F.col("namePublishedInYear").alias("_year"))
+    rows = nodes.filter("not accepted and namePublishedInYear <> ''").join(target, "sup")
+    return rows.filter("_year <> '' and namePublishedInYear <= _year").select("side", "taxonID", "accepted_id")
