@@ -139,3 +139,101 @@ def homonyms(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
                            taxonRank=F.lit("species"), canonicalName=F.concat_ws(" ", "genus", "epithet"),
                            scientificNameAuthorship=author))
     )
+
+
+def tangled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checklist A with faults: chains of synonyms, orphans, rings, bad ranks, odd statuses."""
+    a = checklist_a(spark, sf_dir)
+    k = F.substr("taxonID", F.lit(2)).cast("bigint")
+    species = F.col("taxonRank") == "species"
+    a = a.withColumn("k", F.when(species, k))
+    k = F.col("k")
+
+    def change(column: str, *rules) -> Column:
+        out = F.col(column)
+        for test, value in rules:
+            out = F.when(F.coalesce(test, F.lit(False)), value).otherwise(out)
+        return out
+
+    last = table(spark, sf_dir, "customer").agg((F.max("c_custkey") - 3).alias("_last"))
+    a = a.crossJoin(F.broadcast(last))  # one row
+    inner = k < F.col("_last")
+    chain = inner & (k % 29).isin(1, 2)
+    orphan, lost, loose = k % 31 == 5, k % 37 == 6, k % 47 == 10
+    ring_up, ring_down = inner & (k % 86 == 8), inner & (k % 86 == 9)
+    nxt = F.concat(F.lit("S"), k + 1)
+    return a.select(
+        "_ord", "taxonID",
+        change("parentNameUsageID", (orphan, F.concat(F.lit("X"), k)), (ring_up, nxt),
+               (ring_down, F.concat(F.lit("S"), k - 1)), (chain | lost, F.lit(""))).alias("parentNameUsageID"),
+        change("acceptedNameUsageID", (chain, nxt), (lost & ~chain, F.concat(F.lit("Y"), k))).alias("acceptedNameUsageID"),
+        change("taxonRank", (k % 41 == 7, F.lit("genus")), (k % 53 == 11, F.lit("family"))).alias("taxonRank"),
+        change("taxonomicStatus", (k % 5 == 4, F.lit("valid")), (k % 59 == 3, F.lit("provisionally accepted name")),
+               (chain | lost | loose, F.lit("synonym"))).alias("taxonomicStatus"),
+        "canonicalName", "scientificNameAuthorship", "scientificName",
+        F.when(k.isNotNull(), (1800 + k * 7 % 150).cast("string")).otherwise("").alias("namePublishedInYear"))
+
+
+def varied_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One name per customer, in many spellings, some with parser output."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    g, e = _segment_name(_segment_number(F.col("c_mktsegment"))), letters(k)
+    base = F.concat_ws(" ", g, e)
+    year = (1750 + k % 260).cast("string")
+    i = k % 16
+    spelled = {
+        0: [base, F.lit(" (Smith, "), year, F.lit(")")], 1: [base, F.lit(" J. R. Miller & Jones, "), year],
+        2: [base, F.lit(" Someone, 1111")], 3: [base, F.lit(" × "), g, F.lit(" minor")],
+        4: [F.lit("? "), e, F.lit(" Gray, "), year], 5: [base, F.lit("  "), e, F.lit(" Gray, ("), year, F.lit(")")],
+        6: [g], 7: [base, F.lit(" Li, "), year], 8: [base, F.lit(" [sic] Weber sensu Daniel, 1884")],
+        9: [base, F.lit(" Fitz-Gibbon in O'Neil, "), year, F.lit(".")], 10: [g, F.lit(" ("), g, F.lit(") "), e],
+        11: [base, F.lit(" Linnaeus, "), year, F.lit(" (Gervais, 1847)")], 12: [g, F.lit(" ?")],
+        13: [base, F.lit(" minor major Thomas "), year], 14: [F.lit("")], 15: [base, F.lit(" de Winton, "), year],
+    }
+    sci = F.lit("")
+    for n, pieces in spelled.items():
+        sci = F.when(i == n, F.concat(*pieces)).otherwise(sci)
+    has_can, has_auth, has_gn = (k % 3 == 0) | (i == 14), k % 4 < 2, (k % 5 == 2) & ~i.isin(4, 12)
+    author = F.when(k % 7 == 0, F.concat(F.lit("Brown, "), year, F.lit(". "))).when(
+        k % 7 == 1, F.concat(F.lit("(A. Brown, "), year, F.lit(")"))).when(
+        k % 7 == 2, F.concat(F.lit("Brown, 1895 (Gervais, "), year, F.lit(")"))).otherwise(F.concat(F.lit("Brown, "), year))
+    author = F.when(has_auth, author).otherwise("")
+    full = F.when(has_gn & (i == 3), F.concat(base, F.lit(" × "), g, F.lit(" minor"))).when(
+        has_gn & (i == 13), F.concat(base, F.lit(" minor"))).when(has_gn & (i == 6), g).when(has_gn, base).otherwise("")
+    stem = F.when(full.contains(" "), F.substring(full, F.lit(1), F.length(full) - 1)).otherwise(full)
+    return c.select(
+        k.alias("_ord"), F.concat(F.lit("V"), k).alias("taxonID"), sci.alias("scientificName"),
+        F.when(has_can, base).otherwise("").alias("canonicalName"), author.alias("scientificNameAuthorship"),
+        F.when(k % 11 == 0, "species").when(k % 11 == 1, "subspecies").otherwise("").alias("taxonRank"),
+        F.when(k % 17 == 3, "common name").otherwise("").alias("nomenclaturalStatus"),
+        F.when(k % 2 == 0, g).otherwise("").alias("genericName"), F.when(k % 2 == 0, e).otherwise("").alias("specificEpithet"),
+        F.when(k % 2 == 0, e).otherwise("").alias("infraspecificEpithet"),
+        full.alias("gn_canonical_full"), stem.alias("gn_canonical_stem"),
+        F.when(has_gn & (k % 2 == 0), F.concat(F.lit("Brown "), year)).otherwise("").alias("gn_authorship"))
+
+
+def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dirty rows: faults that cleaning repairs, in a table with foreign headers."""
+    a = checklist_a(spark, sf_dir).filter("taxonRank = 'species'")
+    k = F.substr("taxonID", F.lit(2)).cast("bigint")
+    words = F.split("canonicalName", " ")
+    name = F.when(k % 6 == 0, F.concat(words[0], F.lit(" ("), words[0], F.lit(") "), words[1])).when(
+        k % 6 == 1, F.concat(words[0], F.lit("  "), words[1])).otherwise(F.col("canonicalName"))
+    author = F.col("scientificNameAuthorship")
+    spelled = (F.when(k % 5 == 0, F.concat(F.lit("("), author, F.lit(").")))
+               .when(k % 5 == 1, F.concat(F.lit("Gray and "), author)).when(k % 5 == 2, F.replace(author, F.lit(", "), F.lit(" ,, ")))
+               .otherwise(author))
+    return a.select(
+        "_ord",
+        F.when(k % 29 == 4, "").when(k % 31 == 7, F.concat(F.lit("S"), k - 1)).otherwise(F.col("taxonID")).alias("taxonId"),
+        F.col("parentNameUsageID").alias("dwc:parentNameUsageID"),
+        F.when(k % 8 == 0, F.col("taxonID")).when(k % 8 == 1, F.concat(F.lit("S"), k + 1)).otherwise("").alias("dwc:acceptedNameUsageID"),
+        F.col("taxonRank").alias("dwc:taxonRank"),
+        F.when(k % 23 == 5, "senior synonym").when(k % 8 == 1, "synonym").when(k % 8 == 2, "Dubious").when(
+            k % 8 == 3, "provisionally accepted").when(k % 8 == 4, "unplaced").otherwise("accepted").alias("dwc:taxonomicStatus"),
+        F.when(k % 9 < 6, F.concat_ws(" ", name, spelled)).otherwise("").alias("dwc:scientificName"),
+        F.when(k % 9 != 2, name).otherwise(F.when(k % 2 == 0, "")).alias("canonicalName"),
+        F.when(k % 4 < 3, spelled).otherwise("").alias("scientificNameAuthorship"),
+        F.when(k % 13 == 0, F.lit(None).cast("string")).otherwise((k % 6).cast("string")).alias("Landmark"),
+        F.concat_ws(",", F.concat(F.lit("src"), k % 3), F.concat(F.lit("old"), k % 5)).alias("source"))
