@@ -237,7 +237,7 @@ def parse(name: str, source: str, best: str = "coalesce(nullif(scientificName, '
     define(name, f"""select * , coalesce(u_token, o_token) p_token, least(u_year, o_year) p_year, coalesce(o_protonymp, u_protonymp) p_protonymp from ({both})""")
 
 
-for _p in "sh":
+for _p in "sht":
     parse(f"{_p}_parts", f"(select * from {_p}_tree)")
     define(f"{_p}_rec", f"""select r.*, f.canonicalName family, coalesce(nullif(p_epithet, ''), nullif(p_genus, ''), '?' || r.taxonID) key,
    case when p_epithet = '' and p_genus <> '' then lower(p_genus) else p_epithet end ep,
@@ -264,7 +264,7 @@ def classify(m: str, h: str) -> str:
 
 # -- matching -------------------------------------------------------------------------------
 
-for _p in "sh":
+for _p in "sht":
     define(f"{_p}_first", f"""select *, first_value(nid) over (partition by genus_above, coalesce(nullif(p_epithet, ''), canonicalName)
    order by path[1:len(path) - 1], nid) f from {_p}_rec where genus_above is not null""")
     define(f"{_p}_ties", f"""select x.nid, x.f "first" from {_p}_first x join {_p}_rec y on y.nid = x.f

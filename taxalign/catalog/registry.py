@@ -116,10 +116,10 @@ def _(spark, d):
 def _given_exemplars(spark: SparkSession, d: str) -> DataFrame:
     """Exemplar rows from the keys two customers share, with extra ids that tie neighbours."""
     c = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    row = lambda side, taxon, sid: F.struct(F.lit(side).alias("checklist"), taxon.alias("taxonID"), sid.alias("exemplar id"))
     rows = c.select(F.inline(F.array(
-        F.struct(F.lit("A").alias("checklist"), F.concat(F.lit("S"), "k").alias("taxonID"), F.col("k").alias("exemplar id")),
-        F.struct(F.lit("1"), F.concat(F.lit("bS"), "k"), F.col("k")),
-        F.struct(F.lit("A"), F.concat(F.lit("S"), (F.col("k") + 1)), F.when(F.col("k") % 10 == 3, F.col("k"))))))
+        row("A", F.concat(F.lit("S"), "k"), F.col("k")), row("1", F.concat(F.lit("bS"), "k"), F.col("k")),
+        row("A", F.concat(F.lit("S"), F.col("k") + 1), F.when(F.col("k") % 10 == 3, F.col("k"))))))
     return rows.filter("`exemplar id` is not null")
 
 
@@ -482,7 +482,7 @@ def _(spark, d):
 def _tree_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of taxa of the faulty checklist: each species with its neighbour, parent and genus."""
     nodes = tangled(spark, d).filter("path is not null")
-    near = nodes.filter("taxonRank = 'species'").select("nid", "_ord", "sup", "path")
+    near = nodes.filter("_ord >= 4000000000000 and _ord < 5000000000000").select("nid", "_ord", "sup", "path")
     nxt = near.select(F.col("nid").alias("y"), (F.col("_ord") - 1).alias("_ord"))
     own = nodes.filter("_ord >= 4000000000000").select(F.col("nid").alias("x"), F.explode("path").alias("y"))
     return (near.select(F.col("nid").alias("x"), "_ord").join(nxt, "_ord").select("x", "y")
@@ -630,10 +630,10 @@ def _(spark, d):
     return _codes(spark, d).select("r", "s", "n", rcc5.symbol(r).alias("symbol"), rcc5.parse(rcc5.symbol(r)).alias("parsed"), rcc5.reverse(r).alias("reversed"))
 
 
-@query("rcc5_composition", f"select r, s, n, {O.compose('r', 's')} composed, r & s both, list_filter([1, 2, 4, 8, 16], lambda b: (r & b) <> 0) members from x_codes")
+@query("rcc5_composition", f"""select r, s, n, {O.compose('r', 's')} composed, r & s "both", array_to_string(list_filter([1, 2, 4, 8, 16], lambda b: (r & b) <> 0), ' ') members from x_codes""")
 def _(spark, d):
     r, s = F.col("r"), F.col("s")
-    return _codes(spark, d).select("r", "s", "n", rcc5.compose(r, s).alias("composed"), rcc5.both(r, s).alias("both"), rcc5.members(r).alias("members"))
+    return _codes(spark, d).select("r", "s", "n", rcc5.compose(r, s).alias("composed"), rcc5.both(r, s).alias("both"), F.array_join(rcc5.members(r), " ").alias("members"))
 
 
 @query("predicate_composition", f"""select n.taxonID, {O.compose('n.relation', 's.relation')} relation, g.taxonID target, case n.relation when 5 then 1 when 4 then 0 else 2 end + case s.relation when 5 then 1 when 4 then 0 else 2 end span,
@@ -859,17 +859,18 @@ def _(spark, d):
     return _ids(TH.same_protonym(_family_pairs(spark, d), al.exemplars), al.nodes, a_id="u", b_id="v")
 
 
-@query("compare_locally", f"""select x.taxonID x_id, y.taxonID y_id, case when r <> 31 then r when s.spec = t.spec then 4 else 27 end relation from (select x.nid xn, y.nid yn, {O.in_tree('x', 'y')} r from s_all x join s_all y on x.sup = y.sup and x.side = 'B' and x.nid <> y.nid and x."rank" = 'species' and (not x.accepted or not y.accepted))
-  join s_all x on x.nid = xn join s_all y on y.nid = yn join s_spec s on s.nid = xn join s_spec t on t.nid = yn""")
+@query("compare_locally", f"""select x.taxonID x_id, y.taxonID y_id, case when r <> 31 then r when s.spec = t.spec then 4 else 27 end relation from (
+   select x.nid xn, y.nid yn, {O.in_tree('x', 'y')} r from t_all x join t_all y on x.sup = y.sup and x.nid <> y.nid and x.path is not null and not x.accepted)
+  join t_all x on x.nid = xn join t_all y on y.nid = yn join t_spec s on s.nid = xn join t_spec t on t.nid = yn""")
 def _(spark, d):
-    al = star(spark, d)
-    # a synonym with each sibling below the same accepted name
-    rows = al.nodes.filter("side = 'B' and rank = 'species'")
-    x = rows.filter("not accepted").select(F.col("nid").alias("x"), "sup")
-    y = rows.select(F.col("nid").alias("y"), "sup")
-    pairs = x.join(y, "sup").filter("x <> y").select("x", "y")
-    pairs = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    return _pair_ids(TH.compare_locally(T.compare_in_tree(pairs, al.nodes).drop("mrca"), al.records), al.nodes)
+    nodes = tangled(spark, d).filter("path is not null")
+    records = M.match_records(nodes)
+    specimens = M.with_specimens(records, M.homotypic_within(records))
+    # a synonym with each sibling
+    x = nodes.filter("not accepted and level > 1").select(F.col("nid").alias("x"), "sup")
+    y = nodes.filter("level > 1").select(F.col("nid").alias("y"), "sup")
+    pairs = stage(x.join(y, "sup").filter("x <> y").select("x", "y"))
+    return _pair_ids(TH.compare_locally(T.compare_in_tree(pairs, nodes).drop("mrca"), specimens), nodes)
 
 
 # -- merge and report -------------------------------------------------------------------------
@@ -922,16 +923,17 @@ O.define("s_chg", """select r.u, r.v, r.relation, coalesce(x.exemplar_id = y.exe
 
 
 @query("describe_changes", f"""select a.taxonID a_id, b.taxonID b_id, c.relation, c.hom homotypic,
-  case when c.u is null then 'new' when c.v is null then 'gone' when relation = 4 then 'congruent' when relation = 1 then case when hom then 'expand' else 'lump' end when relation = 2 then case when hom then 'contract' else 'split' end
-    when relation = 16 then case when hom then 'contract+expand' else 'split+lump' end else 'should not happen' end concept_change,
-  case when hom then list_filter([case when {_DIFF.format('a', 'genus', 'b')} then 'change genus' end, case when {_DIFF.format('a', 'epithet', 'b')} then 'change epithet' end, case when {_DIFF.format('a', 'token', 'b')} then 'change author' end,
-    case when {_DIFF.format('a', 'year', 'b')} then 'change year' end, case when a."rank" is distinct from b."rank" then 'change rank' end], lambda z: z is not null) else [] end name_change,
-  list_filter([case when {O.rankno('a."rank"')} < {O.rankno('b."rank"')} then 'promoted' end, case when {O.rankno('a."rank"')} > {O.rankno('b."rank"')} then 'demoted' end, case when not a.accepted and b.accepted then 'accepted' end, case when a.accepted and not b.accepted then 'synonymized' end], lambda z: z is not null) rank_change,
+  case when c.u is null then 'new' when c.v is null then 'gone' when c.relation = 4 then 'congruent' when c.relation = 1 then case when hom then 'expand' else 'lump' end when c.relation = 2 then case when hom then 'contract' else 'split' end
+    when c.relation = 16 then case when hom then 'contract+expand' else 'split+lump' end else 'should not happen' end concept_change,
+  array_to_string(case when hom then list_filter([case when {_DIFF.format('a', 'genus', 'b')} then 'change genus' end, case when {_DIFF.format('a', 'epithet', 'b')} then 'change epithet' end, case when {_DIFF.format('a', 'token', 'b')} then 'change author' end,
+    case when {_DIFF.format('a', 'year', 'b')} then 'change year' end, case when a."rank" is distinct from b."rank" then 'change rank' end], lambda z: z is not null) else [] end, ', ') name_change,
+  array_to_string(list_filter([case when {O.rankno('a."rank"')} < {O.rankno('b."rank"')} then 'promoted' end, case when {O.rankno('a."rank"')} > {O.rankno('b."rank"')} then 'demoted' end, case when not a.accepted and b.accepted then 'accepted' end, case when a.accepted and not b.accepted then 'synonymized' end], lambda z: z is not null), ', ') rank_change,
   case when c.u is not null and c.v is not null then cast({_DIFF.format('a', 'genus', 'b')} as int) + cast({_DIFF.format('a', 'epithet', 'b')} as int) + cast({_DIFF.format('a', 'token', 'b')} as int) + cast({_DIFF.format('a', 'year', 'b')} as int) end name_distance
   from s_chg c left join s_parts a on a.nid = c.u left join s_parts b on b.nid = c.v""")
 def _(spark, d):
     al = star(spark, d)
-    return changes.describe_changes(al.relations, al.exemplars, al.nodes)
+    out = changes.describe_changes(al.relations, al.exemplars, al.nodes)
+    return out.withColumns({c: F.array_join(c, ", ") for c in ("name_change", "rank_change")})
 
 
 O.define("s_base", """select nid, side, path, sup, "rank", replace(translate(case when canonicalName <> '' then canonicalName else taxonID end, ' .', '__'), '__', '_') base from s_tree where accepted and (species_nid is null or species_nid = nid)""")

@@ -314,7 +314,7 @@ def exemplar_epithets(exemplars: DataFrame, nodes: DataFrame) -> DataFrame:
     wide = reps.groupBy("exemplar_id").agg(
         F.max(F.when(F.col("side") == "A", F.col("rep"))).alias("rep_a"),
         F.max(F.when(F.col("side") == "B", F.col("rep"))).alias("rep_b"))
-    label = F.when(F.col("parts.epithet") != "", F.col("parts.epithet")).otherwise(F.col("parts.genus"))
+    label = F.coalesce(F.when(F.col("parts.epithet") != "", F.col("parts.epithet")), F.col("parts.genus"), F.col("canonicalName"))
     named = nodes.select(F.col("nid").alias("rep_a"), label.alias("epithet"))
     return wide.join(named, "rep_a", "left")
 

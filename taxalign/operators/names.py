@@ -100,4 +100,6 @@ def parse_names(df: DataFrame, token_pattern: str = N.TOKEN) -> DataFrame:
         wild("_n_middle").alias("middle"), wild("_n_epithet").alias("epithet"), c("_used").alias("authorship"),
         F.coalesce("_p_token", "_q_token").alias("token"), F.least("_p_year", "_q_year").alias("year"),
         F.coalesce("_q_protonymp", "_p_protonymp").alias("protonymp"))
-    return out.select(*have.columns, parts.alias("parts"))
+    # a generator with one row: filters on parts stop here instead of being rewritten, with all
+    # the steps above spelled out in each, down to the scan
+    return out.select(*have.columns, F.explode(F.array(parts)).alias("parts"))
