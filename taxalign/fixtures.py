@@ -155,9 +155,7 @@ def tangled(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = F.when(F.coalesce(test, F.lit(False)), value).otherwise(out)
         return out
 
-    last = table(spark, sf_dir, "customer").agg((F.max("c_custkey") - 3).alias("_last"))
-    a = a.crossJoin(F.broadcast(last))  # one row
-    inner = k < F.col("_last")
+    inner = k < table(spark, sf_dir, "customer").agg(F.max("c_custkey") - 3).scalar()
     chain = inner & (k % 29).isin(1, 2)
     orphan, lost, loose = k % 31 == 5, k % 37 == 6, k % 47 == 10
     ring_up, ring_down = inner & (k % 86 == 8), inner & (k % 86 == 9)

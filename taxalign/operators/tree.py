@@ -104,7 +104,7 @@ def skip_synonym_superiors(nodes: DataFrame) -> DataFrame:
     links = stage(links.withColumn("open", (~F.col("sup_accepted")) & F.col("sup").isNotNull()), "climb")
     left = links.filter("open").count()
     while left:
-        above = links.select(F.col("nid").alias("sup"), *[F.col(c).alias("_" + c) for c in _EDGE[:1] + _EDGE[1:]],
+        above = links.select(F.col("nid").alias("sup"), *[F.col(c).alias("_" + c) for c in _EDGE],
                              F.col("open").alias("_open"))
         step = links.filter("open").join(above, "sup", "left")
         dead = F.col("_sup").isNull()
@@ -143,7 +143,6 @@ def root_paths(nodes: DataFrame) -> DataFrame:
     unfinished segment with the segment above it, so depth d needs log2(d) rounds.  Rows
     that never reach the root (rings, orphans) get a NULL path.
     """
-    spark = nodes.sparkSession
     inner = nodes.select("sup").distinct().withColumnRenamed("sup", "nid")
     genus = F.when(F.col("rank") == "genus", F.col("nid"))
     family = F.when(F.col("rank") == "family", F.col("nid"))
@@ -214,9 +213,8 @@ def with_inferior_counts(nodes: DataFrame) -> DataFrame:
 
 
 def link_nodes(rows: DataFrame) -> DataFrame:
-    """Identified rows -> nodes with final links and checked ranks (stored)."""
-    linked = stage(resolve_superiors(rows), "links")
-    return stage(check_ranks(skip_synonym_superiors(linked)), "nodes")
+    """Identified rows -> nodes with final links and checked ranks, over one stored table."""
+    return check_ranks(skip_synonym_superiors(stage(resolve_superiors(rows), "links")))
 
 
 def build_tree(df: DataFrame, side: str = "A") -> DataFrame:
@@ -383,7 +381,6 @@ def subset(df: DataFrame, root: str) -> DataFrame:
     A frontier loop over both links.  Each round joins only the newly reached ids; links
     that leave the set are blanked.
     """
-    spark = df.sparkSession
     rows = with_columns_present(df)
     named = rows.filter((F.col("taxonID") == root) | (F.col("canonicalName") == root) | (F.col("scientificName") == root))
     start = named.agg(F.max_by("taxonID", "_ord").alias("taxonID")).filter("taxonID is not null")
