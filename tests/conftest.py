@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from taxalign.session import local_session
 
-    session = local_session(8, "6g", "tests")
+    session = local_session(4, "6g", "tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

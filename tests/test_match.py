@@ -19,21 +19,33 @@ def outcomes(al):
     return {ids[r.spec]: r.outcome for r in al.decisions.collect()}
 
 
-@pytest.mark.parametrize("a, b, want", [
-    ("1 | Genus a | Gray, 1850 | species | accepted | g |", "2 | Genus a | Gray, 1850 | species | accepted | g |", {"1": "match"}),
-    ("1 | Genus a | Gray, 1850 | species | accepted | g |", "2 | Hortus a | (Gray, 1850) | species | accepted | h |", {"1": "match"}),
-    ("1 | Genus a |  | species | accepted | g |", "2 | Genus a |  | species | accepted | g |", {}),
-    ("1 | Genus a | Gray, 1850 | species | accepted | g |",
-     "2 | Genus a | Gray, 1850 | species | accepted | f |\n3 | Genus a | Gray, 1850 | species | accepted | f |", {"1": "B ambiguity"}),
-    ("1 | Genus a | Gray, 1850 | species | accepted | g |",
-     "2 | Genus a | Gray, 1850 | species | accepted | f |\n3 | Genus a | Gray, 1850 | species | synonym |  | f", {"1": "not both accepted"}),
-    ("1 | Genus a | Gray, 1850 | species | accepted | f |\n3 | Genus a | Gray, 1850 | species | accepted | f |",
-     "2 | Genus a | Gray, 1850 | species | accepted | g |", {"1": "A ambiguity", "3": "A ambiguity"}),
-    ("1 | Genus a | Gray, 1850 | species | accepted | g |\n3 | Genus a | Gray, 1851 | species | accepted | f |",
-     "2 | Genus a | Gray, 1850 | species | accepted | g |", {"1": "match", "3": "vee"}),
-])
-def test_mutual_best_rules(checklist, a, b, want):
-    assert outcomes(Alignment(checklist(HEAD + a), checklist(HEAD + b))) == want
+def test_mutual_best_rules(checklist):
+    """One epithet per rule; `g` and `h` are genera, `f` their family."""
+    a = """
+1 | Genus a | Gray, 1850 | species | accepted | g |
+2 | Genus b | Gray, 1850 | species | accepted | g |
+3 | Genus c |  | species | accepted | g |
+4 | Genus d | Gray, 1850 | species | accepted | g |
+5 | Genus e | Gray, 1850 | species | accepted | g |
+6 | Genus i | Gray, 1850 | species | accepted | f |
+7 | Genus i | Gray, 1850 | species | accepted | f |
+8 | Genus j | Gray, 1850 | species | accepted | g |
+9 | Genus j | Gray, 1851 | species | accepted | f |
+"""
+    b = """
+1 | Genus a | Gray, 1850 | species | accepted | g |
+2 | Hortus b | (Gray, 1850) | species | accepted | h |
+3 | Genus c |  | species | accepted | g |
+4 | Genus d | Gray, 1850 | species | accepted | f |
+40 | Genus d | Gray, 1850 | species | accepted | f |
+5 | Genus e | Gray, 1850 | species | accepted | f |
+50 | Genus e | Gray, 1850 | species | synonym |  | f
+6 | Genus i | Gray, 1850 | species | accepted | g |
+8 | Genus j | Gray, 1850 | species | accepted | g |
+"""
+    assert outcomes(Alignment(checklist(HEAD + a), checklist(HEAD + b))) == {
+        "1": "match", "2": "match", "4": "B ambiguity", "5": "not both accepted",
+        "6": "A ambiguity", "7": "A ambiguity", "8": "match", "9": "vee"}
 
 
 def test_genus_change_needs_a_family_in_common(checklist):
@@ -114,23 +126,29 @@ def test_masks_have_words(spark):
 GENERA = "r | Root | | order | accepted | |\na | Aus | | genus | accepted | r |\n"
 
 
-def _align(checklist, spark, a, b, given):
-    ex = spark.createDataFrame([(e, c, t) for e, c, t in given], "`exemplar id` bigint, checklist string, taxonID string")
-    return Alignment(checklist(a), checklist(b), given_exemplars=ex)
-
-
-@pytest.mark.parametrize("b_rows, given_b, relation", [
-    ("p | Aus p | | species | accepted | a |", ((1, "p"), (2, "p")), "'="),
-    ("p | Aus p | | species | accepted | a |\nq | Aus q | | species | accepted | a |", ((1, "p"), (2, "q")), ">"),
-    ("p | Aus p | | species | accepted | a |", ((1, "p"), (2, "p"), (3, "p")), "<"),
-    ("p | Aus p | | species | accepted | a |\nq | Aus q | | species | accepted | a |", ((1, "p"), (2, "q"), (3, "q")), "><"),
-])
-def test_relations_from_given_exemplars(checklist, spark, b_rows, given_b, relation):
-    a = GENERA + "1 | Aus p | | species | accepted | a |\n2 | Aus s | | species | synonym | | 1\n3 | Aus z | | species | accepted | a |"
-    given = [(1, "A", "1"), (2, "0", "2"), (3, "A", "3")] + [(e, "B", t) for e, t in given_b]
-    al = _align(checklist, spark, a, GENERA + b_rows, given)
-    rows = {(r[0], r[3]): r for r in al.report.collect()}
-    assert rows["1", given_b[-1][1]]["RCC5"] == relation
+def test_relations_from_given_exemplars(checklist, spark):
+    """Four pairs of species: congruent, containing, contained and overlapping."""
+    a, b, given = [GENERA], [GENERA], []
+
+    def species(rows, side, name, exemplars):
+        """A species holding exemplars: its own, and one on a synonym for each other."""
+        for n, e in enumerate(exemplars):
+            taxon = name if n == 0 else f"{name}_{n}"
+            rows.append(f"{taxon} | Aus {taxon} | | species | accepted | a |" if n == 0 else f"{taxon} | Aus {taxon} | | species | synonym | | {name}")
+            given.append((e, side, taxon))
+
+    for name, exemplars in {"eq": (1, 2), "wide": (3, 4), "narrow": (5, 6), "rest": (7,), "over": (8, 9), "side": (10,)}.items():
+        species(a, "A", name, exemplars)
+    for name, exemplars in {"eq": (1, 2), "part1": (3,), "part2": (4,), "all": (5, 6, 7), "x1": (8,), "x2": (9, 10)}.items():
+        species(b, "1", name, exemplars)
+    ex = spark.createDataFrame(given, "`exemplar id` bigint, checklist string, taxonID string")
+    al = Alignment(checklist("\n".join(a)), checklist("\n".join(b)), given_exemplars=ex)
+    got = {(r[0], r[3]): r for r in al.report.collect()}
+    assert {k: r["RCC5"] for k, r in got.items()} == {
+        ("eq", "eq"): "'=", ("wide", "part1"): ">", ("wide", "part2"): ">", ("narrow", "all"): "<", ("rest", "all"): "<",
+        ("over", "x1"): ">", ("over", "x2"): "><", ("side", "x2"): "<"}
+    row = got["over", "x2"]
+    assert (row[5], row[6], row[7]) == ("9 over_1", "8 over", "10 side")
 
 
 def test_report_invariants(spark):
