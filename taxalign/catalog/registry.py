@@ -13,7 +13,7 @@ from ..operators import (articulations as art, changes, clean as C, diff, match
                          report, table as TB, theory as TH, tree as T)
 from ..plans.align import Alignment
 from ..sources import readers, writers
-from ..staging import new_path, stage
+from ..staging import has_staged, new_path, stage
 from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,8 @@ def forget() -> None:
 
 def _once(spark: SparkSession, sf_dir: str, label: str, build: Callable[[], object]):
     key = (spark.sparkContext.applicationId, sf_dir, label)
+    if not has_staged(spark):
+        forget()  # the folder was emptied behind our back
     if key not in _runs:
         _runs[key] = build()
     return _runs[key]
@@ -530,7 +532,7 @@ def _(spark, d):
     return _pair_ids(T.compare_in_tree_v8(_tree_pairs(spark, d), nodes.filter("path is not null")), nodes)
 
 
-@query("lineage_distance", """select x.taxonID x_id, y.taxonID y_id, m.taxonID mrca_id, case when x.nid = m.nid then 0 else xs.weight - ms.weight - 1 end + case when y.nid = m.nid then 0 else ys.weight - ms.weight - 1 end distance
+@query("lineage_distance", """select x.taxonID x_id, y.taxonID y_id, m.taxonID mrca_id, cast(case when x.nid = m.nid then 0 else xs.weight - ms.weight - 1 end + case when y.nid = m.nid then 0 else ys.weight - ms.weight - 1 end as bigint) distance
   from t_pairs p join t_all x on x.nid = p.x join t_all y on y.nid = p.y join t_all m on m.nid = x.path[len(list_filter(x.path, lambda e: list_contains(y.path, e)))]
   join t_sums xs on xs.nid = x.nid join t_sums ys on ys.nid = y.nid join t_sums ms on ms.nid = m.nid""")
 def _(spark, d):

@@ -48,8 +48,18 @@ def stage(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop_folder(spark: SparkSession):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def has_staged(spark: SparkSession) -> bool:
+    """Whether this application's folder of intermediate tables exists."""
+    files, path = _hadoop_folder(spark)
+    return files.exists(path)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete every intermediate table this application has written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    files, path = _hadoop_folder(spark)
+    files.delete(path, True)

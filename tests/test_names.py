@@ -12,7 +12,7 @@ CASES = {
     "Mus musculus Someone, 1111": ("Mus", "", "musculus", None, None, True),
     "Mus": ("Mus", "", "", None, None, None),
     "Mus a b": ("Mus", "a", "b", None, None, None),
-    "Mus a × Mus b": ("Mus a × Mus b", "", "", None, None, None),
+    "Mus a × b": ("Mus a × b", "", "", None, None, None),
 }
 
 
