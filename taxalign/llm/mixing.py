@@ -145,13 +145,13 @@ levels AS (
 plan AS (
   SELECT source, source_size, least(cap, weight * (SELECT max(level) FROM levels)) AS target FROM sources),
 parts AS (
-  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS full FROM plan),
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM plan),
 summed AS (
-  SELECT z.*, p.source_size, p.target, p.full, p.target - p.full * p.source_size AS rest,
+  SELECT z.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
          sum(size) OVER (PARTITION BY z.source ORDER BY hash) AS upto,
          sum(size) OVER (PARTITION BY z.source, hash) AS own
   FROM sizes z JOIN parts p ON z.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (full + CASE WHEN upto <= rest OR (upto - own <= rest AND upto - own + own / 2.0 <= rest) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (whole + CASE WHEN upto <= rest OR (upto - own <= rest AND upto - own + own / 2.0 <= rest) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM summed
 """
