@@ -225,11 +225,12 @@ def _scored(df: DataFrame, vocabulary_file: str, key: str, text: str, lang: str,
     shared = df.sparkSession.sparkContext.broadcast(table)
     inner = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]
     rows = df.select(*inner, held_out(key).alias("held_out"), F.col(f"`{text}`").alias("text"))
+    at = len(inner) + 1
 
     def run(batches):
         scorer = _Scorer(names, shared.value, vocabulary(vocabulary_file))
-        for batch in steps(batches, len(inner) + 1):
-            yield finish(batch, *scorer.predict(batch.column(len(inner) + 1).to_pylist()))
+        for batch in steps(batches, at):
+            yield finish(batch, *scorer.predict(batch.column(at).to_pylist()))
 
     return map_arrow(rows, run, schema)
 
