@@ -46,7 +46,6 @@ DEEPEST = 200
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label".split())
 EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset("script style noscript template head title iframe object svg math select option textarea button audio video canvas".split())
-RAW = frozenset("script style".split())
 AROUND = frozenset("nav header footer aside form menu dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the first ends an open element of the second.
@@ -182,7 +181,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     for at, node in enumerate(nodes):
         up = above[id(node.parent)] if node.parent else (0, 0, 0)
         other, good, around = _hits(node, OTHER_TOKENS), _hits(node, MAIN_TOKENS), int(node.tag in AROUND)
-        above[id(node)] = (up[0] + other, up[1] + good, up[2] + around)
+        above[id(node)] = (up[0] + other, up[1] + good + (node.tag in ("article", "main")), up[2] + around)
         n = len(node.children)
         mean = sum(c.chars for c in node.children) / n if n else 0.0
         for i, child in enumerate(node.children):

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
-from taxalign.llm import bpe, embedding_dedup, exact_dedup, html_text, language_id, mixing, ngram_join, sharding, token_counts
+from taxalign.llm import bpe, embedding_dedup, exact_dedup, html_text, language_id, mixing, ngram_join, quality, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # toxic documents have the lowest grade, then those of low quality
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade")
+    return quality.graded(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", grade), n_grades=3)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +59,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_embedding_dedup, op2_language_id, op3_html_text, op4_ngram_join, op5_mixing, op6_sharding, op7_token_counts, op9_exact_dedup, op10_byte_bpe)}
+        op1_embedding_dedup, op2_language_id, op3_html_text, op4_ngram_join, op5_mixing, op6_sharding, op7_token_counts,
+        op8_quality, op9_exact_dedup, op10_byte_bpe)}
 
 _OP9 = r"""
 WITH rows AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
