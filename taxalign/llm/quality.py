@@ -31,7 +31,7 @@ from taxalign.llm.words import word_hashes
 BUCKETS = 1 << 15
 SAMPLE, PARTS = 8000, 8
 ROUNDS, EPOCHS, BATCH = 5, 4, 64
-RATE, DECAY = 0.05, 1e-5
+RATE, DECAY = 0.4, 1e-5
 
 
 def features(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
