@@ -98,6 +98,24 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def wide_bitmap(tokens: np.ndarray) -> bytes:
+    """A bitmap that grows with the set: two to four bits per token, a power of two in all."""
+    size = max(1 << (2 * len(tokens)).bit_length(), 64)
+    bits = np.zeros(size, np.uint8)
+    bits[(tokens >> np.uint64(8)) % np.uint64(size)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_shared(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
+    """Largest overlap that two wide bitmaps allow; the longer one is folded to the shorter."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    common = int(np.bitwise_count(x & y).sum())
+    # a bit of one set that the other lacks stands for a token outside the overlap
+    return min(n_x - int(np.bitwise_count(x).sum()), n_y - int(np.bitwise_count(y).sum())) + common
+
+
 def _select(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
 
@@ -129,16 +147,16 @@ def _first_pass(df: DataFrame) -> DataFrame:
                 held = 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)),
-                 *(pa.array(np.ascontiguousarray(sigs[:, i])) for i in range(_WORDS)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                 *(pa.array(np.ascontiguousarray(sigs[:, i])) for i in range(_WORDS)), pa.array([wide_bitmap(s) for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         add()
         parts = [(i, zlib.compress(part.tobytes(), 1)) for i, part in enumerate(np.split(counts, SLICES)) if part.any()]
         if parts:
             n = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), *(pa.nulls(n, pa.int64()) for _ in range(3 + _WORDS)),
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), *(pa.nulls(n, pa.int64()) for _ in range(3 + _WORDS)), pa.nulls(n, pa.binary()),
                                               pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names)
 
-    names = ["id", "n", "a", "b", *_SIGS, "slice", "counts"]
-    return map_arrow(df, run, f"id {kind}, n long, a long, b long, {', '.join(f'{s} long' for s in _SIGS)}, slice int, counts binary")
+    names = ["id", "n", "a", "b", *_SIGS, "wide", "slice", "counts"]
+    return map_arrow(df, run, f"id {kind}, n long, a long, b long, {', '.join(f'{s} long' for s in _SIGS)}, wide binary, slice int, counts binary")
 
 
 def _arrow_type(df: DataFrame) -> pa.DataType:
@@ -290,6 +308,20 @@ def _signed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(_may_match()).select("u", "v")
 
 
+def _screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that wide bitmaps allow; what is shuffled is a thirtieth of whole sets."""
+
+    def run(batches):
+        for batch in batches:
+            columns = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))
+            keep = pa.array([most_shared(x, nx, y, ny) * (DEN + NUM) >= NUM * (nx + ny) for x, nx, y, ny in columns], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
+
+    side = {p: classes.select(F.col("a").alias(u), F.col("wide").alias(f"{p}wide"), F.col("n").alias(f"{p}n")) for p, u in (("x", "u"), ("y", "v"))}
+    both = pairs.join(side["x"], "u").join(side["y"], "v").select("u", "v", "xwide", "xn", "ywide", "yn")
+    return map_arrow(both, run, "u long, v long")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(a, tokens) of the classes in ``wanted`` (a, rep), read from one text of each."""
 
@@ -367,24 +399,34 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     spark = df.sparkSession
     texts = _select(df, key, text)
     first = write(_first_pass(texts), "sets")
-    docs = first.where("slice is null").select("id", "n", "a", "b", *_SIGS)
+    docs = first.where("slice is null").select("id", "n", "a", "b", *_SIGS, "wide")
     levels = spark.sparkContext.broadcast(_levels(first.where("slice is not null").select("slice", "counts")))
     entries = _shared(_entries(texts, levels))
     levels.unpersist()
     used = entries.select("a").distinct()
-    classes = docs.where("n > 0").join(used, "a").groupBy("a").agg(F.min("n").alias("n"), F.min("id").alias("rep"), *[F.min(s).alias(s) for s in _SIGS])
-    classes = write(classes.withColumn("bits", _bits([F.col(s) for s in _SIGS]).cast("long")), "classes")
-    sets = write(_sets(texts, classes), "tokens")
-    classes = classes.drop("rep")
-    links = write(_verified(_signed(_chains(entries, classes), classes), sets), "links")
-    labels = components(links)
+    known = docs.where("n > 0").join(used, "a").groupBy("a").agg(F.min("n").alias("n"), F.min("id").alias("rep"), F.min("wide").alias("wide"), *[F.min(s).alias(s) for s in _SIGS])
+    known = write(known.withColumn("bits", _bits([F.col(s) for s in _SIGS]).cast("long")), "classes")
+    classes = known.drop("rep", "wide")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose sets are similar, as a written table."""
+        maybe = write(_screened(pairs, known), "screened")
+        if maybe.isEmpty():
+            return maybe
+        named = maybe.select(F.explode(F.array("u", "v")).alias("a")).distinct()
+        sets = write(_sets(texts, known.join(named, "a").select("rep")), "tokens")
+        out = write(_verified(maybe, sets.join(named, "a", "left_semi")), "links")
+        drop(sets, maybe)
+        return out
+
+    labels = components(similar(_signed(_chains(entries, classes), classes)))
     apart = write(_labelled(entries, labels), "apart")
     if not apart.isEmpty():
-        more = write(_verified(write(_tree_pairs(apart, classes), "pairs"), sets), "links")
+        more = similar(write(_tree_pairs(apart, classes), "pairs"))
         if not more.isEmpty():
             labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    drop(apart, entries)
     labels = write(labels, "labels")
-    drop(sets)
     rows = docs.select("id", "n", "a").join(labels.withColumnRenamed("node", "a"), "a", "left")
     rows = rows.withColumn("component", F.coalesce("component", "a"))
     least = rows.where("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
