@@ -21,6 +21,9 @@ a null id counts as the text ``null`` for the split; repeated rows give a row ea
 from __future__ import annotations
 
 import functools
+import re
+import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 
 from taxalign.llm.batches import map_arrow, steps
 from taxalign.llm.tables import drop, write
+from taxalign.llm.words import mix
 
 UNKNOWN = "und"
 ROUNDS = 2
@@ -39,20 +43,75 @@ WINDOW = 24
 RARE, PRIOR = 1e-9, 0.02
 #: Words whose scores a worker remembers, and words that it counts before it passes counts on.
 MEMO, COUNTED = 200_000, 200_000
+#: Distinct words whose segmentations are summed at a time.
+AT_ONCE = 30_000
 MARK = "▁"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
+_ASCII_WORD = re.compile("[a-z]+")
+
+
 def words(text: str) -> list[str]:
-    return [MARK + w for w in _WORD.findall(text.lower())]
+    text = text.lower()
+    return [MARK + w for w in (_ASCII_WORD if text.isascii() else _WORD).findall(text)]
+
+
+class Vocabulary:
+    """Pieces by the hash of their characters; ids begin at 2.
+
+    Id 0 stands for no piece and 1 for an unknown character.
+    """
+
+    _BASE, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 20
+
+    def __init__(self, pieces: list[str]):
+        self.longest = max(map(len, pieces), default=1)
+        self.size = len(pieces) + 2
+        self.keys = np.zeros((1 << self._SLOTS) + 64, np.uint64)
+        self.ids = np.zeros(len(self.keys), np.int32)
+        by_length: dict[int, list[int]] = {}
+        for at, piece in enumerate(pieces):
+            by_length.setdefault(len(piece), []).append(at)
+        for n, places in by_length.items():
+            codes = self.codes([pieces[i] for i in places])
+            hashes = np.zeros(len(places), np.uint64)
+            for j in range(n):
+                hashes = self.longer(hashes, codes[:, j])
+            for h, at in zip(mix(hashes), places):
+                slot = int(h >> np.uint64(64 - self._SLOTS))
+                while self.keys[slot]:
+                    slot += 1
+                self.keys[slot], self.ids[slot] = h, at + 2
+
+    @staticmethod
+    def codes(same_length: list[str]) -> np.ndarray:
+        raw = "".join(same_length).encode("utf-32-le", "surrogatepass")
+        return np.frombuffer(raw, np.uint32).reshape(len(same_length), -1).astype(np.uint64)
+
+    def longer(self, hashes: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return hashes * self._BASE + code + np.uint64(1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        hashes = mix(hashes)
+        slots = (hashes >> np.uint64(64 - self._SLOTS)).astype(np.int64)
+        keys = self.keys[slots]
+        out = np.where(keys == hashes, self.ids[slots], 0)
+        open_ = np.flatnonzero((keys != hashes) & (keys != 0))
+        while len(open_):
+            slots[open_] += 1
+            keys = self.keys[slots[open_]]
+            hit = keys == hashes[open_]
+            out[open_[hit]] = self.ids[slots[open_[hit]]]
+            open_ = open_[~hit & (keys != 0)]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
-def vocabulary(path: str) -> dict[str, int]:
-    """Ids of the pieces, from 2; 0 stands for no piece and 1 for an unknown character."""
+def vocabulary(path: str) -> Vocabulary:
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = (i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)))
-    return {sp.id_to_piece(i): at for at, i in enumerate(plain, 2)}
+    return Vocabulary([sp.id_to_piece(i) for i in plain])
 
 
 def windows(word: str) -> list[str]:
@@ -62,12 +121,20 @@ def windows(word: str) -> list[str]:
 class Lattice:
     """All pieces inside words of one length."""
 
-    def __init__(self, same_length: list[str], pieces: dict[str, int], longest: int):
-        self.n = len(same_length[0])
-        self.spans = [(i, j) for j in range(1, self.n + 1) for i in range(max(0, j - longest), j)]
-        get, spans = pieces.get, self.spans
-        ids = [[get(w[i:j], 1 if j - i == 1 else 0) for i, j in spans] for w in same_length]
-        self.ids = np.array(ids, np.int32).reshape(len(same_length), len(spans))
+    def __init__(self, same_length: list[str], pieces: Vocabulary):
+        codes = pieces.codes(same_length)
+        self.n = codes.shape[1]
+        self.spans = [(i, j) for j in range(1, self.n + 1) for i in range(max(0, j - pieces.longest), j)]
+        place = {span: k for k, span in enumerate(self.spans)}
+        found = np.zeros((len(self.spans), len(same_length)), np.int32)
+        for i in range(self.n):
+            hashes = np.zeros(len(same_length), np.uint64)
+            for j in range(i + 1, min(self.n, i + pieces.longest) + 1):
+                hashes = pieces.longer(hashes, codes[:, j - 1])
+                found[place[i, j]] = pieces.find(hashes)
+            single = found[place[i, i + 1]]
+            single[single == 0] = 1
+        self.ids = found  # a row per span
 
     def forward(self, p) -> list[np.ndarray]:
         """Summed probability of each prefix; ``p`` gives a span's probabilities by its place."""
@@ -92,25 +159,24 @@ class Lattice:
         return out
 
 
-def lattices(distinct: list[str], pieces: dict[str, int], at_once: int = 4096):
+def lattices(distinct: list[str], pieces: Vocabulary, at_once: int = 4096):
     """(places in ``distinct``, lattice of those words), of one length each."""
-    longest = max(map(len, pieces), default=1)
     by_length: dict[int, list[int]] = {}
     for at, word in enumerate(distinct):
         by_length.setdefault(len(word), []).append(at)
     for places in by_length.values():
         for i in range(0, len(places), at_once):
             some = places[i:i + at_once]
-            yield np.array(some), Lattice([distinct[x] for x in some], pieces, longest)
+            yield np.array(some), Lattice([distinct[x] for x in some], pieces)
 
 
-def log_probabilities(distinct: list[str], pieces: dict[str, int], table: np.ndarray) -> np.ndarray:
+def log_probabilities(distinct: list[str], pieces: Vocabulary, table: np.ndarray) -> np.ndarray:
     """Natural logarithm of each word's probability, a column per language."""
     parts = [windows(w) for w in distinct]
     flat = list(dict.fromkeys(x for p in parts for x in p))
     logs = np.zeros((len(flat), table.shape[1]))
     for places, lattice in lattices(flat, pieces):
-        logs[places] = np.log(lattice.forward(lambda k: table[lattice.ids[:, k]])[-1])
+        logs[places] = np.log(lattice.forward(lambda k: table[lattice.ids[k]])[-1])
     at = {x: i for i, x in enumerate(flat)}
     ends = np.cumsum([len(p) for p in parts])
     every = logs[[at[x] for p in parts for x in p]]
@@ -126,23 +192,23 @@ def _counts(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     rows = df.where(~held_out(key) & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
 
     def run(batches):
-        held: dict[tuple[str, str], int] = {}
+        held: dict[str, Counter] = {}
 
         def out():
-            keys = list(held)
-            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "word", "n"])
+            for name, counts in held.items():
+                found: Counter = Counter()
+                for word, n in counts.items():
+                    for part in (word,) if len(word) <= WINDOW else windows(word):
+                        found[part] += n
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
             held.clear()
-            return batch
 
         for batch in steps(batches, 1):
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word in words(value or ""):
-                    for part in (word,) if len(word) <= WINDOW else windows(word):
-                        held[name, part] = held.get((name, part), 0) + 1
-            if len(held) > COUNTED:
-                yield out()
-        if held:
-            yield out()
+                held.setdefault(name, Counter()).update(words(value or ""))
+            if sum(map(len, held.values())) > COUNTED:
+                yield from out()
+        yield from out()
 
     return map_arrow(rows, run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -156,8 +222,8 @@ def learn(df: DataFrame, vocabulary_file: str, key: str = "doc_id", text: str =
     counts = write(_counts(df, key, text, lang), "words")
     names = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     pieces = vocabulary(vocabulary_file)
-    size = len(pieces) + 2
-    table = np.full((size, len(names)), 1.0 / max(len(pieces), 1))
+    size = pieces.size
+    table = np.full((size, len(names)), 1.0 / size)
     table[0], table[1] = 0.0, RARE
     for _ in range(rounds if names else 0):
         shared = spark.sparkContext.broadcast(table)
@@ -165,15 +231,26 @@ def learn(df: DataFrame, vocabulary_file: str, key: str = "doc_id", text: str =
         def run(batches):
             now, order, found = shared.value, {x: i for i, x in enumerate(names)}, vocabulary(vocabulary_file)
             sums = np.zeros(now.size)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                column = np.array([order[x] for x in batch.column(0).to_pylist()])
-                weights = batch.column(2).to_numpy().astype(float)
-                for places, lattice in lattices(batch.column(1).to_pylist(), found):
+            held: list[pa.RecordBatch] = []
+
+            def add():
+                if not held:
+                    return
+                table = pa.Table.from_batches(held)
+                held.clear()
+                column = np.array([order[x] for x in table.column(0).to_pylist()])
+                weights = table.column(2).to_numpy().astype(float)
+                for places, lattice in lattices(table.column(1).to_pylist(), found):
                     of = column[places]
-                    for k, use in enumerate(lattice.expected(lambda k: now[lattice.ids[:, k], of], weights[places])):
-                        np.add.at(sums, lattice.ids[:, k] * now.shape[1] + of, use)
+                    for k, use in enumerate(lattice.expected(lambda k: now[lattice.ids[k], of], weights[places])):
+                        np.add.at(sums, lattice.ids[k] * now.shape[1] + of, use)
+
+            for batch in batches:
+                if batch.num_rows:
+                    held.append(batch)
+                if sum(x.num_rows for x in held) >= AT_ONCE:
+                    add()
+            add()
             some = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sums[some])], ["cell", "n"])
 
@@ -190,7 +267,7 @@ def learn(df: DataFrame, vocabulary_file: str, key: str = "doc_id", text: str =
 
 
 class _Scorer:
-    def __init__(self, names: list[str], table: np.ndarray, pieces: dict[str, int]):
+    def __init__(self, names: list[str], table: np.ndarray, pieces: Vocabulary):
         self.names, self.table, self.pieces = names, table, pieces
         self.forget()
 
@@ -212,23 +289,34 @@ class _Scorer:
             if not some or not self.names:
                 lang.append(UNKNOWN)
                 continue
-            logs = self.logs[[self.at[w] for w in some]].sum(axis=0)
+            logs = self.logs[np.fromiter(map(self.at.__getitem__, some), np.int64, len(some))].sum(axis=0)
             best = int(np.argmax(logs))
             lang.append(self.names[best])
             score[i] = 1.0 / np.exp(logs - logs[best]).sum()
         return lang, score
 
 
+_SCORERS: dict[str, _Scorer] = {}
+
+
+def _scorer(model: str, names: list[str], table: np.ndarray, pieces: Vocabulary) -> _Scorer:
+    """The scorer of a model; a worker keeps the words that it knows from task to task."""
+    if model not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model] = _Scorer(names, table, pieces)
+    return _SCORERS[model]
+
+
 def _scored(df: DataFrame, vocabulary_file: str, key: str, text: str, lang: str, rounds: int, finish, schema) -> DataFrame:
     """Rows of ``df`` through ``finish(batch, languages, scores)``; its last column is the text."""
     names, table = learn(df, vocabulary_file, key, text, lang, rounds)
     shared = df.sparkSession.sparkContext.broadcast(table)
     inner = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]
     rows = df.select(*inner, held_out(key).alias("held_out"), F.col(f"`{text}`").alias("text"))
-    at = len(inner) + 1
+    at, model = len(inner) + 1, uuid.uuid4().hex
 
     def run(batches):
-        scorer = _Scorer(names, shared.value, vocabulary(vocabulary_file))
+        scorer = _scorer(model, names, shared.value, vocabulary(vocabulary_file))
         for batch in steps(batches, at):
             yield finish(batch, *scorer.predict(batch.column(at).to_pylist()))
 
