@@ -28,8 +28,8 @@ from taxalign.llm.hashing import row_hash
 from taxalign.llm.tables import drop, write
 from taxalign.llm.words import word_hashes
 
-BUCKETS = 1 << 15
-SAMPLE, PARTS = 8000, 8
+BUCKETS = 1 << 18
+SAMPLE, PARTS = 20_000, 8
 ROUNDS, EPOCHS, BATCH = 5, 4, 64
 RATE, DECAY = 0.4, 1e-5
 
