@@ -759,14 +759,18 @@ def _(spark, d):
     return _ids(al.theory.lookup, al.nodes, a_id="rep_a", b_id="rep_b")
 
 
-O.define("x_cc", "select o_custkey u, l_suppkey v from orders join lineitem on l_orderkey = o_orderkey where l_quantity > 49 and o_custkey % 5 > 0")
+O.define("x_cce", "select -o_custkey - 1 s, l_suppkey t from orders join lineitem on l_orderkey = o_orderkey union select l_suppkey, -o_custkey - 1 from orders join lineitem on l_orderkey = o_orderkey")
+# every node takes the least label around it, until a round moves none
+O.define("x_ccr", """select 0 round, s node, min(t) label, true moved from x_cce group by s
+ union all select round + 1, node, least(label, near), near < label from (
+   select r.round, r.node, r.label, min(q.label) near from x_ccr r join x_cce e on e.s = r.node join x_ccr q on q.node = e.t
+   where (select bool_or(moved) from x_ccr) group by r.round, r.node, r.label)""")
 
 
-O.define("x_ccr", "select distinct -u - 1 s, -u - 1 t from x_cc union select distinct v, v from x_cc union select r.s, case when -e.u - 1 = r.t then e.v else -e.u - 1 end from x_ccr r join x_cc e on -e.u - 1 = r.t or e.v = r.t")
-@query("connected_components", "select s node, min(t) component from x_ccr group by s")
+@query("connected_components", "select node, least(node, min(label)) component from x_ccr group by node")
 def _(spark, d):
-    o = fx.table(spark, d, "orders").filter("o_custkey % 5 > 0").select(F.col("o_orderkey").alias("k"), (-F.col("o_custkey") - 1).alias("u"))
-    li = fx.table(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("v"))
+    o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (-F.col("o_custkey") - 1).alias("u"))
+    li = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("v"))
     return M.connected_components(o.join(li, "k").select("u", "v"))
 
 
@@ -997,6 +1001,7 @@ def _dump(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     rank = F.when(k % 9 == 0, "clade").when(k % 9 == 1, "no rank").otherwise("species")
     nodes = p.select(bar(k.cast("string"), (k - k % 10).cast("string"), rank, F.lit("XX")).alias("value"))
     lines = [(F.lit(True), F.col("p_name"), "", "scientific name"), (k % 2 == 0, F.concat("p_name", F.lit(" Brown, 1900")), "", "authority"),
+             (k % 4 == 0, F.concat("p_name", F.lit(" Adams, 1850")), "", "authority"),
              (k % 7 == 3, F.lit("Gray, 1850"), "", "authority"), (k % 3 == 0, F.concat(F.lit("old "), F.col("p_name")), "u", "synonym"),
              (k % 6 == 0, F.concat(F.lit("old "), F.col("p_name")), "u", "synonym"), (k % 5 == 0, F.concat(F.lit("the "), F.col("p_type")), "", "common name")]
     names = p.select(F.explode(F.array_compact(F.array(*[
@@ -1010,7 +1015,7 @@ def _dump(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
 
 _HASH = "substr(sha1({0} || '^' || {1} || '^' || {2}), 1, 8)"
 O.define("x_nn", """select p_partkey k, p_name nm, '' u, 'scientific name' cl from part union all select p_partkey, p_name || ' Brown, 1900', '', 'authority' from part where p_partkey % 2 = 0
-  union all select p_partkey, 'Gray, 1850', '', 'authority' from part where p_partkey % 7 = 3 union select p_partkey, 'old ' || p_name, 'u', 'synonym' from part where p_partkey % 3 = 0
+  union all select p_partkey, p_name || ' Adams, 1850', '', 'authority' from part where p_partkey % 4 = 0 union all select p_partkey, 'Gray, 1850', '', 'authority' from part where p_partkey % 7 = 3 union select p_partkey, 'old ' || p_name, 'u', 'synonym' from part where p_partkey % 3 = 0
   union all select p_partkey, 'the ' || p_type, '', 'common name' from part where p_partkey % 5 = 0""")
 O.define("x_syn", f"""select cast(n.k as varchar) || '.' || {_HASH.format('n.nm', 'n.cl', 'n.u')} id, cast(n.k as varchar) acc, case when cl = 'authority' then nm end sci, case when cl <> 'authority' then nm end can,
   case when cl <> 'synonym' then cl end nom from x_nn n join part p on p.p_partkey = n.k where cl <> 'scientific name' and not (cl = 'authority' and starts_with(n.nm, p.p_name))""")
@@ -1022,7 +1027,7 @@ def _(spark, d):
 
 
 @query("dump_to_checklist", """select cast(p_partkey as varchar) taxonID, 'ncbi:' || p_partkey managed_id, cast(p_partkey - p_partkey % 10 as varchar) parentNameUsageID, case when p_partkey % 9 > 1 then 'species' end taxonRank,
-   cast(null as varchar) acceptedNameUsageID, case when p_partkey % 2 = 0 then p_name || ' Brown, 1900' end scientificName, p_name canonicalName, 'accepted' taxonomicStatus, cast(null as varchar) nomenclaturalStatus from part
+   cast(null as varchar) acceptedNameUsageID, case when p_partkey % 4 = 0 then p_name || ' Adams, 1850' when p_partkey % 2 = 0 then p_name || ' Brown, 1900' end scientificName, p_name canonicalName, 'accepted' taxonomicStatus, cast(null as varchar) nomenclaturalStatus from part
   union all select id, null, null, null, acc, sci, can, 'synonym', nom from x_syn
   union all select cast(p_partkey + 1000000 as varchar), 'ncbi:' || (p_partkey + 1000000), null, null, cast(p_partkey as varchar), null, 'deprecated taxon that had taxid ' || (p_partkey + 1000000), 'synonym', 'merged id' from part where p_partkey % 8 = 0""")
 def _(spark, d):

@@ -125,12 +125,13 @@ def homonyms(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
         (1900 + F.col("p_size")).cast("string").alias("year"), cap(family).alias("family"))
     fam, gen = F.col("family"), F.col("genus")
     author = F.concat_ws(", ", "author", "year")
-    families = part.select("family").distinct()
-    genera = part.select("family", "genus").distinct()
+    # a family or genus is numbered by its first part, which is in no other
+    families = part.groupBy("family").agg(F.min("k").alias("k"))
+    genera = part.groupBy("family", "genus").agg(F.min("k").alias("k"))
     return (
-        _rows(families, 1, F.crc32(fam), taxonID=F.concat(F.lit("F"), fam),
+        _rows(families, 1, F.col("k"), taxonID=F.concat(F.lit("F"), fam),
               taxonRank=F.lit("family"), canonicalName=fam)
-        .unionByName(_rows(genera, 2, F.crc32(F.concat_ws("_", fam, gen)),
+        .unionByName(_rows(genera, 2, F.col("k"),
                            taxonID=F.concat_ws("_", F.lit("G"), fam, gen),
                            parentNameUsageID=F.concat(F.lit("F"), fam),
                            taxonRank=F.lit("genus"), canonicalName=gen))

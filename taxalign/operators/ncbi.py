@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .table import stable_hash
 
@@ -16,19 +16,36 @@ def clean_rank(rank: Column) -> Column:
     return F.when(~rank.isin(*NO_RANK), rank)
 
 
+def _order(names: DataFrame) -> Column:
+    """Place of a name in its file, where the reader has given one."""
+    return F.col("_ord") if "_ord" in names.columns else F.col("name_txt")
+
+
 def dedupe_names(names: DataFrame) -> DataFrame:
-    """One row per taxon and (name, class, unique name); adds ``spin``, a hash of these."""
+    """One row per taxon and (name, class, unique name), the first in the file.
+
+    Adds ``spin``, a short hash of these.  Different names of a taxon that share a hash are
+    numbered by value, the second with ``-2`` after it.
+    """
     spin = stable_hash("name_txt", "name_class", "unique_name")
-    return names.withColumn("spin", spin).dropDuplicates(["tax_id", "spin"])
+    values = ["name_txt", "name_class", "unique_name"]
+    first = names.groupBy("tax_id", *values).agg(F.min(_order(names)).alias("_ord")).withColumn("spin", spin)
+    clash = F.row_number().over(Window.partitionBy("tax_id", "spin").orderBy(*values))  # names of one hash: a few at most
+    return first.withColumn("_n", clash).withColumn(
+        "spin", F.when(F.col("_n") > 1, F.concat_ws("-", "spin", "_n")).otherwise(F.col("spin"))).drop("_n")
 
 
 def collate_names(names: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(synonyms, scientific names, authorities that extend them)."""
-    sci = names.filter("name_class = 'scientific name'").groupBy("tax_id").agg(F.max("name_txt").alias("sci"))
+    """(synonyms, scientific names, authorities that extend them).
+
+    Of several scientific names or extending authorities the last in the file counts.
+    """
+    last = F.max_by("name_txt", _order(names))
+    sci = names.filter("name_class = 'scientific name'").groupBy("tax_id").agg(last.alias("sci"))
     rest = names.filter("name_class <> 'scientific name'").join(sci, "tax_id", "left")
     extends = (F.col("name_class") == "authority") & F.col("name_txt").startswith(F.col("sci"))
     extends = F.coalesce(extends, F.lit(False))
-    authorities = rest.filter(extends).groupBy("tax_id").agg(F.max("name_txt").alias("authority"))
+    authorities = rest.filter(extends).groupBy("tax_id").agg(last.alias("authority"))
     synonyms = rest.filter(~extends).select("tax_id", "name_txt", "name_class", "spin")
     return synonyms, sci, authorities
 

@@ -46,18 +46,22 @@ def read_gnparse(spark: SparkSession, path: str) -> DataFrame:
     return fill_missing(out)
 
 
-def dump_fields(lines: DataFrame, names: list[str]) -> DataFrame:
-    """Fields of tab-separated dump lines, where a bar stands between any two."""
+def dump_fields(lines: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """Fields of tab-separated dump lines, where a bar stands between any two; ``more`` columns stay."""
     cells = F.split("value", "\t")
-    return lines.select(*[F.coalesce(F.try_element_at(cells, F.lit(2 * i + 1)), F.lit("")).alias(n) for i, n in enumerate(names)])
+    return lines.select(*[F.coalesce(F.try_element_at(cells, F.lit(2 * i + 1)), F.lit("")).alias(n) for i, n in enumerate(names)], *more)
 
 
 def read_ncbi(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """nodes, names and merged ids of a taxonomy dump."""
+    """nodes, names and merged ids of a taxonomy dump.
+
+    ``_ord`` of a name is its place: file, beginning of the split, and place in the split.
+    """
     def lines(name: str) -> DataFrame:
         return spark.read.text(f"{folder}/{name}.dmp")
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
     return (dump_fields(lines("nodes"), ["tax_id", "parent_tax_id", "rank"]),
-            dump_fields(lines("names"), ["tax_id", "name_txt", "unique_name", "name_class"]),
+            dump_fields(lines("names").select("value", place.alias("_ord")), ["tax_id", "name_txt", "unique_name", "name_class"], "_ord"),
             dump_fields(lines("merged"), ["old_tax_id", "new_tax_id"]))
 
 

@@ -80,3 +80,23 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     want = prepare_stream(df, managed="x:taxonID")
     columns = ["taxonID", "managed_id", "name_to_parse", "parts"]
     assert sorted(map(str, spark.table("prepared").select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+
+
+def test_dump_names_by_value_and_file_order(spark, tmp_path):
+    from taxalign.operators import ncbi
+    from taxalign.sources import readers
+
+    def line(*cells):
+        return "\t|\t".join(cells) + "\t|"
+
+    # the first two share the short hash; of the authorities the last in the file counts
+    names = [line("7", "Aus n85730", "", "synonym"), line("7", "Aus n86026", "", "synonym"), line("7", "Aus n86026", "", "synonym"),
+             line("7", "Aus", "", "scientific name"), line("7", "Aus Zed, 1900", "", "authority"), line("7", "Aus Ames, 1850", "", "authority")]
+    for name, rows in (("nodes", [line("7", "1", "genus")]), ("names", names), ("merged", [line("8", "7")])):
+        (tmp_path / f"{name}.dmp").write_text("\n".join(rows) + "\n")
+    nodes, read, merged = readers.read_ncbi(spark, str(tmp_path))
+    found = {(r.name_txt, r.spin) for r in ncbi.dedupe_names(read).filter("name_class = 'synonym'").collect()}
+    assert len(found) == 2 and len({spin for _, spin in found}) == 2
+    out = ncbi.ncbi_to_dwc(nodes, read, merged).collect()
+    assert [r.scientificName for r in out if r.taxonID == "7"] == ["Aus Ames, 1850"]
+    assert sorted(r.canonicalName for r in out if r.nomenclaturalStatus is None and r.taxonomicStatus == "synonym") == ["Aus n85730", "Aus n86026"]
