@@ -10,8 +10,9 @@ sets form a class and are compared once.
    come last, so common passages seldom enter a prefix.  The sketch only chooses the order.
 3. *Groups.*  Prefix entries meet by token; those whose token occurs in one class only are
    gone.  A frequent token's entries are dealt over many tasks for this.
-4. *Chains.*  Neighbours in each group, by size, are verified first.  Large groups of near
-   copies become one component this way, at the cost of their entries, not their pairs.
+4. *Chains.*  Neighbours in each group, by size, and each entry with the first of its group
+   come before all others.  Large groups of near copies become one component this way, at
+   the cost of their entries, not their pairs.
 5. *Trees.*  Groups that still hold several components become trees: leaves of ``LEAF``
    entries, parents of ``FAN`` nodes.  A node has the OR of its bitmaps, its range of sizes,
    the most tokens that share bits inside one set, and its range of components.  A dual
@@ -20,7 +21,9 @@ sets form a class and are compared once.
    far apart, or if both lie in one and the same component.  Leaves that remain are
    compared entry by entry under the same bound, and what is left is verified.
 
-Verification intersects whole sets.  A pair inside one component is never needed, since
+Verification intersects whole sets, the likeliest pair of each class first; then those of
+the rest whose ends are still in different components, for a few rounds, and all that are
+left after these.  A pair inside one component is never needed, since
 components are what is asked for; no pair between components is skipped.
 
 Defined results: null texts, and texts without words, have size 0 and their own id as
@@ -51,6 +54,8 @@ SIG = 512
 LEAF, FAN = 64, 8
 #: Counters of the sketch, and the parts it is summed in.
 SKETCH, SLICES = 1 << 22, 64
+#: Rounds in which each class has its likeliest pair verified, before all the rest is.
+ROUNDS = 3
 #: Tasks over which a frequent token's entries are dealt.
 SALTS = 64
 
@@ -272,8 +277,9 @@ def _may_match(x: str = "x_", y: str = "y_") -> Column:
 
 
 def _chains(entries: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (u, v): each entry with the one before it, and with the first, of its group.
+    """Pairs (u, v): each entry v with the one before it, and with the first, of its group.
 
+    u precedes v by size and digest.
     Groups are cut where a task's range ends; nothing depends on it, since trees come after.
     """
 
@@ -293,7 +299,7 @@ def _chains(entries: DataFrame, classes: DataFrame) -> DataFrame:
             same = np.flatnonzero(~first)
             x, y = np.concatenate([a[same - 1], pivots[same]]), np.concatenate([a[same], a[same]])
             keep = x != y
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep])], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep])], ["u", "v"])
             held = (token[-1:], a[-1:], pivots[-1])
 
     sized = entries.join(classes.select("a", "n"), "a")
@@ -301,6 +307,14 @@ def _chains(entries: DataFrame, classes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "u long, v long").distinct()
 
 
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    for end in ("u", "v"):
+        known = labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+        pairs = pairs.join(known, end, "left")
+    return pairs.where(F.coalesce("u_in", "u") != F.coalesce("v_in", "v")).drop("u_in", "v_in")
+
+
 def _signed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs that sizes and bitmaps allow."""
     side = {p: classes.select(*[F.col(c).alias(f"{p}{c}") for c in classes.columns]) for p in ("x_", "y_")}
@@ -309,17 +323,22 @@ def _signed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs that wide bitmaps allow; what is shuffled is a thirtieth of whole sets."""
+    """The pairs that wide bitmaps allow, with the share of overlap that these allow.
+
+    What is shuffled is a thirtieth of whole sets.
+    """
 
     def run(batches):
         for batch in batches:
             columns = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))
-            keep = pa.array([most_shared(x, nx, y, ny) * (DEN + NUM) >= NUM * (nx + ny) for x, nx, y, ny in columns], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
+            sizes = batch.column(3).to_numpy() + batch.column(5).to_numpy()
+            most = np.array([most_shared(x, nx, y, ny) for x, nx, y, ny in columns], np.int64)
+            keep = pa.array(most * (DEN + NUM) >= NUM * sizes)
+            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (batch.column(0), batch.column(1), pa.array(most / sizes))], ["u", "v", "score"])
 
     side = {p: classes.select(F.col("a").alias(u), F.col("wide").alias(f"{p}wide"), F.col("n").alias(f"{p}n")) for p, u in (("x", "u"), ("y", "v"))}
     both = pairs.join(side["x"], "u").join(side["y"], "v").select("u", "v", "xwide", "xn", "ywide", "yn")
-    return map_arrow(both, run, "u long, v long")
+    return map_arrow(both, run, "u long, v long, score double")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -408,23 +427,38 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     known = write(known.withColumn("bits", _bits([F.col(s) for s in _SIGS]).cast("long")), "classes")
     classes = known.drop("rep", "wide")
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose sets are similar, as a written table."""
-        maybe = write(_screened(pairs, known), "screened")
-        if maybe.isEmpty():
-            return maybe
-        named = maybe.select(F.explode(F.array("u", "v")).alias("a")).distinct()
+    def similar(maybe: DataFrame) -> DataFrame:
+        """Those of the screened pairs whose sets are similar, as a written table."""
+        named = write(maybe.select(F.explode(F.array("u", "v")).alias("a")).distinct(), "named")
         sets = write(_sets(texts, known.join(named, "a").select("rep")), "tokens")
-        out = write(_verified(maybe, sets.join(named, "a", "left_semi")), "links")
-        drop(sets, maybe)
+        out = write(_verified(maybe.select("u", "v"), sets.join(named, "a", "left_semi")), "links")
+        drop(sets, named)
         return out
 
-    labels = components(similar(_signed(_chains(entries, classes), classes)))
+    def joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The components after all similar pairs among ``pairs`` are linked."""
+        open_ = write(_screened(pairs, known), "screened")
+        for turn in range(ROUNDS + 1):
+            if open_.isEmpty():
+                break
+            likely = F.max_by("u", F.struct("score", "u")).alias("u")
+            now = write(open_.groupBy("v").agg(likely).select("u", "v"), "likely") if turn < ROUNDS else open_
+            links = similar(now)
+            if not links.isEmpty():
+                labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+            if turn == ROUNDS:
+                break
+            rest = write(_between(open_.join(now, ["u", "v"], "left_anti"), labels), "screened")
+            drop(open_, now, links)
+            open_ = rest
+        drop(open_)
+        return labels
+
+    nothing = spark.createDataFrame([], "node long, component long")
+    labels = joined(nothing, _signed(_chains(entries, classes), classes))
     apart = write(_labelled(entries, labels), "apart")
     if not apart.isEmpty():
-        more = similar(write(_tree_pairs(apart, classes), "pairs"))
-        if not more.isEmpty():
-            labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+        labels = joined(labels, write(_tree_pairs(apart, classes), "pairs"))
     drop(apart, entries)
     labels = write(labels, "labels")
     rows = docs.select("id", "n", "a").join(labels.withColumnRenamed("node", "a"), "a", "left")
