@@ -55,6 +55,13 @@ def test_ngram_join(spark, texts):
     assert {tuple(r) for r in ngram_join.similar_groups(documents(spark, texts)).collect()} == want
 
 
+def test_ngram_join_where_near_copies_differ_much(spark):
+    rng = random.Random(8)
+    words = sentence(rng, 70).split()
+    some = [" ".join(f"x{rng.randrange(99)}" if rng.random() < rate else w for w in words) for rate in (0.01, 0.03, 0.05) for _ in range(30)]
+    test_ngram_join(spark, some)
+
+
 def test_wide_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(1)
     for n, m in ((5, 6), (100, 130), (1000, 1200)):
