@@ -730,7 +730,26 @@ for _name, _p, _run in (("star", "s", star), ("homonym", "h", homonym)):
     @query(f"best_matches_{_name}", f"""select b.side, x.taxonID spec_id, b.cls, y.taxonID first_id, z.taxonID second_id from {_p}_best b join {_p}_all x on x.nid = b.spec join {_p}_all y on y.nid = b."first" left join {_p}_all z on z.nid = b."second" """)
     def _(spark, d, run=_run):
         al = run(spark, d)
-        return _ids(al.best, al.nodes, spec_id="spec", first_id="first", second_id="second")
+        return _ids(al.best.drop("n_partners"), al.nodes, spec_id="spec", first_id="first", second_id="second")
+
+    @query(f"partner_counts_{_name}", f"select c.side, x.taxonID spec_id, c.cls, count(*) n_partners from {_p}_cand c join {_p}_best b on b.side = c.side and b.spec = c.spec and b.cls = c.cls join {_p}_all x on x.nid = c.spec group by all")
+    def _(spark, d, run=_run):
+        al = run(spark, d)
+        return _ids(al.best.select("side", "spec", "cls", "n_partners"), al.nodes, spec_id="spec")
+
+    O.define(f"{_p}_way", f"""select distinct side, spec, key, epithet, u.* from (select side, spec, key, epithet, unnest([
+      case when genus is not null and token is not null and year is not null then {{'cls': 10, 'genus': genus, 'token': token, 'year': year, 'family': ''}} end,
+      case when genus is not null and token is not null then {{'cls': 9, 'genus': genus, 'token': token, 'year': '', 'family': ''}} end,
+      case when genus is not null and year is not null then {{'cls': 9, 'genus': genus, 'token': '', 'year': year, 'family': ''}} end,
+      case when token is not null and year is not null and family is not null then {{'cls': 8, 'genus': '', 'token': token, 'year': year, 'family': family}} end]) u
+     from (select side, spec, key, ep epithet, p_genus genus, p_token token, p_year "year", family from {_p}_spec) where epithet is not null) where u is not null""")
+    O.define(f"{_p}_met", f"""select w.*, y.n from {_p}_way w join (select side, key, epithet, cls, genus, token, "year", family, count(*) n from {_p}_way group by all) y
+     on y.side <> w.side and y.key = w.key and y.epithet = w.epithet and y.cls = w.cls and y.genus = w.genus and y.token = w.token and y."year" = w."year" and y.family = w.family""")
+
+    @query(f"partner_groups_{_name}", f"""select m.side, x.taxonID spec_id, m.key, m.epithet, m.cls, m.genus, m.token, m."year", m.family, m.n, m.cls = max(m.cls) over (partition by m.side, m.spec) top from {_p}_met m join {_p}_all x on x.nid = m.spec""")
+    def _(spark, d, run=_run):
+        al = run(spark, d)
+        return _ids(al.partner_groups, al.nodes, spec_id="spec")
 
     @query(f"mutual_best_{_name}", f"select x.taxonID a_id, y.taxonID b_id from {_p}_edge e join {_p}_all x on x.nid = e.u join {_p}_all y on y.nid = e.v")
     def _(spark, d, run=_run):
@@ -740,7 +759,12 @@ for _name, _p, _run in (("star", "s", star), ("homonym", "h", homonym)):
     @query(f"match_review_{_name}", f"select x.taxonID spec_id, d.cls, d.outcome from {_p}_dec d join {_p}_all x on x.nid = d.spec where d.outcome not in ('match', 'double A', 'double B')")
     def _(spark, d, run=_run):
         al = run(spark, d)
-        return _ids(M.match_review(al.decisions), al.nodes, spec_id="spec")
+        return _ids(M.match_review(al.decisions).drop("n_partners"), al.nodes, spec_id="spec")
+
+    @query(f"review_counts_{_name}", f"select x.taxonID spec_id, d.outcome, count(*) n_partners from {_p}_dec d join {_p}_all x on x.nid = d.spec join {_p}_cand c on c.side = 'A' and c.spec = d.spec and c.cls = d.cls where d.outcome not in ('match', 'double A', 'double B') group by all")
+    def _(spark, d, run=_run):
+        al = run(spark, d)
+        return _ids(M.match_review(al.decisions).select("spec", "outcome", "n_partners"), al.nodes, spec_id="spec")
 
     @query(f"exemplars_{_name}", f"select e.exemplar_id, e.side, x.taxonID from {_p}_ex e join {_p}_all x on x.nid = e.nid")
     def _(spark, d, run=_run):

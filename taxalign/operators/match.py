@@ -134,13 +134,54 @@ def _two_best(rows: DataFrame, group: list[str], candidate: str, order: list[Col
     return rows.withColumn("_r", F.row_number().over(window)).filter("_r <= 2")
 
 
-def best_matches(records: DataFrame, motion: str = "family") -> DataFrame:
-    """Per specimen: its best class and its first two partner specimens in that class.
+def partner_groups(records: DataFrame, motion: str = "family") -> DataFrame:
+    """Each specimen once per group of equal parts that both sides have; ``n`` partners there.
 
-    ``second`` is NULL when the partner is unique.  Only two partners are needed: rules
-    ask whether there is one or more, and compare the two most important.
+    The partners of a specimen are the other side's specimens in its groups, those at its
+    best class in the groups marked ``top``.  The table lists all of them without pairs.
+    """
+    mine = _lookups(records, motion).select("side", "spec", *_EQUAL).distinct()
+    sizes = mine.groupBy(*_EQUAL).agg(
+        F.count_if(F.col("side") == "A").alias("_a"), F.count_if(F.col("side") == "B").alias("_b"))
+    met = mine.join(sizes.filter("_a > 0 and _b > 0"), _EQUAL)
+    best = met.groupBy("side", "spec").agg(F.max("cls").alias("_top"))
+    return met.join(best, ["side", "spec"]).select(
+        "side", "spec", *_EQUAL, F.when(F.col("side") == "A", F.col("_b")).otherwise(F.col("_a")).alias("n"),
+        (F.col("cls") == F.col("_top")).alias("top"))
+
+
+def partner_counts(groups: DataFrame) -> DataFrame:
+    """(side, spec, n_partners): distinct partner specimens at the best class.
+
+    Groups are added up.  A partner met in several groups is taken off again; those are
+    counted per set of groups, of which there are as many as different parts, not specimens.
+    """
+    sets = groups.groupBy("side", "spec", "cls").agg(
+        F.sort_array(F.collect_list(F.struct(*_EQUAL))).alias("set"), F.sum("n").alias("_n"), F.first("top").alias("top"))
+    many = sets.filter(F.size("set") > 1)
+
+    def two(df: DataFrame, name: str) -> DataFrame:
+        rest = lambda x, i: F.transform(F.slice(F.col(name), i + 2, F.size(name)), lambda y: F.struct(x.alias("x"), y.alias("y")))
+        return df.withColumn("_two", F.explode(F.flatten(F.transform(name, rest))))
+
+    theirs = two(many.groupBy(_other(F.col("side")).alias("side"), "cls", F.col("set").alias("_set")).agg(F.count("*").alias("_m")), "_set")
+    both = two(many.filter("top").select("side", "cls", "set").distinct(), "set").join(theirs, ["side", "cls", "_two"])
+    shared = F.array_intersect("set", "_set")
+    # two sets meet once for any two groups they share: the first two count
+    again = both.filter((F.col("_two.x") == shared[0]) & (F.col("_two.y") == shared[1])).groupBy("side", "cls", "set").agg(
+        F.sum(F.col("_m") * (F.size(shared) - 1)).alias("_again"))
+    return sets.filter("top").join(again, ["side", "cls", "set"], "left").select(
+        "side", "spec", (F.col("_n") - F.coalesce("_again", F.lit(0))).alias("n_partners"))
+
+
+def best_matches(records: DataFrame, motion: str = "family", groups: DataFrame | None = None) -> DataFrame:
+    """Per specimen: its best class, its first two partner specimens in that class, and their exact number.
+
+    ``second`` is NULL when the partner is unique.  The rules ask whether there is one or
+    more, and compare the two most important; ``partner_groups`` has all of them.
     """
     rows = _lookups(records, motion)
+    groups = stage(partner_groups(records, motion), "groups") if groups is None else groups
     specimens = rows.groupBy("side", *_EQUAL, "spec").agg(F.min("importance").alias("importance"))
     two = _two_best(specimens, ["side", *_EQUAL], "spec", [F.col("importance"), F.col("spec")]).select(
         F.col("side").alias("_side"), *_EQUAL, F.col("spec").alias("cand"), F.col("importance").alias("_imp"))
@@ -153,8 +194,9 @@ def best_matches(records: DataFrame, motion: str = "family") -> DataFrame:
         F.max("cls").alias("cls"),
         F.max(F.when(F.col("_r") == 1, F.col("cand"))).alias("first"),
         F.max(F.when(F.col("_r") == 2, F.struct("cls", "cand"))).alias("_2"))
-    return out.select("side", "spec", "cls", "first",
-                      F.when(F.col("_2.cls") == F.col("cls"), F.col("_2.cand")).alias("second"))
+    out = out.select("side", "spec", "cls", "first",
+                     F.when(F.col("_2.cls") == F.col("cls"), F.col("_2.cand")).alias("second"))
+    return out.join(partner_counts(groups), ["side", "spec"])
 
 
 def representatives(members: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
@@ -180,7 +222,7 @@ def representatives(members: DataFrame, nodes: DataFrame, group: str) -> DataFra
 def match_decisions(best: DataFrame, records: DataFrame, nodes: DataFrame, ties: DataFrame) -> DataFrame:
     """One row per A specimen with a candidate: what the mutual-best rules decide.
 
-    Columns: spec, outcome, and the tied specimens ``u1``-``v1`` and, for a double tie, ``u2``-``v2``.
+    Columns: spec, cls, n_partners, outcome, and the tied specimens ``u1``-``v1`` and, for a double tie, ``u2``-``v2``.
     """
     several = ties.select(F.col("first").alias("spec"), "nid").unionByName(
         ties.select(F.col("first").alias("spec"), F.col("first").alias("nid")).distinct())
@@ -197,7 +239,7 @@ def match_decisions(best: DataFrame, records: DataFrame, nodes: DataFrame, ties:
         "spec", (relation_in_tree("x_", "y_").bitwiseAND(F.lit(rcc5.DISJOINT)) != 0).alias("apart"),
         (F.col("x_accepted") & F.col("y_accepted")).alias("both_accepted"))
     full = best.join(checked, "spec", "left")
-    a = full.filter("side = 'A'").select("spec", "cls", "first", "second", "apart", "both_accepted")
+    a = full.filter("side = 'A'").select("spec", "cls", "n_partners", "first", "second", "apart", "both_accepted")
     b = full.filter("side = 'B'").select(F.col("spec").alias("first"), F.col("first").alias("b_first"),
                                          F.col("second").alias("b_second"), F.col("apart").alias("b_apart"))
     j = a.join(b, "first", "left")
@@ -214,7 +256,7 @@ def match_decisions(best: DataFrame, records: DataFrame, nodes: DataFrame, ties:
     double_a, double_b = F.col("outcome") == "double A", F.col("outcome") == "double B"
     tied = double_a | double_b | (F.col("outcome") == "match")
     return j.withColumn("outcome", outcome).select(
-        "spec", "cls", "outcome",
+        "spec", "cls", "n_partners", "outcome",
         F.when(tied, F.when(double_a, F.col("b_first")).otherwise(F.col("spec"))).alias("u1"),
         F.when(tied, F.col("first")).alias("v1"),
         F.when(double_a, F.col("b_second")).when(double_b, F.col("spec")).alias("u2"),
@@ -229,8 +271,8 @@ def mutual_best(decisions: DataFrame) -> DataFrame:
 
 
 def match_review(decisions: DataFrame) -> DataFrame:
-    """Specimens whose candidates led to no tie."""
-    return decisions.filter("u1 is null").select("spec", "cls", "outcome")
+    """Specimens whose candidates led to no tie, with the number of these."""
+    return decisions.filter("u1 is null").select("spec", "cls", "outcome", "n_partners")
 
 
 def connected_components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:

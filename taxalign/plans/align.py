@@ -41,9 +41,13 @@ class Alignment:
     def records(self) -> DataFrame:
         return stage(M.with_specimens(self._records, self.ties), "specimens")
 
+    @cached_property
+    def partner_groups(self) -> DataFrame:
+        return stage(M.partner_groups(self.records, self.motion), "groups")
+
     @cached_property
     def best(self) -> DataFrame:
-        return stage(M.best_matches(self.records, self.motion), "best")
+        return stage(M.best_matches(self.records, self.motion, self.partner_groups), "best")
 
     @cached_property
     def decisions(self) -> DataFrame:

@@ -101,6 +101,51 @@ def test_hot_block_against_brute_force(spark, checklist):
         assert (ids[r.second][1] if r.second is not None else None) == (tops[1] if len(tops) > 1 else None)
 
 
+def test_partner_counts_against_all_pairs(checklist):
+    """Specimens of several records, which meet one partner in several groups of equal parts."""
+    rnd = random.Random(8)
+
+    def rows(n):
+        lines = ["f | Fam | | family | accepted | |"]
+        for i in range(n):
+            lines.append(f"g{i} | {rnd.choice(['Aus', 'Bus', 'Cus'])} | | genus | accepted | f |")
+            def name(k):
+                author = f"{rnd.choice(['Gray', 'Weber', 'Thomas'])}, {rnd.choice(['1850', '1851', '1852'])}"
+                return f"{i}_{k} | {rnd.choice(['Aus', 'Bus', 'Cus'])} {'xyz'[i % 3]} | {author}"
+            lines.append(f"{name(0)} | species | accepted | g{i} |")
+            lines += [f"{name(k)} | species | synonym | | {i}_0" for k in range(1, rnd.randint(1, 5))]
+        return checklist("\n".join(lines))
+
+    al = Alignment(rows(40), rows(45))
+    records = al.records.collect()
+    found = {}
+    for x in records:
+        for y in records:
+            if x.side == y.side or x.key != y.key or x.epithet is None or x.epithet != y.epithet:
+                continue
+            g, t, z = (x[f] is not None and x[f] == y[f] for f in ("genus", "token", "year"))
+            c = 10 if g and t and z else 9 if g and (t or z) else 8 if t and z and x.family and x.family == y.family else 0
+            if c:
+                mine = found.setdefault((x.side, x.spec), {})
+                mine[y.spec] = max(mine.get(y.spec, 0), c)
+    want = {k: {s for s, c in v.items() if c == max(v.values())} for k, v in found.items()}
+    assert max(map(len, want.values())) > 2
+    assert {(r.side, r.spec): r.n_partners for r in al.best.collect()} == {k: len(v) for k, v in want.items()}
+    inside, sums, listed = {}, {}, {}
+    groups = [r for r in al.partner_groups.collect()]
+    same = lambda r: tuple(r[f] for f in ("key", "epithet", "cls", "genus", "token", "year", "family"))
+    for r in groups:
+        inside.setdefault((r.side, same(r)), set()).add(r.spec)
+    for r in groups:
+        if r.top:
+            sums[r.side, r.spec] = sums.get((r.side, r.spec), 0) + r.n
+            listed.setdefault((r.side, r.spec), set()).update(inside["AB".replace(r.side, ""), same(r)])
+    assert listed == want
+    assert any(n > len(want[k]) for k, n in sums.items())
+    for r in M.match_review(al.decisions).collect():
+        assert r.n_partners == len(want["A", r.spec])
+
+
 def test_components_of_a_hub_a_chain_and_pairs(spark):
     edges = [(1000, i) for i in range(300)] + [(i, i + 1) for i in range(2000, 2060)] + [(5000 + 2 * i, 5001 + 2 * i) for i in range(50)]
     df = spark.createDataFrame(edges, "u bigint, v bigint")
