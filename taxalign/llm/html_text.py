@@ -26,6 +26,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -39,8 +40,6 @@ from taxalign.llm.batches import map_arrow
 
 #: Pages learned from at most, trees, their depth, and the seed of the rearranged copies.
 SAMPLE, TREES, DEPTH, SEED = 400, 12, 4, 7
-#: Deepest nesting that nodes are made for; elements below belong to the last one.
-DEEPEST = 200
 
 # Elements of HTML by how they are laid out or what they mean.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label".split())
@@ -82,17 +81,27 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("body", (), None)
         self.open: list[tuple[str, Node]] = [("body", self.root)]  # inline ones share their block's node
+        self.tags_open: Counter = Counter()
         self.in_link = 0
 
     @property
     def node(self) -> Node:
         return self.open[-1][1]
 
+    def _open(self, tag: str, node: Node) -> None:
+        self.open.append((tag, node))
+        self.tags_open[tag] += 1
+        self.in_link += tag == "a"
+
     def _close(self, at: int) -> None:
-        self.in_link -= sum(tag == "a" for tag, _ in self.open[at:])
+        for tag, _ in self.open[at:]:
+            self.tags_open[tag] -= 1
+            self.in_link -= tag == "a"
         del self.open[at:]
 
     def _find(self, tags, walls=frozenset()) -> int:
+        if not any(self.tags_open[tag] for tag in tags):  # nothing to look for, however deep the page
+            return 0
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at][0] in tags:
                 return at
@@ -110,23 +119,18 @@ class _Builder(HTMLParser):
             return
         if tag in INLINE:
             node.tags += 1
-            self.in_link += tag == "a"
-            self.open.append((tag, node))
+            self._open(tag, node)
             return
         if tag in ENDS_P and (at := self._find(("p",), WALLS)):
             self._close(at)
         if tag in ENDS_SAME and (at := self._find(ENDS_SAME[tag], WALLS)):
             self._close(at)
         node = self.node
-        if node.depth >= DEEPEST:
-            node.parts.append(" ")
-            self.open.append((tag, node))
-            return
         said = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "itemprop", "aria-label"))
         child = Node(tag, tuple(_TOKEN.findall(said.lower())), node)
         node.children.append(child)
         node.parts.append(child)
-        self.open.append((tag, child))
+        self._open(tag, child)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)

@@ -148,6 +148,17 @@ def test_html_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_below_300_open_elements():
+    page = "<article>" + "<div>x " * 300 + "<p>deep text</p><script>var hidden = 1;</script><nav><a>Menu</a></nav><p>last</p>"
+    nodes = html_text.parse(page)
+    assert max(n.depth for n in nodes) == 302
+    assert [n.tag for n in nodes if n.depth == 302] == ["p", "script", "nav", "p"]
+    assert html_text.main_text(page, None) == "x " * 300 + "deep text Menu last"
+    keep = html_text.decode(nodes, np.array([-1.0 if n.tag == "nav" else 1.0 for n in nodes]))
+    assert [n.tag for n, k in zip(nodes, keep) if not k] == ["script", "nav"]
+    html_text.main_text("<div>a</p>" * 20_000 + "b", None)  # stray end tags are not searched for
+
+
 def test_no_kept_node_below_a_dropped_one():
     nodes = html_text.parse("<div><p>a</p><p>b</p></div><div><p>c</p></div>")
     keep = html_text.decode(nodes, np.array([0, -1, 3, -1, -5, 2.0]))
