@@ -1,6 +1,7 @@
 """Main text of web pages by boosted trees over DOM nodes and a hierarchical decoding.
 
-A page becomes a tree of block elements; inline elements belong to the block around them.
+A page becomes a tree of block elements; inline elements belong to the block around them,
+but those with attribute tokens are nodes too, and so is each run of text directly in body.
 Each node gets features: text, links and tags of its subtree, depth, siblings, its kind
 and its attribute tokens, and those of the nodes above.  Boosted trees give the log-odds
 that a node holds main text.  Decoding takes the labelling with the highest likelihood in
@@ -15,8 +16,8 @@ main text and other parts moved into other containers, so that trees rely on
 several features and not on one element's name.  Scripts, styles and the like never hold
 text.  Trees are fitted by Spark ML and applied inside the tasks that parse.
 
-Defined results: null, empty and text-only pages: the latter's text is a paragraph, the
-others give an empty text; repeated rows give a row each; broken markup is read as far as
+Defined results: null, empty and text-only pages: the latter's text (no markup at all) is a
+paragraph and kept, the others give an empty text; repeated rows give a row each; broken markup is read as far as
 it goes, and elements left open end with their parent; an empty table gives an empty table.
 """
 
@@ -57,7 +58,11 @@ OTHER_TOKENS = frozenset((
     "ad ads advert advertisement banner bar breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer discussion disqus footer form header "
     "login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted recommended related replies reply "
     "respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget").split())
-_GROUPS = ("p", "article", "main", "section", "div", "nav", "header", "footer", "aside", "form", "ul", "li", "table", "td", "blockquote", "pre")
+#: Tag of the nodes for runs of text directly in body.
+RUN = "#run"
+#: Attribute tokens that say nothing of main text or other parts.
+_NEUTRAL = "name term link ref icon highlight date author underline x note label keyword small".split()
+_GROUPS = ("p", "article", "main", "section", "div", "nav", "header", "footer", "aside", "form", "ul", "li", "table", "td", "blockquote", "pre", RUN)
 _BUCKETS = 8
 _TOKEN = re.compile(r"[a-z]+")
 N_FEATURES = 20 + len(_GROUPS) + _BUCKETS
@@ -80,7 +85,8 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("body", (), None)
-        self.open: list[tuple[str, Node]] = [("body", self.root)]  # inline ones share their block's node
+        self.open: list[tuple[str, Node]] = [("body", self.root)]  # inline ones without tokens share their block's node
+        self.run: Node | None = None  # run of text that goes on in body
         self.tags_open: Counter = Counter()
         self.in_link = 0
 
@@ -109,28 +115,48 @@ class _Builder(HTMLParser):
                 break
         return 0
 
+    def _below(self, node: Node, tag: str, tokens: tuple[str, ...] = ()) -> Node:
+        child = Node(tag, tokens, node)
+        node.children.append(child)
+        node.parts.append(child)
+        return child
+
+    def _inside(self) -> Node:
+        """The node that text and inline elements go to: in body, a run."""
+        if self.node is not self.root:
+            return self.node
+        if self.run is None:
+            self.run = self._below(self.root, RUN)
+        return self.run
+
     def handle_starttag(self, tag, attrs):
-        node = self.node
         if tag in ("html", "body"):
             return
         if tag in EMPTY:
+            if tag == "hr" and self.node is self.root:
+                self.run = None
+            node = self.run if self.node is self.root and self.run else self.node
             node.tags += 1
             node.parts.append(" ")
             return
+        said = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "itemprop", "aria-label"))
+        tokens = tuple(_TOKEN.findall(said.lower()))
         if tag in INLINE:
-            node.tags += 1
+            node = self.node
+            inside = self._inside()
+            if tokens:
+                node = self._below(inside, tag, tokens)
+            else:
+                inside.tags += 1
             self._open(tag, node)
             return
         if tag in ENDS_P and (at := self._find(("p",), WALLS)):
             self._close(at)
         if tag in ENDS_SAME and (at := self._find(ENDS_SAME[tag], WALLS)):
             self._close(at)
-        node = self.node
-        said = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "itemprop", "aria-label"))
-        child = Node(tag, tuple(_TOKEN.findall(said.lower())), node)
-        node.children.append(child)
-        node.parts.append(child)
-        self._open(tag, child)
+        if self.node is self.root:
+            self.run = None
+        self._open(tag, self._below(self.node, tag, tokens))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -143,6 +169,8 @@ class _Builder(HTMLParser):
 
     def handle_data(self, data):
         node = self.node
+        if node is self.root and (self.run or not data.isspace()):
+            node = self._inside()
         node.parts.append(data)
         if node.silent:
             return
@@ -209,7 +237,8 @@ def label(nodes: list[Node]) -> None:
     marked = any(n.tag in ("article", "main") or _hits(n, MAIN_TOKENS) for n in nodes)
     for node in nodes:
         main, other = inside[id(node.parent)] if node.parent else (not marked, False)
-        other = other or node.silent or node.tag in AROUND or _hits(node, OTHER_TOKENS) > 0
+        menu = node.tag == RUN and 2 * node.links > node.chars  # links alone are no article
+        other = other or node.silent or menu or node.tag in AROUND or _hits(node, OTHER_TOKENS) > 0
         main = main or node.tag in ("article", "main") or _hits(node, MAIN_TOKENS) > 0
         inside[id(node)] = (main, other)
         node.label = main and not other and node.own > 0
@@ -220,12 +249,15 @@ def label(nodes: list[Node]) -> None:
 
 def rearranged(nodes: list[Node], rng: random.Random) -> str:
     """Another page with the blocks of this one: main text and other parts in other containers."""
-    own = [(n.tag, " ".join("".join(p for p in n.parts if isinstance(p, str)).split()), n.label) for n in nodes if n.own and not n.silent]
-    main = [(t, s) for t, s, keep in own if keep]
-    rest = [s for _, s, keep in own if not keep] or ["Home", "More"]
-    body = "".join(f"<{t if t in HEADINGS else 'p'}>{html.escape(s)}</{t if t in HEADINGS else 'p'}>" for t, s in main)
+    own = [(n.tag, " ".join("".join(p if isinstance(p, str) else " " for p in n.parts).split()), n.label) for n in nodes if n.own and not n.silent]
+    main = [(t, s) for t, s, keep in own if keep and s]
+    rest = [s for _, s, keep in own if not keep and s] or ["Home", "More"]
     texts = [s for _, s in main] or ["text"]
 
+    def block(tag: str, text: str) -> str:
+        name = tag if tag in HEADINGS else "p"
+        return f"<{name}>{html.escape(text)}</{name}>"
+
     def links() -> str:
         return "<ul>" + "".join(f'<li><a href="#">{html.escape(rng.choice(rest)[:40])}</a></li>' for _ in range(rng.randint(3, 9))) + "</ul>"
 
@@ -240,6 +272,7 @@ def rearranged(nodes: list[Node], rng: random.Random) -> str:
 
     tag = rng.choice(("article", "main", "div", "section"))
     token = rng.choice(sorted(MAIN_TOKENS)) if tag in ("div", "section") else ""
+    body = "".join(block(*m) for m in main)
     if rng.random() < 0.5:
         body += other()
     middle = f'<{tag} class="{token}">{body}</{tag}>'
@@ -249,8 +282,38 @@ def rearranged(nodes: list[Node], rng: random.Random) -> str:
     return f"<html><body>{before}{middle}{after}</body></html>"
 
 
+def inline_copy(nodes: list[Node], rng: random.Random) -> str:
+    """Another page with inline elements that carry tokens, and with text directly in body."""
+    own = [(" ".join("".join(p if isinstance(p, str) else " " for p in n.parts).split()), n.label) for n in nodes if n.own and not n.silent]
+    texts = [html.escape(s) for s, keep in own if keep and s] or ["text"]
+    rest = [html.escape(s[:60]) for s, keep in own if not keep and s] or ["Home", "More"]
+
+    def marked(text: str) -> str:
+        words = text.split(" ")
+        at = rng.randrange(len(words))
+        upto = at + rng.randint(1, 6)
+        tag, name = rng.choice(("a href='#'", "span", "span", "em", "code", "small")), rng.choice(_NEUTRAL)
+        words[at:upto] = [f'<{tag} class="{name}">{" ".join(words[at:upto])}</{tag.split()[0]}>']
+        text = " ".join(words)
+        if rng.random() < 0.4:
+            said = rng.choice((rng.choice(rest), rng.choice(texts)[:rng.randint(10, 80)]))
+            text += f' <span class="{rng.choice(sorted(OTHER_TOKENS))}">{said}</span>'
+        return text
+
+    def menu() -> str:
+        token = rng.choice(("", "", f' class="{rng.choice(sorted(OTHER_TOKENS))}"'))
+        return " ".join(f'<a href="#"{token}>{rng.choice(rest)}</a>' for _ in range(rng.randint(1, 7)))
+
+    body = [f"<p>{marked(x)}</p>" if rng.random() < 0.7 else f"<p>{x}</p>" for x in texts]
+    if rng.random() < 0.5:
+        middle = "<article>" + "".join(body) + "</article>" + rng.choice(("", rng.choice(rest)))
+    else:  # nothing marked: the article is in body, partly without paragraphs
+        middle = "".join(rng.choice((b, f"{x}<br><br>")) for b, x in zip(body, texts))
+    return f"<html><body>{menu()}<hr><div></div>{middle}<div></div>{menu()}</body></html>"
+
+
 def examples(page: str | None, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a page's nodes, and of two rearranged copies."""
+    """Features and labels of a page's nodes, of two rearranged copies, and of one with inline nodes."""
     nodes = parse(page)
     label(nodes)
     rng = random.Random(seed)
@@ -259,6 +322,8 @@ def examples(page: str | None, seed: int) -> tuple[np.ndarray, np.ndarray]:
         for _ in range(2):
             every.append(parse(rearranged(nodes, rng)))
             label(every[-1])
+        every.append(parse(inline_copy(nodes, rng)))
+        label(every[-1])
     rows = [(f, n.label) for some in every for f, n in zip(features(some), some) if not n.silent and n.parent]
     return np.array([r[0] for r in rows]).reshape(-1, N_FEATURES), np.array([r[1] for r in rows], float)
 
@@ -345,6 +410,8 @@ def main_text(page: str | None, trees: Trees | None) -> str:
         odds = np.full(len(nodes), 1.0)
     else:
         odds = trees.log_odds(features(nodes))
+    if len(nodes) == 2 and nodes[1].tag == RUN and nodes[1].tags == 1:
+        odds[1] = 1.0  # text without markup
     keep = {id(n) for n, k in zip(nodes, decode(nodes, odds)) if k}
     out: list[str] = []
     stack: list[str | Node] = [nodes[0]]
@@ -353,9 +420,10 @@ def main_text(page: str | None, trees: Trees | None) -> str:
         if isinstance(part, str):
             out.append(part)
         else:
-            out.append(" ")
+            space = "" if part.tag in INLINE else " "
+            out.append(space)
             if id(part) in keep:
-                stack.append(" ")
+                stack.append(space)
                 stack.extend(reversed(part.parts))
     return " ".join("".join(out).split())
 

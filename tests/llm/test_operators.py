@@ -148,6 +148,20 @@ def test_html_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_inline_nodes_and_text_in_body(spark):
+    rng = random.Random(9)
+    pages = [f'<a href="#">Skip to text</a> <a href="#">Home {i}</a><hr><article><h1>Title {i}</h1><p>{sentence(rng, 20)} with <span class="term">bold</span>er words. '
+             f'<span class="advert">Buy now</span></p><p>{sentence(rng, 20)} <a href="#" class="link">more</a>.</p></article><a href="#">Imprint</a>' for i in range(30)]
+    df = spark.createDataFrame([(i, f"u{i}", p) for i, p in enumerate([*pages, "Text alone, & no tag."])], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    for i in range(30):
+        assert got[i].startswith(f"Title {i} ") and got[i].endswith(" more.") and " bolder words." in got[i]
+        assert not any(x in got[i] for x in ("Skip", "Home", "Buy", "Imprint"))
+    assert got[30] == "Text alone, & no tag."
+    nodes = html_text.parse('one <b>two</b><br>three<div>x</div> <a id="skip">four</a>')
+    assert [(n.tag, n.own) for n in nodes] == [("body", 0), (html_text.RUN, 11), ("div", 1), (html_text.RUN, 0), ("a", 4)]
+
+
 def test_html_below_300_open_elements():
     page = "<article>" + "<div>x " * 300 + "<p>deep text</p><script>var hidden = 1;</script><nav><a>Menu</a></nav><p>last</p>"
     nodes = html_text.parse(page)
