@@ -9,7 +9,7 @@ which no kept node lies below a dropped one: a node's worth is its log-odds plus
 of its children, or zero for dropping the whole subtree, whichever is more.
 
 *Training.*  Pages carry no labels.  A bounded sample of the pages of the table
-(``SAMPLE`` rows, least hashes first) is learned from: a node's label comes from the
+(``SAMPLE`` different pages, least hashes first) is learned from: a node's label comes from the
 elements that say what they hold (article and main against nav, footer and the like) and
 from attribute tokens of known meaning.  Each sampled page is also seen again with its
 main text and other parts moved into other containers, so that trees rely on
@@ -368,11 +368,17 @@ def _exported(model) -> Trees:
     return Trees(trees, list(model.treeWeights))
 
 
+def sampled(pages: DataFrame, sample: int) -> DataFrame:
+    """(html, h, seed): different pages, least hashes first; copies of a page count once."""
+    rows = pages.select("html", F.md5(F.col("html").cast("binary")).alias("h"))
+    least = rows.select("h").distinct().orderBy("h").limit(sample)
+    return rows.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"]).withColumn("seed", F.xxhash64("html"))
+
+
 def learn(df: DataFrame, html_column: str = "html", sample: int = SAMPLE) -> Trees | None:
-    """Trees fitted to ``sample`` pages at most; None if the pages have nothing to tell apart."""
+    """Trees fitted to ``sample`` different pages at most; None if the pages have nothing to tell apart."""
     page = F.col(f"`{html_column}`")
-    order = F.md5(page.cast("binary"))
-    picked = df.where(page.isNotNull()).select(page.alias("html"), order.alias("h"), F.xxhash64(page).alias("seed")).orderBy("h").limit(sample)
+    picked = sampled(df.where(page.isNotNull()).select(page.alias("html")), sample)
 
     def run(batches):
         for batch in batches:

@@ -162,6 +162,13 @@ def test_html_inline_nodes_and_text_in_body(spark):
     assert [(n.tag, n.own) for n in nodes] == [("body", 0), (html_text.RUN, 11), ("div", 1), (html_text.RUN, 0), ("a", 4)]
 
 
+def test_html_sample_counts_different_pages(spark):
+    pages = [f"<p>{i}</p>" for i in range(40)]
+    df = spark.createDataFrame([(p,) for p in pages for _ in range(50)], "html string")
+    want = sorted((hashlib.md5(p.encode()).hexdigest(), p) for p in pages)[:30]
+    assert sorted((r.h, r.html) for r in html_text.sampled(df, 30).collect()) == want
+
+
 def test_html_below_300_open_elements():
     page = "<article>" + "<div>x " * 300 + "<p>deep text</p><script>var hidden = 1;</script><nav><a>Menu</a></nav><p>last</p>"
     nodes = html_text.parse(page)
