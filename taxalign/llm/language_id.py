@@ -10,11 +10,11 @@ tasks first.  Rounds of expectation and maximisation then run over the table of
 words: tasks hold one expected count per language and piece, whatever the input.
 
 Words are runs of letters with their marks, lower-cased, with the vocabulary's mark for a
-word's begin in front.  A longer one than ``WINDOW`` characters is taken in windows of that
-length, each summed over its segmentations.
+word's begin in front.  Those longer than ``LONG`` characters are summed as a whole too, in
+logarithms, as their probabilities leave the range of floats.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every
-text when nothing can be learned from; equal scores give the language first by code point;
+text when nothing can be learned from (``keep_identified`` then keeps all texts with a letter); equal scores give the language first by code point;
 a null id counts as the text ``null`` for the split; repeated rows give a row each.
 """
 
@@ -38,7 +38,8 @@ from taxalign.llm.words import mix
 
 UNKNOWN = "und"
 ROUNDS = 2
-WINDOW = 24
+#: Longest word, mark included, whose sums are taken without logarithms.
+LONG = 24
 #: Probability of a character that the vocabulary lacks, and the count that every piece has beforehand.
 RARE, PRIOR = 1e-9, 0.02
 #: Words whose scores a worker remembers, and words that it counts before it passes counts on.
@@ -114,10 +115,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary([sp.id_to_piece(i) for i in plain])
 
 
-def windows(word: str) -> list[str]:
-    return [word[i:i + WINDOW] for i in range(0, len(word), WINDOW)]
-
-
 class Lattice:
     """All pieces inside words of one length."""
 
@@ -158,29 +155,58 @@ class Lattice:
             after[i] = after[i] + step
         return out
 
+    def log_forward(self, p) -> list[np.ndarray]:
+        """Natural logarithms of ``forward``."""
+        sums: list[np.ndarray] = [None] * (self.n + 1)
+        sums[0] = np.zeros_like(p(0))
+        with np.errstate(divide="ignore"):
+            for k in self._used():
+                i, j = self.spans[k]
+                step = sums[i] + np.log(p(k))
+                sums[j] = step if sums[j] is None else np.logaddexp(sums[j], step)
+        return sums
+
+    def _used(self) -> list[int]:
+        return np.flatnonzero(self.ids.any(axis=1)).tolist()
+
+    def log_sum(self, p) -> np.ndarray:
+        """Natural logarithm of the words' probabilities."""
+        return self.log_forward(p)[-1] if self.n > LONG else np.log(self.forward(p)[-1])
+
+    def uses(self, p, weights: np.ndarray):
+        """(place of a span, its expected use) by ``expected``, in logarithms for long words."""
+        if self.n <= LONG:
+            yield from enumerate(self.expected(p, weights))
+            return
+        before = self.log_forward(p)
+        after: list[np.ndarray] = [None] * (self.n + 1)
+        after[self.n] = -before[self.n]
+        with np.errstate(divide="ignore"):
+            for k in reversed(self._used()):
+                i, j = self.spans[k]
+                step = np.log(p(k)) + after[j]
+                yield k, weights * np.exp(before[i] + step)
+                after[i] = step if after[i] is None else np.logaddexp(after[i], step)
+
 
 def lattices(distinct: list[str], pieces: Vocabulary, at_once: int = 4096):
     """(places in ``distinct``, lattice of those words), of one length each."""
     by_length: dict[int, list[int]] = {}
     for at, word in enumerate(distinct):
         by_length.setdefault(len(word), []).append(at)
-    for places in by_length.values():
-        for i in range(0, len(places), at_once):
-            some = places[i:i + at_once]
+    for length, places in by_length.items():
+        step = max(1, at_once * LONG // max(length, LONG))
+        for i in range(0, len(places), step):
+            some = places[i:i + step]
             yield np.array(some), Lattice([distinct[x] for x in some], pieces)
 
 
 def log_probabilities(distinct: list[str], pieces: Vocabulary, table: np.ndarray) -> np.ndarray:
     """Natural logarithm of each word's probability, a column per language."""
-    parts = [windows(w) for w in distinct]
-    flat = list(dict.fromkeys(x for p in parts for x in p))
-    logs = np.zeros((len(flat), table.shape[1]))
-    for places, lattice in lattices(flat, pieces):
-        logs[places] = np.log(lattice.forward(lambda k: table[lattice.ids[k]])[-1])
-    at = {x: i for i, x in enumerate(flat)}
-    ends = np.cumsum([len(p) for p in parts])
-    every = logs[[at[x] for p in parts for x in p]]
-    return np.add.reduceat(every, np.concatenate([[0], ends[:-1]])) if len(parts) else logs
+    logs = np.zeros((len(distinct), table.shape[1]))
+    for places, lattice in lattices(distinct, pieces):
+        logs[places] = lattice.log_sum(lambda k: table[lattice.ids[k]])
+    return logs
 
 
 def held_out(key: str) -> Column:
@@ -188,26 +214,27 @@ def held_out(key: str) -> Column:
 
 
 def _counts(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """(lang, word, n) over all rows to learn from; words longer than a window in windows."""
+    """(lang, word, n) over all rows to learn from."""
     rows = df.where(~held_out(key) & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
 
     def run(batches):
         held: dict[str, Counter] = {}
+        more = 0  # what long words take, in words
 
         def out():
-            for name, counts in held.items():
-                found: Counter = Counter()
-                for word, n in counts.items():
-                    for part in (word,) if len(word) <= WINDOW else windows(word):
-                        found[part] += n
+            for name, found in held.items():
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
             held.clear()
 
         for batch in steps(batches, 1):
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(name, Counter()).update(words(value or ""))
-            if sum(map(len, held.values())) > COUNTED:
+                found = words(value or "")
+                held.setdefault(name, Counter()).update(found)
+                if max(map(len, found), default=0) > LONG:
+                    more += sum(len(w) for w in found if len(w) > LONG) // LONG
+            if sum(map(len, held.values())) + more > COUNTED:
                 yield from out()
+                more = 0
         yield from out()
 
     return map_arrow(rows, run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -242,7 +269,7 @@ def learn(df: DataFrame, vocabulary_file: str, key: str = "doc_id", text: str =
                 weights = table.column(2).to_numpy().astype(float)
                 for places, lattice in lattices(table.column(1).to_pylist(), found):
                     of = column[places]
-                    for k, use in enumerate(lattice.expected(lambda k: now[lattice.ids[k], of], weights[places])):
+                    for k, use in lattice.uses(lambda k: now[lattice.ids[k], of], weights[places]):
                         np.add.at(sums, lattice.ids[k] * now.shape[1] + of, use)
 
             for batch in batches:
@@ -273,15 +300,17 @@ class _Scorer:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
+        self.letters = 0
         self.logs = np.zeros((0, len(self.names)))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         found = [words(t or "") for t in texts]
         seen = set().union(*found)
-        if len(self.at) > MEMO:
+        if len(self.at) > MEMO or self.letters > MEMO * LONG:
             self.forget()
         fresh = sorted(seen.difference(self.at))
         if fresh:
+            self.letters += sum(map(len, fresh))
             self.logs = np.concatenate([self.logs, log_probabilities(fresh, self.pieces, self.table)])
             self.at.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh))))
         lang, score = [], np.zeros(len(texts))
@@ -308,7 +337,7 @@ def _scorer(model: str, names: list[str], table: np.ndarray, pieces: Vocabulary)
 
 
 def _scored(df: DataFrame, vocabulary_file: str, key: str, text: str, lang: str, rounds: int, finish, schema) -> DataFrame:
-    """Rows of ``df`` through ``finish(batch, languages, scores)``; its last column is the text."""
+    """Rows of ``df`` through ``finish(batch, languages, scores, whether any language was learned)``; its last column is the text."""
     names, table = learn(df, vocabulary_file, key, text, lang, rounds)
     shared = df.sparkSession.sparkContext.broadcast(table)
     inner = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]
@@ -318,7 +347,7 @@ def _scored(df: DataFrame, vocabulary_file: str, key: str, text: str, lang: str,
     def run(batches):
         scorer = _scorer(model, names, shared.value, vocabulary(vocabulary_file))
         for batch in steps(batches, at):
-            yield finish(batch, *scorer.predict(batch.column(at).to_pylist()))
+            yield finish(batch, *scorer.predict(batch.column(at).to_pylist()), bool(names))
 
     return map_arrow(rows, run, schema)
 
@@ -327,7 +356,7 @@ def languages(df: DataFrame, vocabulary_file: str, key: str = "doc_id", text: st
     """``key``, held_out, lang_pred and score of every row of ``df``."""
     narrow = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys((key, text, lang))])
 
-    def finish(batch, names, scores):
+    def finish(batch, names, scores, learned):
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.num_columns - 2), pa.array(names, pa.string()), pa.array(scores)], ["key", "held_out", "lang_pred", "score"])
 
     schema = f"key {df.schema[key].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
@@ -335,10 +364,15 @@ def languages(df: DataFrame, vocabulary_file: str, key: str = "doc_id", text: st
 
 
 def keep_identified(df: DataFrame, vocabulary_file: str, key: str = "doc_id", text: str = "text", lang: str = "lang", rounds: int = ROUNDS) -> DataFrame:
-    """The rows of ``df`` whose text has a language; rows that are ``und`` go."""
+    """The rows of ``df`` whose text has a language; rows that are ``und`` go.
+
+    If no language could be learned, only texts without a letter go.
+    """
     n = len(df.columns)
 
-    def finish(batch, names, scores):
+    def finish(batch, names, scores, learned):
+        if not learned:
+            names = [MARK if words(x or "") else UNKNOWN for x in batch.column(batch.num_columns - 1).to_pylist()]
         keep = pa.array([x != UNKNOWN for x in names], pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(n)], [f"c{i}" for i in range(n)])
 

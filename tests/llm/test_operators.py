@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+from decimal import Decimal
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -124,6 +126,39 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(np.exp(language_id.log_probabilities(words, pieces, p))[:, 0], [brute(w) for w in words])
 
 
+def test_long_words_are_summed_as_a_whole():
+    rng = random.Random(3)
+    pieces = language_id.Vocabulary(["a", "b", "ab", "ba", "aba"])
+    p = np.random.default_rng(2).random((pieces.size, 2)) * 1e-3
+    p[0] = 0
+    at = {"a": 2, "b": 3, "ab": 4, "ba": 5, "aba": 6}
+    words = ["".join(rng.choices("abc", k=n)) for n in (23, 24, 25, 30, 30, 400)]
+
+    def brute(word, column):
+        sums = [Fraction(1)]
+        for j in range(1, len(word) + 1):
+            sums.append(sum(sums[i] * Fraction(float(p[at.get(word[i:j], 1 if j - i == 1 else 0), column])) for i in range(max(0, j - 3), j)))
+        return float(Decimal(sums[-1].numerator).ln() - Decimal(sums[-1].denominator).ln())
+
+    want = [[brute(w, c) for c in (0, 1)] for w in words]
+    assert np.allclose(language_id.log_probabilities(words, pieces, p), want)
+    # expected uses: in logarithms as without, and each character used once
+    word = [words[3]]
+    lattice = language_id.Lattice(word, pieces)
+    of = lambda k: p[lattice.ids[k], 0] * 1e3
+    plain, logs = lattice.expected(of, np.array([2.0])), dict(lattice.uses(of, np.array([2.0])))
+    assert all(np.allclose(use, logs.get(k, 0.0)) for k, use in enumerate(plain))
+    lattice = language_id.Lattice(words[-1:], pieces)
+    used = sum(use[0] * (lattice.spans[k][1] - lattice.spans[k][0]) for k, use in lattice.uses(lambda k: p[lattice.ids[k], 0], np.array([1.0])))
+    assert abs(used - 400) < 1e-6
+
+
+def test_all_texts_with_letters_stay_if_no_language_is_known(spark):
+    df = spark.createDataFrame([(0, "the with", None), (1, None, None), (2, "12 !", None), (3, "und", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in language_id.keep_identified(df, MODEL).collect()) == [0, 3]
+    assert {r.lang_pred for r in language_id.languages(df, MODEL).collect()} == {"und"}
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 16))
