@@ -13,6 +13,18 @@ GNPARSE = "Id Verbatim Cardinality CanonicalStem CanonicalSimple CanonicalFull A
 DIFF_HEADERS = {"MDDv1.10_Name": "A name", "MDDv1.11_Name": "B name", "Category": "category"}
 
 
+def read_quoted(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with quotes, split among tasks unless a value may hold a line break.
+
+    A line is a record if nothing quoted stays open at its end.  If every line is one, the
+    file is read in splits; else values go on over lines, and each file is read by one task.
+    """
+    bare = F.regexp_replace(F.replace(F.col("value"), F.lit('""'), F.lit("")), '(^|,)"[^"]*"(?=,|$)', "$1")
+    unsure = bare.contains('"') | F.col("value").rlike('(^|,)""[^",]')
+    over_lines = not spark.read.text(path).filter(unsure).isEmpty()
+    return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=over_lines)
+
+
 def read_checklist(spark: SparkSession, path: str) -> DataFrame:
     """A checklist with ``_ord``, all values strings, absent values ''.
 
@@ -22,7 +34,7 @@ def read_checklist(spark: SparkSession, path: str) -> DataFrame:
     if ".parquet" in path:
         raw = spark.read.parquet(path)
     elif ".csv" in path:
-        raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+        raw = read_quoted(spark, path)
     else:
         raw = spark.read.csv(path, header=True, sep="\t", quote="")
     out = fill_missing(normalize_headers(raw))
@@ -40,7 +52,7 @@ def ragged_counts(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 
 
 def read_gnparse(spark: SparkSession, path: str) -> DataFrame:
-    out = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    out = read_quoted(spark, path)
     if out.columns != GNPARSE:
         raise ValueError(f"expected the columns {GNPARSE}, got {out.columns}")
     return fill_missing(out)

@@ -26,6 +26,25 @@ def test_csv_round_trip_keeps_quotes_and_blanks(spark, tmp_path):
     assert sorted(map(tuple, back.drop("_ord").collect())) == sorted(r[1:] for r in rows)
 
 
+def test_csv_is_split_unless_values_hold_line_breaks(spark, tmp_path):
+    rows = [(str(i), f'a ""q"", {i}') for i in range(400)]
+    whole = "taxonID,scientificName\n" + "".join(f'{i},"{v}"\n' for i, v in rows)
+    tails = {"plain": '"""","",""', "over": '400,"x\ny"', "open": '4"0,"x\ny"', "empty": '400,"""\ny"'}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for name, tail in tails.items():
+            path = tmp_path / f"{name}.csv"
+            path.write_text(whole + tail + "\n")
+            df = readers.read_checklist(spark, str(path))
+            got = [(r.taxonID, r.scientificName) for r in df.orderBy("_ord").collect()]
+            assert got[:400] == [(i, v.replace('""', '"')) for i, v in rows]
+            want = {"plain": ('"', ""), "over": ("400", "x\ny"), "open": ('4"0', "x\ny"), "empty": ("400", '"\ny')}
+            assert got[400:] == [want[name]]
+            assert (df.rdd.getNumPartitions() > 1) == (name == "plain")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_parser_output_must_have_its_columns(spark, tmp_path):
     good = tmp_path / "gn.csv"
     good.write_text("Id,Verbatim,Cardinality,CanonicalStem,CanonicalSimple,CanonicalFull,Authorship,Year,Quality\n1,Aus ii Gray,2,Aus ii,Aus ii,Aus ii,Gray,,1\n")
