@@ -24,6 +24,12 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return with_small_batches(df).mapInArrow(f, schema)
 
 
+def arrow_type(df: DataFrame, name: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[name].dataType)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and where each text begins (one more than texts); null is empty."""
     column = column.fill_null("").cast(pa.large_string())
