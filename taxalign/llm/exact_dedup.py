@@ -1,11 +1,16 @@
 """Exact duplicates by distributed radix partitioning, most significant bytes first.
 
 Texts that share all bytes so far form a group.  Each round splits the open groups by the
-next block of bytes: an aggregate counts (group, block), a join hands the new group back,
-and groups of one row, or whose text has ended, are done.  Blocks grow eightfold, so the
-number of rounds follows the logarithm of the longest repeated text.  Only rows that share
-their first block with another row ever carry their text into a shuffle.  Equality is
-settled by the bytes themselves; the digest in the result is only reported.
+next block of bytes: an aggregate counts (group, block, whether the text ends there), a join
+hands each row its new group, named after its first row, and groups of one row, or whose
+texts have ended, are done.  Rows carry only the bytes not yet compared.  Blocks grow
+sixteenfold, so the number of rounds follows the logarithm of the longest repeated text.
+Equality is settled by the bytes themselves; the digest in the result is only reported.
+
+Before the first round a bitmap of bounded size marks where the hashes of first blocks fall
+that occur more than once.  Rows outside it share their first block with no other row: they
+are groups of one and carry no text into a shuffle.  Rows inside it go through the rounds,
+so the bitmap spares work and decides nothing.
 
 A group of copies may hold any share of the rows: it costs one partial count per task, and
 the join back has one row per key on its other side, so adaptive execution can split it.
@@ -17,76 +22,83 @@ repeat that id, one of them stays.  An empty table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxalign.llm.tables import drop, write
 
 #: Bytes of the first block, the factor between blocks, and the largest block.
-FIRST, GROWTH, MOST = 64, 16, 1 << 22
+FIRST, GROWTH, MOST = 512, 16, 1 << 22
+#: Bits of the bitmap of first blocks: as many for each row, and these at least and at most (32 MB).
+PER_ROW, FEWEST, MOST_BITS = 64, 20, 28
+#: Bits in one value of the bitmap (Spark's bitmap functions have as many).
+CHUNK_BITS = 15
 
 
-def normalised(text: str) -> F.Column:
+def normalised(text: str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), "[ \\t-\\r]+", " ")
 
 
-def _block(begin: int, width: int) -> F.Column:
-    """Bytes [begin, begin + width) of the text, and whether the text ends there."""
-    return F.substring(F.col("bytes"), begin + 1, width)
+def _place(bits: int) -> Column:
+    """Where a row's first block falls in a bitmap of 2 ** ``bits`` bits."""
+    return F.shiftrightunsigned(F.xxhash64(F.substring("bytes", 1, FIRST)), 64 - bits)
+
+
+def _staged(df: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """(row, id, bytes, …) of all rows; ``bytes`` is null where no other row has the first block."""
+    rows = df.select(F.col(f"`{key}`").alias("id"), normalised(text).cast("binary").alias("bytes"), *more)
+    bits = min(max((PER_ROW * df.count()).bit_length(), FEWEST), MOST_BITS)
+    met = rows.groupBy(_place(bits).alias("place")).agg(F.count("*").alias("n")).where("n > 1")
+    bitmap = met.groupBy(F.shiftright("place", CHUNK_BITS).alias("chunk")).agg(
+        F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit((1 << CHUNK_BITS) - 1))).alias("bitmap"))
+    at = _place(bits)
+    byte = F.shiftright(at.bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)), 3).cast("int") + 1
+    value = F.conv(F.hex(F.substring(F.col("bitmap"), byte, F.lit(1))), 16, 10).cast("int")
+    met = F.coalesce(F.getbit(value.cast("long"), at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    # the bitmap has 2 ** MOST_BITS bits at most, whatever the table
+    found = rows.withColumn("chunk", F.shiftright(at, CHUNK_BITS)).join(F.broadcast(bitmap), "chunk", "left")
+    found = found.withColumn("bytes", F.when(met, F.col("bytes"))).drop("chunk", "bitmap")
+    return write(found.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def _settled(staged: DataFrame, *also: str) -> DataFrame:
+    """(row, id, keep_id, keep_row, n, …) of every staged row: the row that stays of its group, and the group's size."""
+    alone = ["id", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("n")]
+    done = staged.where("bytes is null").select("row", *alone, *also)
+    active = staged.where("bytes is not null").select("row", "id", *also, F.lit(0).cast("long").alias("group"), F.col("bytes").alias("rest"))
+    width = FIRST
+    while True:
+        cut = active.withColumns({"block": F.substring("rest", 1, width), "ended": F.octet_length("rest") <= width})
+        # null ids come last
+        first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("first")
+        groups = write(cut.groupBy("group", "block", "ended").agg(F.count("*").alias("n"), first).where("n > 1"), "groups")
+        # a merge join at every size: its large side can be split where one group is hot
+        split = cut.join(groups.hint("merge"), ["group", "block", "ended"], "left")
+        goes_on = F.col("n").isNotNull() & ~F.col("ended")
+        split = write(split.select(
+            "row", "id", *also, F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("keep_id"),
+            F.coalesce("first.row", "row").alias("keep_row"), F.coalesce("n", F.lit(1)).alias("n"),
+            F.when(goes_on, F.expr(f"substring(rest, {width + 1})")).alias("rest")), "split")
+        drop(groups)
+        done = done.unionByName(split.where("rest is null").select("row", "id", "keep_id", "keep_row", "n", *also))
+        active = split.where("rest is not null").select("row", "id", *also, F.col("keep_row").alias("group"), "rest")
+        if active.isEmpty():
+            return done
+        width = min(width * GROWTH, MOST)
 
 
 def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, keep_id, group_size, kept, text_sha256: one row per row of ``df``."""
-    spark = df.sparkSession
-    norm = normalised(text)
-    rows = df.select(F.col(f"`{key}`").alias("id"), norm.cast("binary").alias("bytes"))
-    rows = rows.select("id", "bytes", F.octet_length("bytes").alias("size"), F.sha2("bytes", 256).alias("sha"), _block(0, FIRST).alias("block"))
-    heads = rows.select("block").groupBy("block").agg(F.count("*").alias("n"))
-    # singles leave without their text, and take only the bytes of the first block along
-    heads = write(heads.where("n > 1"), "heads").withColumn("shared", F.lit(True))
-    first = rows.select("id", "sha", "block").join(heads, "block", "left")
-    done = [first.where("shared is null").select("id", "sha", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"))]
-    number = F.monotonically_increasing_id()
-    groups = write(heads.select("block", number.alias("group")), "groups")
-    active = write(rows.join(groups, "block").select("id", "sha", "size", "bytes", "group"), "active")
-    begin, width = FIRST, FIRST * GROWTH
-    while True:
-        ended = active.where(F.col("size") <= begin)
-        # a text that has ended differs from those that go on: it is in a group of its own
-        settled = write(ended.groupBy("group", "id", "sha").agg(F.count("*").alias("c")), "settled")
-        best = settled.groupBy("group").agg(F.min("id").alias("keep"), F.sum("c").alias("n"))
-        done.append(settled.join(best, "group").select("id", "sha", "c", "keep", "n"))
-        open_ = active.where(F.col("size") > begin).withColumn("block", _block(begin, width))
-        counts = open_.groupBy("group", "block").agg(F.count("*").alias("n"))
-        counts = write(counts.select("group", "block", "n", number.alias("next")), "counts")
-        if counts.isEmpty():
-            break
-        split = open_.join(counts, ["group", "block"])
-        done.append(write(split.where("n = 1").select("id", "sha", F.col("id").alias("keep"), "n"), "singles"))
-        following = write(split.where("n > 1").select("id", "sha", "size", "bytes", F.col("next").alias("group")), "active")
-        drop(active, counts)
-        active = following
-        begin, width = begin + width, min(width * GROWTH, MOST)
-    out = done[0].withColumn("c", F.lit(1).cast("long"))
-    for part in done[1:]:
-        out = out.unionByName(part.withColumn("c", F.lit(1).cast("long")) if "c" not in part.columns else part)
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "c")))
-    return out.select(F.col("id").alias(key), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"),
-                      (F.col("id").eqNullSafe(F.col("keep")) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
+    staged = _staged(df, key, text, F.sha2(normalised(text).cast("binary"), 256).alias("sha"))
+    return _settled(staged, "sha").select(
+        F.col("id").alias(key), "keep_id", F.col("n").alias("group_size"),
+        (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay: one of each group of equal texts, as it was."""
-    stays = exact_groups(df, key, text).where("kept").select(*_identity(F.col(f"`{key}`"), F.col("text_sha256")))
-    marked = df.select("*", *_identity(F.col(f"`{key}`"), F.sha2(normalised(text).cast("binary"), 256)))
-    # rows that repeat both id and text are told apart by neither, so one is taken; the
-    # join has already brought them together
-    kept = marked.join(stays, _IDENTITY, "left_semi").dropDuplicates(_IDENTITY)
-    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
-
-
-_IDENTITY = ["_stay_id", "_stay_null", "_stay_sha"]
-
-
-def _identity(key: F.Column, sha: F.Column) -> list[F.Column]:
-    return [F.coalesce(key.cast("string"), F.lit("")).alias("_stay_id"), key.isNull().alias("_stay_null"), sha.alias("_stay_sha")]
+    staged = _staged(df, key, text, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"))
+    stays = _settled(staged).where("row = keep_row").select("row")
+    alone = staged.where("bytes is null").select("whole.*")
+    others = staged.where("bytes is not null").join(stays.hint("merge"), "row", "left_semi")
+    return alone.unionByName(others.select("whole.*"))
