@@ -96,6 +96,20 @@ for _s in "ab":
               f"(select distinct fam_{_s} fam, genus from x_part)"),
         _rows(3, "k", "'P' || k", f"'G_' || fam_{_s} || '_' || genus", "'species'", "genus || ' ' || epithet", "x_part",
               "author || ', ' || \"year\"")]))
+define("x_g0", f"""select *, {letters('(k // 4)')} e0, {segname('seg')} g0, k % 6 in (1, 5) and k > 0 and not (b and (k - 1) % 23 = 0) syn from (
+  select k, n, seg, false b from x_cust union all select k, n, case when k % 10 = 7 then (seg + 1) % 5 else seg end, true from x_cust where k % 23 <> 0)""")
+define("x_g1", f"""select *, concat_ws(' ', case when k % 11 = 3 then '?' else g0 end, mid, case when k % 13 = 5 then '?' else e0 end) nm,
+  case when k % 8 = 3 or (b and k % 20 = 17) then '(' || au || ')' else au end aut from (select *,
+   case when k % 18 = 2 then '?' when k % 18 = 11 then {letters('(k % 7 + case when b and k % 4 = 1 then 1 else 0 end)')} end mid,
+   case when k % 16 = 7 then 'Someone' when b and k % 17 = 4 then 'Weber' when k % 5 = 1 then 'Li' else 'Smith' || {letters('n % 3')} end || ', ' ||
+   case when k % 14 = 9 then 1111 else 1800 + (k // 4) % 50 + case when b and k % 19 = 6 then 1 else 0 end end au from x_g0)""")
+for _s, _is in (("", "not b"), ("b", "b")):
+    define(f"x_guess{_s or 'a'}", " union all ".join([
+        _rows(2, "n_nationkey", f"'{_s}N' || n_nationkey", "''", "'family'", f"'Natio' || {letters('n_nationkey')}", "nation"),
+        _rows(3, "(n * 10 + seg)", f"'{_s}G' || n || '_' || seg", f"'{_s}N' || n", "'genus'", segname("seg"), f"(select distinct n, seg from x_g0 where {_is})"),
+        _rows(4, "k", f"'{_s}S' || k", f"case when syn then '' else '{_s}G' || n || '_' || seg end", "case when mid is null then 'species' else 'subspecies' end",
+              "nm", f"x_g1 where {_is}", "aut", f"case when syn then '{_s}S' || (k - 1) else '' end",
+              "case when not syn then 'accepted' when k % 6 = 1 then 'objective synonym' else 'synonym' end")]))
 define("x_tangled", """select _ord, taxonID,
   case when chain or lost then '' when ring_down then 'S' || (k - 1) when ring_up then 'S' || (k + 1)
        when orphan then 'X' || k else parentNameUsageID end parentNameUsageID,
@@ -173,6 +187,7 @@ def tree(p: str, sources: dict[str, str]) -> None:
 tree("s", {"A": "x_a", "B": "x_b"})
 tree("h", {"A": "x_ha", "B": "x_hb"})
 tree("t", {"A": "x_tangled"})
+tree("e", {"A": "x_guessa", "B": "x_guessb"})
 
 
 def prefix(p: str, q: str) -> str:
@@ -188,14 +203,14 @@ def in_tree(x: str, y: str) -> str:
 
 # -- names ----------------------------------------------------------------------------------
 
-def authorship(table: str, column: str, p: str) -> list[str]:
-    """Three select layers that take an authorship apart."""
+def authorship(table: str, column: str, p: str, least: int = 3) -> list[str]:
+    """Three select layers that take an authorship apart; a name has a capital and ``least`` further letters."""
     return [
         f"""select *, case when regexp_extract({column}, '\\(\\b([12][0-9]{{3}})\\b\\)') <> ''
   then replace({column}, regexp_extract({column}, '\\(\\b([12][0-9]{{3}})\\b\\)'), regexp_extract({column}, '\\(\\b([12][0-9]{{3}})\\b\\)', 1)) else {column} end {p}text from {table}""",
         f"""select *, contains({p}text, '(') and contains({p}text, ')') {p}moved, regexp_replace(case when contains({p}text, '(') and contains({p}text, ')')
   then translate({p}text, '()', '') else {p}text end, '^(\\p{{Lu}}[.] )+', '') {p}plain from prev""",
-        f"""select *, nullif(nullif(regexp_extract({p}plain, '\\p{{Lu}}[\\p{{L}}-]{{3,}}'), ''), 'Someone') {p}token,
+        f"""select *, nullif(nullif(regexp_extract({p}plain, '\\p{{Lu}}[\\p{{L}}-]{{{least},}}'), ''), 'Someone') {p}token,
   nullif(nullif(regexp_extract({p}plain, '\\b([12][0-9]{{3}})\\b', 1), ''), '1111') {p}year,
   case when {column} <> '' then not {p}moved end {p}protonymp from prev"""]
 
@@ -211,7 +226,7 @@ def polynomial(c: str) -> str:
     return f"(not contains({c}, ' × ') and not contains({c}, ' x '))"
 
 
-def parse(name: str, source: str, best: str = "coalesce(nullif(scientificName, ''), nullif(canonicalName, ''), taxonID)", gn: bool = False) -> None:
+def parse(name: str, source: str, best: str = "coalesce(nullif(scientificName, ''), nullif(canonicalName, ''), taxonID)", gn: bool = False, least: int = 3) -> None:
     full, stem, gauth = ("gn_canonical_full", "gn_canonical_stem", "gn_authorship") if gn else ("''", "''", "''")
     layers = [
         f"""select *, replace({best}, '  ', ' ') v, nullif(trim(canonicalName), '') can, nullif({full}, '') gfull, nullif({stem}, '') gstem, {gauth} gauth,
@@ -232,13 +247,13 @@ def parse(name: str, source: str, best: str = "coalesce(nullif(scientificName, '
         """select *, nullif(case when how = 'whole' then nm else ws[1] end, '?') p_genus,
   nullif(case when one then '' else array_to_string(ws[2:len(ws) - 1], ' ') end, '?') p_middle, nullif(case when one then '' else ws[len(ws)] end, '?') p_epithet from prev"""]
     flat = nest(layers)
-    first = nest([authorship(f"({flat})", "used", "u_")[0], *authorship("x", "used", "u_")[1:]])
-    both = nest([authorship(f"({first})", '"by"', "o_")[0], *authorship("x", '"by"', "o_")[1:]])
+    first = nest([authorship(f"({flat})", "used", "u_")[0], *authorship("x", "used", "u_", least)[1:]])
+    both = nest([authorship(f"({first})", '"by"', "o_")[0], *authorship("x", '"by"', "o_", least)[1:]])
     define(name, f"""select * , coalesce(u_token, o_token) p_token, least(u_year, o_year) p_year, coalesce(o_protonymp, u_protonymp) p_protonymp from ({both})""")
 
 
-for _p in "sht":
-    parse(f"{_p}_parts", f"(select * from {_p}_tree)")
+for _p in "shte":
+    parse(f"{_p}_parts", f"(select * from {_p}_tree)", least=1 if _p == "e" else 3)
     define(f"{_p}_rec", f"""select r.*, f.canonicalName family, coalesce(nullif(p_epithet, ''), nullif(p_genus, ''), '?' || r.taxonID) key,
    case when p_epithet = '' and p_genus <> '' then lower(p_genus) else p_epithet end ep,
    case when p_epithet = '' then 4 when p_middle is not distinct from p_epithet then 2 when p_middle is null or p_middle = '' then 0 else 1 end form
@@ -407,3 +422,55 @@ define("s_venn", """select r.u, r.v, l.exemplar_id, l.epithet, case when a.nid i
   left join s_block a on a.nid = r.u and a.exemplar_id = l.exemplar_id left join s_block b on b.nid = r.v and b.exemplar_id = l.exemplar_id
   where a.nid is not null or b.nid is not null""".replace("join s_label l on true", """join (select distinct r2.u u2, r2.v v2, b2.exemplar_id e2 from s_rel r2 join s_block b2 on b2.nid = r2.u or b2.nid = r2.v
    where r2.relation is not null) q on q.u2 = r.u and q.v2 = r.v join s_label l on l.exemplar_id = q.e2"""))
+
+# -- version 8, for the checklists with unknown parts -----------------------------------------
+
+
+def classify_v8(x: str, y: str) -> str:
+    mid = "case when {0}.p_middle = '' and {0}.ep is not null then {0}.ep else {0}.p_middle end"
+    td, yd, gd = (f"coalesce({x}.p_{c} <> {y}.p_{c}, false)" for c in ("token", "year", "genus"))
+    md = f"coalesce({mid.format(x)} <> {mid.format(y)}, false)"
+    mis = f"(cast({td} as int) + cast({yd} as int) + cast({md} or {gd} as int))"
+    unknown = (f"(cast({x}.p_token is null or {y}.p_token is null as int) + cast({x}.p_year is null or {y}.p_year is null as int)"
+               f" + cast(coalesce({x}.p_epithet = {y}.p_epithet, false) as int))")
+    return f"""cast(case when coalesce({x}.p_epithet <> {y}.p_epithet, false) then 0 when {mis} > 1 then 1 when {unknown} >= 2 then 5
+   when {gd} and coalesce({x}.p_protonymp and {y}.p_protonymp, false) then 7 when {gd} then 8 when {md} then 8.5 when {mis} > 0 then 9 else 10 end as double)"""
+
+
+def related_v8(name: str, pairs: str, p: str) -> None:
+    """(x, y, relation) of pairs of nodes of one tree: both climb to equal level, edge labels compose."""
+    define(f"{name}_r", f"""select x.nid x, y.nid y, x3.nid x3, y3.nid y3, case when xs.n_lt > x3s.n_lt then 1 when xs.n_le > x3s.n_le then 5 else 4 end rx,
+   case when ys.n_lt > y3s.n_lt then 1 when ys.n_le > y3s.n_le then 5 else 4 end ry from ({pairs}) q join {p}_all x on x.nid = q.x join {p}_all y on y.nid = q.y
+   join {p}_all x3 on x3.nid = x.path[least(len(x.path), len(y.path))] join {p}_all y3 on y3.nid = y.path[least(len(x.path), len(y.path))]
+   join {p}_sums xs on xs.nid = x.nid join {p}_sums ys on ys.nid = y.nid join {p}_sums x3s on x3s.nid = x3.nid join {p}_sums y3s on y3s.nid = y3.nid""")
+    bridge = "case when x3 = y3 then 4 when rx <> 5 and ry <> 5 then 8 else 31 end"
+    define(name, f"select distinct x, y, {compose(compose('rx', bridge), reverse('ry'))} relation from {name}_r")
+
+
+define("e_sums", """select u.nid, sum(case when a.relation = 1 then 1 else 0 end) n_lt, sum(case when a.relation = 5 then 1 else 0 end) n_le
+  from e_up u join e_all a on a.nid = u.ancestor group by u.nid""")
+define("e_first", PARTS["s_first"].replace("s_rec", "e_rec"))
+related_v8("e_meet", "select nid x, f y from e_first where nid <> f", "e")
+define("e_ties", f"""select x.nid, x.f "first" from e_first x join e_rec y on y.nid = x.f join e_meet m on m.x = x.nid and m.y = x.f
+   where (m.relation & 8) = 0 and (({classify_v8('x', 'y')}) >= 8 or (contains(x.taxonomicStatus, 'objective') and x.sup = y.nid)
+     or (contains(y.taxonomicStatus, 'objective') and y.sup = x.nid))""")
+define("e_spec", PARTS["s_spec"].replace("s_rec", "e_rec").replace("s_ties", "e_ties"))
+define("e_pairs", f"""select * from (select x.side, x.nid, x.spec, y.nid ynid, y.spec yspec, x.family xf, y.family yf,
+     {{'s': case when y.accepted then 1 else 2 end, 'f': y.form, 'c': -y.n_children, 'y': -y.n_synonyms, 'n': y.scientificName, 't': y.taxonID}} imp,
+     {classify_v8('x', 'y')} cls from e_spec x join e_spec y on x.key = y.key and x.side <> y.side) where cls > 8 or (cls = 8 and xf = yf)""")
+define("e_two", """select b.side, b.spec, b.cls, b."first", b."second", coalesce(m.rep, b."first") x, coalesce(n.rep, b."second") y from e_best b
+   left join e_srep m on m.spec = b."first" left join e_srep n on n.spec = b."second" """)
+related_v8("e_apart", 'select x, y from e_two where "second" is not null', "e")
+define("e_check", """select b.*, (r.relation & 8) <> 0 apart, x.accepted and y.accepted both_acc from e_two b
+   left join e_apart r on r.x = b.x and r.y = b.y and b."second" is not null
+   left join e_all x on b."second" is not null and x.nid = b.x left join e_all y on y.nid = b.y""")
+
+
+def for_guessed(select: str) -> str:
+    """The same statement over the checklists with unknown parts; all that it needs is derived from the star's."""
+    import re
+
+    for name, body in list(PARTS.items()):
+        if name.startswith("s_") and "e_" + name[2:] not in PARTS:
+            define("e_" + name[2:], re.sub(r"\bs_", "e_", body))
+    return re.sub(r"\bs_", "e_", select)

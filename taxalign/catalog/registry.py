@@ -45,6 +45,11 @@ def homonym(spark: SparkSession, sf_dir: str) -> Alignment:
     return _once(spark, sf_dir, "homonym", lambda: Alignment(fx.homonyms(spark, sf_dir, "A"), fx.homonyms(spark, sf_dir, "B")))
 
 
+def guessed(spark: SparkSession, sf_dir: str) -> Alignment:
+    """Alignment by version 8 of the checklists whose names have unknown parts."""
+    return _once(spark, sf_dir, "guessed", lambda: Alignment(fx.guessed(spark, sf_dir, "A"), fx.guessed(spark, sf_dir, "B"), version=8))
+
+
 def tangled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node table of the faulty checklist."""
     return _once(spark, sf_dir, "tangled", lambda: T.build_forest(
@@ -720,36 +725,23 @@ def _(spark, d):
     return _ids(M.declared_homotypic(marked), nodes, taxonID="nid", superior="sup")
 
 
-for _name, _p, _run in (("star", "s", star), ("homonym", "h", homonym)):
+O.for_guessed("")
+for _name, _p, _run in (("star", "s", star), ("homonym", "h", homonym), ("v8", "e", guessed)):
     @query(f"candidate_matches_{_name}", f"select x.side, x.taxonID, p.cls, count(*) n_partners from {_p}_pairs p join {_p}_all x on x.nid = p.nid group by all")
     def _(spark, d, run=_run):
         al = run(spark, d)
-        out = M.candidate_matches(al.records)
+        out = (M.candidate_matches if al.version == 7 else M.candidate_matches_v8)(al.records)
         return out.join(al.nodes.select("nid", "taxonID"), "nid").select("side", "taxonID", "cls", "n_partners")
 
     @query(f"best_matches_{_name}", f"""select b.side, x.taxonID spec_id, b.cls, y.taxonID first_id, z.taxonID second_id from {_p}_best b join {_p}_all x on x.nid = b.spec join {_p}_all y on y.nid = b."first" left join {_p}_all z on z.nid = b."second" """)
     def _(spark, d, run=_run):
         al = run(spark, d)
-        return _ids(al.best.drop("n_partners"), al.nodes, spec_id="spec", first_id="first", second_id="second")
+        return _ids(al.best, al.nodes, spec_id="spec", first_id="first", second_id="second")
 
     @query(f"partner_counts_{_name}", f"select c.side, x.taxonID spec_id, c.cls, count(*) n_partners from {_p}_cand c join {_p}_best b on b.side = c.side and b.spec = c.spec and b.cls = c.cls join {_p}_all x on x.nid = c.spec group by all")
     def _(spark, d, run=_run):
         al = run(spark, d)
-        return _ids(al.best.select("side", "spec", "cls", "n_partners"), al.nodes, spec_id="spec")
-
-    O.define(f"{_p}_way", f"""select distinct side, spec, key, epithet, u.* from (select side, spec, key, epithet, unnest([
-      case when genus is not null and token is not null and year is not null then {{'cls': 10, 'genus': genus, 'token': token, 'year': year, 'family': ''}} end,
-      case when genus is not null and token is not null then {{'cls': 9, 'genus': genus, 'token': token, 'year': '', 'family': ''}} end,
-      case when genus is not null and year is not null then {{'cls': 9, 'genus': genus, 'token': '', 'year': year, 'family': ''}} end,
-      case when token is not null and year is not null and family is not null then {{'cls': 8, 'genus': '', 'token': token, 'year': year, 'family': family}} end]) u
-     from (select side, spec, key, ep epithet, p_genus genus, p_token token, p_year "year", family from {_p}_spec) where epithet is not null) where u is not null""")
-    O.define(f"{_p}_met", f"""select w.*, y.n from {_p}_way w join (select side, key, epithet, cls, genus, token, "year", family, count(*) n from {_p}_way group by all) y
-     on y.side <> w.side and y.key = w.key and y.epithet = w.epithet and y.cls = w.cls and y.genus = w.genus and y.token = w.token and y."year" = w."year" and y.family = w.family""")
-
-    @query(f"partner_groups_{_name}", f"""select m.side, x.taxonID spec_id, m.key, m.epithet, m.cls, m.genus, m.token, m."year", m.family, m.n, m.cls = max(m.cls) over (partition by m.side, m.spec) top from {_p}_met m join {_p}_all x on x.nid = m.spec""")
-    def _(spark, d, run=_run):
-        al = run(spark, d)
-        return _ids(al.partner_groups, al.nodes, spec_id="spec")
+        return _ids(al.best.join(al.partner_counts, ["side", "spec"]).select("side", "spec", "cls", "n_partners"), al.nodes, spec_id="spec")
 
     @query(f"mutual_best_{_name}", f"select x.taxonID a_id, y.taxonID b_id from {_p}_edge e join {_p}_all x on x.nid = e.u join {_p}_all y on y.nid = e.v")
     def _(spark, d, run=_run):
@@ -759,12 +751,12 @@ for _name, _p, _run in (("star", "s", star), ("homonym", "h", homonym)):
     @query(f"match_review_{_name}", f"select x.taxonID spec_id, d.cls, d.outcome from {_p}_dec d join {_p}_all x on x.nid = d.spec where d.outcome not in ('match', 'double A', 'double B')")
     def _(spark, d, run=_run):
         al = run(spark, d)
-        return _ids(M.match_review(al.decisions).drop("n_partners"), al.nodes, spec_id="spec")
+        return _ids(M.match_review(al.decisions), al.nodes, spec_id="spec")
 
     @query(f"review_counts_{_name}", f"select x.taxonID spec_id, d.outcome, count(*) n_partners from {_p}_dec d join {_p}_all x on x.nid = d.spec join {_p}_cand c on c.side = 'A' and c.spec = d.spec and c.cls = d.cls where d.outcome not in ('match', 'double A', 'double B') group by all")
     def _(spark, d, run=_run):
         al = run(spark, d)
-        return _ids(M.match_review(al.decisions).select("spec", "outcome", "n_partners"), al.nodes, spec_id="spec")
+        return _ids(M.review_counts(al.decisions, al.partner_counts).select("spec", "outcome", "n_partners"), al.nodes, spec_id="spec")
 
     @query(f"exemplars_{_name}", f"select e.exemplar_id, e.side, x.taxonID from {_p}_ex e join {_p}_all x on x.nid = e.nid")
     def _(spark, d, run=_run):
@@ -777,6 +769,28 @@ for _name, _p, _run in (("star", "s", star), ("homonym", "h", homonym)):
         return M.exemplar_stats(al.records, al.exemplars)
 
 
+for _name, _p, _run in (("star", "s", star), ("homonym", "h", homonym)):
+    O.define(f"{_p}_way", f"""select distinct side, spec, key, epithet, u.* from (select side, spec, key, epithet, unnest([
+      case when genus is not null and token is not null and year is not null then {{'cls': 10, 'genus': genus, 'token': token, 'year': year, 'family': ''}} end,
+      case when genus is not null and token is not null then {{'cls': 9, 'genus': genus, 'token': token, 'year': '', 'family': ''}} end,
+      case when genus is not null and year is not null then {{'cls': 9, 'genus': genus, 'token': '', 'year': year, 'family': ''}} end,
+      case when token is not null and year is not null and family is not null then {{'cls': 8, 'genus': '', 'token': token, 'year': year, 'family': family}} end]) u
+     from (select side, spec, key, ep epithet, p_genus genus, p_token token, p_year "year", family from {_p}_spec) where epithet is not null) where u is not null""")
+    O.define(f"{_p}_met", f"""select w.*, y.n from {_p}_way w join (select side, key, epithet, cls, genus, token, "year", family, count(*) n from {_p}_way group by all) y
+     on y.side <> w.side and y.key = w.key and y.epithet = w.epithet and y.cls = w.cls and y.genus = w.genus and y.token = w.token and y."year" = w."year" and y.family = w.family""")
+
+    @query(f"partner_groups_{_name}", f"""select m.side, x.taxonID spec_id, m.key, m.epithet, m.cls, m.genus, m.token, m."year", m.family, m.n, m.cls = max(m.cls) over (partition by m.side, m.spec) top from {_p}_met m join {_p}_all x on x.nid = m.spec""")
+    def _(spark, d, run=_run):
+        al = run(spark, d)
+        return _ids(al.partner_groups, al.nodes, spec_id="spec")
+
+
+@query("homotypic_within_v8", """select x.side, x.taxonID, y.taxonID first_id from e_ties t join e_all x on x.nid = t.nid join e_all y on y.nid = t."first" """)
+def _(spark, d):
+    al = guessed(spark, d)
+    return _ids(al.ties, al.nodes.select("nid", "taxonID"), first_id="first").join(al.nodes.select("nid", "side", "taxonID"), "nid").select("side", "taxonID", "first_id")
+
+
 @query("exemplar_lookup", "select l.exemplar_id, a.taxonID a_id, b.taxonID b_id, l.epithet from s_label l join s_all a on a.nid = l.rep_a join s_all b on b.nid = l.rep_b")
 def _(spark, d):
     al = star(spark, d)
@@ -928,15 +942,23 @@ _NAME = "case when {0}.nid is null then '' else case when {0}.canonicalName <> '
 _LIST = "coalesce((select string_agg(v.exemplar_id || ' ' || v.epithet, '; ' order by v.epithet, v.exemplar_id) from s_venn v where v.u = r.u and v.v = r.v and v.part = '{0}'), '')"
 
 
-@query("alignment", f"""select coalesce(a.taxonID, '') "A concept taxonID", {_NAME.format('a')} "A concept name",
+_REPORT = f"""select coalesce(a.taxonID, '') "A concept taxonID", {_NAME.format('a')} "A concept name",
   case when r.relation is null then '' when starts_with({O.symbol('r.relation')}, '=') then '''' || {O.symbol('r.relation')} else {O.symbol('r.relation')} end "RCC5",
   coalesce(b.taxonID, '') "B concept taxonID", {_NAME.format('b')} "B concept name", {_LIST.format('both')} "in both A and B concepts",
   {_LIST.format('only_a')} "in A concept but not in B concept", {_LIST.format('only_b')} "in B concept but not in A concept"
-  from s_rel r left join s_all a on a.nid = r.u left join s_all b on b.nid = r.v""")
+  from s_rel r left join s_all a on a.nid = r.u left join s_all b on b.nid = r.v"""
+
+
+@query("alignment", _REPORT)
 def _(spark, d):
     return star(spark, d).report
 
 
+@query("alignment_v8", O.for_guessed(_REPORT))
+def _(spark, d):
+    return guessed(spark, d).report
+
+
 @query("venn_rows", "select a.taxonID a_id, b.taxonID b_id, v.exemplar_id, v.epithet, v.part from s_venn v join s_all a on a.nid = v.u join s_all b on b.nid = v.v")
 def _(spark, d):
     al = star(spark, d)

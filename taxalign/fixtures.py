@@ -142,6 +142,37 @@ def homonyms(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     )
 
 
+def guessed(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """Checklist with unknown parts: neighbours share epithets, `?`, Someone and 1111 stand for what is unknown.
+
+    Side B has other authors, years, genera and middle parts here and there, and fewer rows.
+    """
+    p, b = ("", F.lit(False)) if side == "A" else ("b", F.lit(True))
+    k, n = F.col("k"), F.col("n")
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"), _segment_number(F.col("c_mktsegment")).alias("seg"))
+    rows = rows.filter(~b | (k % 23 != 0)).withColumn("seg", F.when(b & (k % 10 == 7), (F.col("seg") + 1) % 5).otherwise(F.col("seg")))
+    genus = F.when(k % 11 == 3, "?").otherwise(_segment_name(F.col("seg")))
+    epithet = F.when(k % 13 == 5, "?").otherwise(letters((k / 4).cast("bigint")))
+    middle = F.when(k % 18 == 2, "?").when(k % 18 == 11, letters(k % 7 + F.when(b & (k % 4 == 1), 1).otherwise(0)))
+    name = F.concat_ws(" ", genus, middle, epithet)
+    token = F.when(k % 16 == 7, "Someone").when(b & (k % 17 == 4), "Weber").when(k % 5 == 1, "Li").otherwise(F.concat(F.lit("Smith"), letters(n % 3)))
+    year = F.when(k % 14 == 9, 1111).otherwise(1800 + (k / 4).cast("bigint") % 50 + F.when(b & (k % 19 == 6), 1).otherwise(0))
+    author = F.concat(token, F.lit(", "), year)
+    author = F.when((k % 8 == 3) | (b & (k % 20 == 17)), F.concat(F.lit("("), author, F.lit(")"))).otherwise(author)
+    synonym = (k % 6).isin(1, 5) & (k > 0) & ~(b & ((k - 1) % 23 == 0))
+    genus_id = F.concat(F.lit(p + "G"), n, F.lit("_"), F.col("seg"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"))
+    return (
+        _rows(nation, 2, n, taxonID=F.concat(F.lit(p + "N"), n), taxonRank=F.lit("family"), canonicalName=F.concat(F.lit("Natio"), letters(n)))
+        .unionByName(_rows(rows.select("n", "seg").distinct(), 3, n * 10 + F.col("seg"), taxonID=genus_id, parentNameUsageID=F.concat(F.lit(p + "N"), n),
+                           taxonRank=F.lit("genus"), canonicalName=_segment_name(F.col("seg"))))
+        .unionByName(_rows(rows, 4, k, taxonID=F.concat(F.lit(p + "S"), k), parentNameUsageID=F.when(synonym, "").otherwise(genus_id),
+                           acceptedNameUsageID=F.when(synonym, F.concat(F.lit(p + "S"), k - 1)).otherwise(""),
+                           taxonomicStatus=F.when(~synonym, "accepted").when(k % 6 == 1, "objective synonym").otherwise("synonym"),
+                           taxonRank=F.when(middle.isNull(), "species").otherwise("subspecies"), canonicalName=name, scientificNameAuthorship=author)))
+
+
 def tangled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checklist A with faults: chains of synonyms, orphans, rings, bad ranks, odd statuses."""
     a = checklist_a(spark, sf_dir)

@@ -64,6 +64,12 @@ def compare_names(p: Column, q: Column) -> Column:
     return classify(masks["misses"], masks["hits"])
 
 
+def middle_v8(p: Column) -> Column:
+    """The middle part as version 8 compares it: `G e` is treated like `G e e`, `G` like `G g g`."""
+    epithet = matched_epithet(p)
+    return F.when((p["middle"] == "") & epithet.isNotNull(), epithet).otherwise(p["middle"])
+
+
 def classify_v8(p: Column, q: Column) -> Column:
     """The stricter classifier: it also weighs middle parts and missing parentheses."""
     def differ(a: Column, b: Column) -> Column:
@@ -72,13 +78,10 @@ def classify_v8(p: Column, q: Column) -> Column:
     def either_unknown(a: Column, b: Column) -> Column:
         return a.isNull() | b.isNull()
 
-    ep, eq = matched_epithet(p), matched_epithet(q)
-    mp = F.when((p["middle"] == "") & ep.isNotNull(), ep).otherwise(p["middle"])
-    mq = F.when((q["middle"] == "") & eq.isNotNull(), eq).otherwise(q["middle"])
     genus_differs = differ(p["genus"], q["genus"])
     protonyms = F.coalesce(p["protonymp"] & q["protonymp"], F.lit(False))
     clash, motion = genus_differs & protonyms, genus_differs & ~protonyms
-    middle_differs = differ(mp, mq)
+    middle_differs = differ(middle_v8(p), middle_v8(q))
     mismatches = (differ(p["token"], q["token"]).cast("int") + differ(p["year"], q["year"]).cast("int")
                   + (middle_differs | genus_differs).cast("int"))
     # equal raw epithets also count here as one reliance on an unknown

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import homotypy as H, rcc5
 from ..functions.ranks import rank_number
 from ..staging import stage
-from .tree import is_prefix, prefixed, relation_in_tree
+from .tree import compare_in_tree_v8, prefixed, relation_in_tree
 
 _IN_TREE = ("nid", "sup", "relation", "accepted", "path")
 
@@ -37,18 +37,21 @@ def subproblems(records: DataFrame) -> DataFrame:
     return counts.filter("n_a > 0 and n_b > 0")
 
 
-def homotypic_within(records: DataFrame) -> DataFrame:
-    """(nid, first): ties inside one checklist.
+def _later_and_first(records: DataFrame) -> DataFrame:
+    """Inside a genus, every later record with an epithet and ``first``, the one met first.
 
-    Inside a genus every later record with an epithet is compared with the first one met;
-    the first is found by a partial aggregate, not by listing the group.
+    The first is found by a partial aggregate, not by listing the group.
     """
     epithet = F.coalesce(F.when(F.col("parts.epithet") != "", F.col("parts.epithet")), F.col("canonicalName"))
     rows = records.filter("genus_above is not null").withColumn("_ep", epithet)
     met = F.struct(F.slice("path", F.lit(1), F.size("path") - 1), F.col("nid"))
     firsts = rows.groupBy("genus_above", "_ep").agg(F.min_by("nid", met).alias("first"), F.count("*").alias("_n"))
-    later = rows.join(firsts.filter("_n > 1").drop("_n"), ["genus_above", "_ep"]).filter("nid <> first")
-    later = prefixed(later, "x_", *_IN_TREE, "parts", "first")
+    return rows.join(firsts.filter("_n > 1").drop("_n"), ["genus_above", "_ep"]).filter("nid <> first")
+
+
+def homotypic_within(records: DataFrame) -> DataFrame:
+    """(nid, first): ties inside one checklist, each later record with the first one met."""
+    later = prefixed(_later_and_first(records), "x_", *_IN_TREE, "parts", "first")
     head = prefixed(records, "y_", *_IN_TREE, "parts")
     pairs = later.join(head, F.col("x_first") == F.col("y_nid"))
     same_type = H.compare_names(F.col("x_parts"), F.col("y_parts")) >= H.MOTION
@@ -56,6 +59,19 @@ def homotypic_within(records: DataFrame) -> DataFrame:
         F.col("x_nid").alias("nid"), F.col("y_nid").alias("first"))
 
 
+def homotypic_within_v8(records: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same by version 8: the two must intersect in the tree, and one be declared the
+    other's objective synonym or their names be near enough."""
+    later = _later_and_first(records).select("nid", "first", "parts")
+    head = records.select(F.col("nid").alias("first"), F.col("parts").alias("_parts"))
+    pairs = stage(later.join(head, "first").select(
+        F.col("nid").alias("x"), F.col("first").alias("y"), (H.classify_v8(F.col("parts"), F.col("_parts")) >= H.MOTION).alias("near")), "pairs")
+    meet = compare_in_tree_v8(pairs, nodes.filter("path is not null")).filter(F.col("relation").bitwiseAND(F.lit(rcc5.DISJOINT)) == 0)
+    declared = declared_homotypic(nodes)
+    said = (declared.toDF("x", "y").unionByName(declared.toDF("y", "x"))).distinct().withColumn("said", F.lit(True))
+    return meet.join(said, ["x", "y"], "left").filter("near or said").select(F.col("x").alias("nid"), F.col("y").alias("first"))
+
+
 def declared_homotypic(nodes: DataFrame) -> DataFrame:
     """(nid, sup): synonyms declared objective, tied to their own superior."""
     return nodes.filter(F.col("taxonomicStatus").contains("objective") & (F.col("sup") > 0)).select("nid", "sup")
@@ -66,8 +82,12 @@ def with_specimens(records: DataFrame, ties: DataFrame) -> DataFrame:
     return records.join(ties, "nid", "left").withColumn("spec", F.coalesce("first", "nid")).drop("first")
 
 
-def _lookups(records: DataFrame, motion: str) -> DataFrame:
+def _lookups(records: DataFrame, motion: str, version: int = 7) -> DataFrame:
     """Each record once for every class it can reach, with the parts that must be equal."""
+    if motion not in ("family", "never"):
+        raise ValueError("motion is 'family' or 'never'")
+    if version == 8:
+        return _lookups_v8(records, _WAYS_V8 if motion == "family" else _WAYS_V8[:4])
     author = F.col("token").isNotNull() & F.col("year").isNotNull()
     genus = F.col("genus").isNotNull()
 
@@ -80,8 +100,6 @@ def _lookups(records: DataFrame, motion: str) -> DataFrame:
             way(H.CORRECTION, genus & F.col("year").isNotNull(), "genus", "year")]
     if motion == "family":
         ways.append(way(H.MOTION, author & F.col("family").isNotNull(), "token", "year", "family"))
-    elif motion != "never":
-        raise ValueError("motion is 'family' or 'never'")
     rows = records.filter("epithet is not null").select(
         "side", "spec", "nid", "importance", "key", "epithet", F.explode(F.array_compact(F.array(*ways))).alias("_w"))
     # the fields that need not be equal are '' here; a real part is never ''
@@ -91,11 +109,82 @@ def _lookups(records: DataFrame, motion: str) -> DataFrame:
 
 _EQUAL = ["key", "epithet", "cls", "genus", "token", "year", "family"]
 
+#: Ways of meeting in version 8, and the least class of those who meet so.
+_WAYS_V8 = [("all", H.HOMOTYPIC), ("any token", H.CORRECTION), ("any year", H.CORRECTION), ("any middle", H.MIDDLE), ("family", H.MOTION)]
+#: Those of the last way whose genera agree, or are unknown: not moved.
+_UNMOVED = ("family, genus", H.HETEROTYPIC)
+_BOTH_KNOWN, _NEITHER = "~", "0"
+
+
+def _lookups_v8(records: DataFrame, ways: list[tuple[str, float]]) -> DataFrame:
+    """Each record under every combination of tags by which a partner can agree with it.
+
+    An unknown part agrees with any.  Two parts agree in one of four ways: both are known
+    and equal, only A's is known, only B's is, or neither.  A known part has the tags of the
+    first way (`=` and its value) and of its own side; an unknown one those of the other
+    side and of neither.  So a pair shares exactly one tag of each part that agrees, none of
+    one that doesn't, and equality of tags finds all partners without listing pairs.
+
+    Where both epithets are known no token or year may be unknown; elsewhere one may.
+    """
+    p, side, way = F.col("parts"), F.col("side"), F.col("way.name")
+    nothing, anything = F.array().cast("array<string>"), F.array(F.lit(""))
+
+    def tags(part: Column) -> Column:
+        return F.when(part.isNotNull(), F.array(F.concat(F.lit("="), part), side)).otherwise(F.array(_other(side), F.lit(_NEITHER)))
+
+    def both_known(part: Column) -> Column:
+        return F.when(part.isNotNull(), F.array(F.lit(_BOTH_KNOWN))).otherwise(nothing)
+
+    by_family = way.isin("family", _UNMOVED[0])
+    # two protonyms in different genera clash: only one may be, or neither
+    protonym = F.when(F.coalesce(p["protonymp"], F.lit(False)), F.array(side)).otherwise(F.array(_other(side), F.lit(_NEITHER)))
+    choices = {
+        "e": tags(p["epithet"]),
+        "t": F.when(way == "any token", both_known(p["token"])).otherwise(tags(p["token"])),
+        "y": F.when(way == "any year", both_known(p["year"])).otherwise(tags(p["year"])),
+        "m": F.when(by_family | (way == "any middle"), anything).otherwise(tags(H.middle_v8(p))),
+        "g": F.when(way == "family", anything).otherwise(tags(p["genus"])),
+        "p": F.when(by_family, protonym).otherwise(anything),
+        "f": F.when(by_family, F.when(F.col("family").isNotNull(), F.array("family")).otherwise(nothing)).otherwise(anything),
+    }
+    listed = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(code)).alias("cls")) for name, code in ways])
+    rows = records.select("side", "spec", "nid", "importance", "key", "parts", "family", F.explode(listed).alias("way"))
+    for name, found in choices.items():
+        rows = rows.withColumn(name, F.explode(found))
+    unknown = sum(((~F.col(c).startswith("=")) & (F.col(c) != _BOTH_KNOWN)).cast("int") for c in "ty")
+    rows = rows.filter(unknown <= F.when(F.col("e").startswith("="), 0).otherwise(1))
+    return rows.select("side", "spec", "nid", "importance", "key", F.col("e").alias("epithet"), "way.cls", F.concat_ws("\u0001", "g", "m", "p").alias("genus"),
+                       F.col("t").alias("token"), F.col("y").alias("year"), F.col("f").alias("family"))
+
 
 def _other(side: Column) -> Column:
     return F.when(side == "A", "B").otherwise("A")
 
 
+def candidate_matches_v8(records: DataFrame, motion: str = "family") -> DataFrame:
+    """Per record the number of partners in each class of version 8, counted without listing pairs."""
+    ways = [*_WAYS_V8, _UNMOVED] if motion == "family" else _WAYS_V8[:4]
+    rows = _lookups_v8(records.withColumn("spec", F.col("nid")), ways)
+    sizes = rows.groupBy(F.col("side").alias("_side"), *_EQUAL).agg(F.count("*").alias("_n"))
+    hit = rows.withColumn("_side", _other(F.col("side"))).join(sizes, ["_side", *_EQUAL])
+    full = F.col("cls") == H.HOMOTYPIC
+
+    def total(test: Column) -> Column:
+        return F.sum(F.when(test, F.col("_n")).otherwise(0))
+
+    found = hit.groupBy("side", "nid").agg(
+        total(full).alias("full"), total(F.col("cls") == H.CORRECTION).alias("nearly"),
+        # those who agree on everything and are found by any token, by any year as well
+        (total(full & F.col("token").startswith("=")) + total(full & F.col("year").startswith("="))).alias("again"),
+        total(F.col("cls") == H.MIDDLE).alias("middle"), total(F.col("cls") == H.MOTION).alias("family"),
+        total(F.col("cls") == _UNMOVED[1]).alias("unmoved"))
+    per = {H.HOMOTYPIC: F.col("full"), H.CORRECTION: F.col("nearly") - F.col("again"), H.MIDDLE: F.col("middle") - F.col("full"),
+           H.MOTION: F.col("family") - F.col("unmoved")}
+    counts = F.array(*[F.struct(F.lit(float(c)).alias("cls"), n.alias("n_partners")) for c, n in per.items()])
+    return found.select("side", "nid", F.inline(counts)).filter("n_partners > 0")
+
+
 def candidate_matches(records: DataFrame, motion: str = "family") -> DataFrame:
     """Per record the number of partners in each class, counted without listing pairs.
 
@@ -134,13 +223,13 @@ def _two_best(rows: DataFrame, group: list[str], candidate: str, order: list[Col
     return rows.withColumn("_r", F.row_number().over(window)).filter("_r <= 2")
 
 
-def partner_groups(records: DataFrame, motion: str = "family") -> DataFrame:
+def partner_groups(records: DataFrame, motion: str = "family", version: int = 7) -> DataFrame:
     """Each specimen once per group of equal parts that both sides have; ``n`` partners there.
 
     The partners of a specimen are the other side's specimens in its groups, those at its
     best class in the groups marked ``top``.  The table lists all of them without pairs.
     """
-    mine = _lookups(records, motion).select("side", "spec", *_EQUAL).distinct()
+    mine = _lookups(records, motion, version).select("side", "spec", *_EQUAL).distinct()
     sizes = mine.groupBy(*_EQUAL).agg(
         F.count_if(F.col("side") == "A").alias("_a"), F.count_if(F.col("side") == "B").alias("_b"))
     met = mine.join(sizes.filter("_a > 0 and _b > 0"), _EQUAL)
@@ -174,14 +263,14 @@ def partner_counts(groups: DataFrame) -> DataFrame:
         "side", "spec", (F.col("_n") - F.coalesce("_again", F.lit(0))).alias("n_partners"))
 
 
-def best_matches(records: DataFrame, motion: str = "family", groups: DataFrame | None = None) -> DataFrame:
-    """Per specimen: its best class, its first two partner specimens in that class, and their exact number.
+def best_matches(records: DataFrame, motion: str = "family", version: int = 7) -> DataFrame:
+    """Per specimen: its best class and its first two partner specimens in that class.
 
     ``second`` is NULL when the partner is unique.  The rules ask whether there is one or
-    more, and compare the two most important; ``partner_groups`` has all of them.
+    more, and compare the two most important; ``partner_groups`` has all of them and
+    ``partner_counts`` their exact number.
     """
-    rows = _lookups(records, motion)
-    groups = stage(partner_groups(records, motion), "groups") if groups is None else groups
+    rows = _lookups(records, motion, version)
     specimens = rows.groupBy("side", *_EQUAL, "spec").agg(F.min("importance").alias("importance"))
     two = _two_best(specimens, ["side", *_EQUAL], "spec", [F.col("importance"), F.col("spec")]).select(
         F.col("side").alias("_side"), *_EQUAL, F.col("spec").alias("cand"), F.col("importance").alias("_imp"))
@@ -194,9 +283,7 @@ def best_matches(records: DataFrame, motion: str = "family", groups: DataFrame |
         F.max("cls").alias("cls"),
         F.max(F.when(F.col("_r") == 1, F.col("cand"))).alias("first"),
         F.max(F.when(F.col("_r") == 2, F.struct("cls", "cand"))).alias("_2"))
-    out = out.select("side", "spec", "cls", "first",
-                     F.when(F.col("_2.cls") == F.col("cls"), F.col("_2.cand")).alias("second"))
-    return out.join(partner_counts(groups), ["side", "spec"])
+    return out.select("side", "spec", "cls", "first", F.when(F.col("_2.cls") == F.col("cls"), F.col("_2.cand")).alias("second"))
 
 
 def representatives(members: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
@@ -219,10 +306,10 @@ def representatives(members: DataFrame, nodes: DataFrame, group: str) -> DataFra
     return rows.join(lower, [group, "nid"], "left").groupBy(group, "side").agg(F.min_by("nid", order).alias("rep"))
 
 
-def match_decisions(best: DataFrame, records: DataFrame, nodes: DataFrame, ties: DataFrame) -> DataFrame:
+def match_decisions(best: DataFrame, nodes: DataFrame, ties: DataFrame, version: int = 7) -> DataFrame:
     """One row per A specimen with a candidate: what the mutual-best rules decide.
 
-    Columns: spec, cls, n_partners, outcome, and the tied specimens ``u1``-``v1`` and, for a double tie, ``u2``-``v2``.
+    Columns: spec, cls, outcome, and the tied specimens ``u1``-``v1`` and, for a double tie, ``u2``-``v2``.
     """
     several = ties.select(F.col("first").alias("spec"), "nid").unionByName(
         ties.select(F.col("first").alias("spec"), F.col("first").alias("nid")).distinct())
@@ -231,15 +318,22 @@ def match_decisions(best: DataFrame, records: DataFrame, nodes: DataFrame, ties:
     for end in ("first", "second"):
         ambiguous = ambiguous.join(reps.select(F.col("spec").alias(end), F.col("rep").alias("_" + end)), end, "left")
         ambiguous = ambiguous.withColumn("_" + end, F.coalesce("_" + end, end))
-    tree = nodes.select(*_IN_TREE)
-    ambiguous = (ambiguous.select("spec", "_first", "_second")
-                 .join(prefixed(tree, "x_"), F.col("_first") == F.col("x_nid"))
-                 .join(prefixed(tree, "y_"), F.col("_second") == F.col("y_nid")))
-    checked = ambiguous.select(
-        "spec", (relation_in_tree("x_", "y_").bitwiseAND(F.lit(rcc5.DISJOINT)) != 0).alias("apart"),
+    if version == 8:
+        pairs = ambiguous.select("spec", F.col("_first").alias("x"), F.col("_second").alias("y"))
+        related = compare_in_tree_v8(pairs, nodes.filter("path is not null"))
+        flag = nodes.select("nid", "accepted")
+        related = related.join(flag.toDF("x", "x_accepted"), "x").join(flag.toDF("y", "y_accepted"), "y")
+    else:
+        tree = nodes.select(*_IN_TREE)
+        related = (ambiguous.select("spec", "_first", "_second")
+                   .join(prefixed(tree, "x_"), F.col("_first") == F.col("x_nid"))
+                   .join(prefixed(tree, "y_"), F.col("_second") == F.col("y_nid"))
+                   .withColumn("relation", relation_in_tree("x_", "y_")))
+    checked = related.select(
+        "spec", (F.col("relation").bitwiseAND(F.lit(rcc5.DISJOINT)) != 0).alias("apart"),
         (F.col("x_accepted") & F.col("y_accepted")).alias("both_accepted"))
     full = best.join(checked, "spec", "left")
-    a = full.filter("side = 'A'").select("spec", "cls", "n_partners", "first", "second", "apart", "both_accepted")
+    a = full.filter("side = 'A'").select("spec", "cls", "first", "second", "apart", "both_accepted")
     b = full.filter("side = 'B'").select(F.col("spec").alias("first"), F.col("first").alias("b_first"),
                                          F.col("second").alias("b_second"), F.col("apart").alias("b_apart"))
     j = a.join(b, "first", "left")
@@ -256,7 +350,7 @@ def match_decisions(best: DataFrame, records: DataFrame, nodes: DataFrame, ties:
     double_a, double_b = F.col("outcome") == "double A", F.col("outcome") == "double B"
     tied = double_a | double_b | (F.col("outcome") == "match")
     return j.withColumn("outcome", outcome).select(
-        "spec", "cls", "n_partners", "outcome",
+        "spec", "cls", "outcome",
         F.when(tied, F.when(double_a, F.col("b_first")).otherwise(F.col("spec"))).alias("u1"),
         F.when(tied, F.col("first")).alias("v1"),
         F.when(double_a, F.col("b_second")).when(double_b, F.col("spec")).alias("u2"),
@@ -271,8 +365,13 @@ def mutual_best(decisions: DataFrame) -> DataFrame:
 
 
 def match_review(decisions: DataFrame) -> DataFrame:
-    """Specimens whose candidates led to no tie, with the number of these."""
-    return decisions.filter("u1 is null").select("spec", "cls", "outcome", "n_partners")
+    """Specimens whose candidates led to no tie."""
+    return decisions.filter("u1 is null").select("spec", "cls", "outcome")
+
+
+def review_counts(decisions: DataFrame, counts: DataFrame) -> DataFrame:
+    """The same with the number of candidates."""
+    return match_review(decisions).join(counts.filter("side = 'A'").select("spec", "n_partners"), "spec")
 
 
 def connected_components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:

@@ -7,18 +7,28 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
+from ..functions.names import TOKEN, TOKEN_SHORT
 from ..operators import match as M, merge, names, report, theory as T, tree
 from ..staging import stage
 
 
 @dataclass(frozen=True)
 class Alignment:
-    """Two checklists and what follows from them; each table is computed once, on demand."""
+    """Two checklists and what follows from them; each table is computed once, on demand.
+
+    ``version`` 8 compares names and places in a tree more strictly, takes author names of
+    two letters, and ties declared objective synonyms.
+    """
 
     a: DataFrame
     b: DataFrame
     motion: str = "family"
     given_exemplars: DataFrame | None = None
+    version: int = 7
+
+    def __post_init__(self) -> None:
+        if self.version not in (7, 8):
+            raise ValueError("version is 7 or 8")
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -27,7 +37,7 @@ class Alignment:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return tree.build_forest(names.parse_names(self.rows))
+        return tree.build_forest(names.parse_names(self.rows, TOKEN if self.version == 7 else TOKEN_SHORT))
 
     @cached_property
     def _records(self) -> DataFrame:
@@ -35,7 +45,8 @@ class Alignment:
 
     @cached_property
     def ties(self) -> DataFrame:
-        return stage(M.homotypic_within(self._records), "ties")
+        ties = M.homotypic_within(self._records) if self.version == 7 else M.homotypic_within_v8(self._records, self.nodes)
+        return stage(ties, "ties")
 
     @cached_property
     def records(self) -> DataFrame:
@@ -43,15 +54,19 @@ class Alignment:
 
     @cached_property
     def partner_groups(self) -> DataFrame:
-        return stage(M.partner_groups(self.records, self.motion), "groups")
+        return stage(M.partner_groups(self.records, self.motion, self.version), "groups")
+
+    @cached_property
+    def partner_counts(self) -> DataFrame:
+        return stage(M.partner_counts(self.partner_groups), "counts")
 
     @cached_property
     def best(self) -> DataFrame:
-        return stage(M.best_matches(self.records, self.motion, self.partner_groups), "best")
+        return stage(M.best_matches(self.records, self.motion, self.version), "best")
 
     @cached_property
     def decisions(self) -> DataFrame:
-        return stage(M.match_decisions(self.best, self.records, self.nodes, self.ties), "decisions")
+        return stage(M.match_decisions(self.best, self.nodes, self.ties, self.version), "decisions")
 
     @cached_property
     def exemplars(self) -> DataFrame:

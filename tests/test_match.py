@@ -130,7 +130,7 @@ def test_partner_counts_against_all_pairs(checklist):
                 mine[y.spec] = max(mine.get(y.spec, 0), c)
     want = {k: {s for s, c in v.items() if c == max(v.values())} for k, v in found.items()}
     assert max(map(len, want.values())) > 2
-    assert {(r.side, r.spec): r.n_partners for r in al.best.collect()} == {k: len(v) for k, v in want.items()}
+    assert {(r.side, r.spec): r.n_partners for r in al.partner_counts.collect()} == {k: len(v) for k, v in want.items()}
     inside, sums, listed = {}, {}, {}
     groups = [r for r in al.partner_groups.collect()]
     same = lambda r: tuple(r[f] for f in ("key", "epithet", "cls", "genus", "token", "year", "family"))
@@ -142,7 +142,7 @@ def test_partner_counts_against_all_pairs(checklist):
             listed.setdefault((r.side, r.spec), set()).update(inside["AB".replace(r.side, ""), same(r)])
     assert listed == want
     assert any(n > len(want[k]) for k, n in sums.items())
-    for r in M.match_review(al.decisions).collect():
+    for r in M.review_counts(al.decisions, al.partner_counts).collect():
         assert r.n_partners == len(want["A", r.spec])
 
 
@@ -215,3 +215,80 @@ def test_report_invariants(spark):
     keys = {r.key for r in merged}
     assert all(r.superior in keys for r in merged if r.superior is not None)
     assert [r.key for r in merged if r.superior is None] == ["A!⊤"]
+
+
+def _class_v8(p, q):
+    """Plain reading of the version 8 rules for two sets of parts; None is unknown."""
+    def ep(x):
+        return x.genus.lower() if x.epithet == "" and x.genus else x.epithet
+
+    def mid(x):
+        return ep(x) if x.middle == "" and ep(x) is not None else x.middle
+
+    def differ(a, b):
+        return a is not None and b is not None and a != b
+
+    if differ(p.epithet, q.epithet):
+        return 0
+    unknown = (p.epithet is not None and q.epithet is not None) + (None in (p.token, q.token)) + (None in (p.year, q.year))
+    genus, middle = differ(p.genus, q.genus), differ(mid(p), mid(q))
+    wrong = differ(p.token, q.token) + differ(p.year, q.year) + (genus or middle)
+    if wrong > 1:
+        return 1
+    if unknown >= 2:
+        return 5
+    if genus:
+        return 7 if p.protonymp and q.protonymp else 8
+    return 8.5 if middle else 9 if wrong else 10
+
+
+def test_version_8_against_brute_force(spark, checklist):
+    """Unknown parts agree with any; no pair may be lost or made up."""
+    rnd = random.Random(11)
+
+    def rows(n):
+        lines = ["f | Fam | | family | accepted | |", "e | Eam | | family | accepted | |"]
+        for i in range(n):
+            name = " ".join(x for x in (rnd.choice(["Aus", "Aus", "Bus", "?"]), rnd.choice(["", "", "m", "n", "?"]), rnd.choice(["x", "y", "x", "?", "Aus"])) if x)
+            author = f"{rnd.choice(['Li', 'Gray', 'Someone'])}, {rnd.choice(['1850', '1851', '1111'])}"
+            lines.append(f"{i} | {name} | {'(' + author + ')' if rnd.random() < 0.4 else author if rnd.random() < 0.9 else ''} | species | accepted | {rnd.choice('ffe')} |")
+        return checklist("\n".join(lines))
+
+    al = Alignment(rows(110), rows(100), version=8)
+    records = {r.nid: r for r in al.records.select("nid", "spec", "side", "key", "family", "parts").collect()}
+    want, partners = {}, {}
+    for x in records.values():
+        for y in records.values():
+            if x.side != y.side and x.key == y.key:
+                c = _class_v8(x.parts, y.parts)
+                if c > 8 or (c == 8 and x.family == y.family):
+                    want[x.nid, c] = want.get((x.nid, c), 0) + 1
+                    partners.setdefault((x.side, x.spec), {}).setdefault(y.spec, []).append(c)
+    assert {c for _, c in want} == {8, 8.5, 9, 10}
+    assert {(r.nid, r.cls): r.n_partners for r in M.candidate_matches_v8(al.records).collect()} == want
+    top = {s: max(max(c) for c in p.values()) for s, p in partners.items()}
+    assert {(r.side, r.spec): r.cls for r in al.best.collect()} == top
+    assert {(r.side, r.spec): r.n_partners for r in al.partner_counts.collect()} == {
+        s: sum(max(c) == top[s] for c in p.values()) for s, p in partners.items()}
+    # genus changes left out
+    still = Alignment(al.a, al.b, motion="never", version=8)
+    assert {(r.nid, r.cls) for r in M.candidate_matches_v8(still.records, "never").collect()} == {x for x in want if x[1] > 8}
+
+
+def test_version_8_ties_declared_synonyms(checklist):
+    rows = """
+1 | Genus a | Gray, 1850 | species | accepted | g |
+2 | Hortus a | Weber, 1900 | species | objective synonym | | 1
+3 | Genus b | Gray, 1850 | species | accepted | g |
+4 | Hortus b | Weber, 1900 | species | synonym | | 3
+5 | Genus c | Gray, 1850 | species | accepted | g |
+6 | Genus c | Li, 1850 | species | synonym | | 5
+"""
+    def ties(version):
+        al = Alignment(checklist(HEAD + rows), checklist(HEAD), version=version)
+        ids = {r.nid: r.taxonID for r in al.nodes.collect()}
+        return {(ids[r.nid], ids[r["first"]]) for r in al.ties.collect()}
+
+    assert ties(8) == {("2", "1"), ("6", "5")} and ties(7) == {("6", "5")}
+    with pytest.raises(ValueError):
+        Alignment(checklist(HEAD), checklist(HEAD), version=9)
