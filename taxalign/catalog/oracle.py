@@ -86,7 +86,7 @@ define("x_b", " union all ".join([
     _rows(4, "k", "'bS' || k", "case when syn then '' else 'bG' || n || '_' || seg end", "'species'",
           f"{segname('seg')} || ' ' || {letters('k')}", "x_bcust", _BAUTH, "case when syn then 'bS' || (k - 1) else '' end",
           "case when syn then 'synonym' else 'accepted' end")]))
-define("x_part", f"""select p_partkey k, {cap("split_part(p_name, ' ', 1)")} genus, split_part(p_name, ' ', 2) epithet,
+define("x_part", f"""select p_partkey k, {cap("split_part(p_name, ' ', 1)")} genus, regexp_replace(p_name, '^[^ ]+ ', '') epithet,
   'Brand' || {letters("split_part(p_brand, '#', 2)")} author, cast(1900 + p_size as varchar) "year", {cap('p_type')} fam_a,
   'Brand' || {letters("split_part(p_brand, '#', 2)")} fam_b from part""")
 for _s in "ab":
@@ -110,7 +110,7 @@ for _s, _is in (("", "not b"), ("b", "b")):
         _rows(4, "k", f"'{_s}S' || k", f"case when syn then '' else '{_s}G' || n || '_' || seg end", "case when mid is null then 'species' else 'subspecies' end",
               "nm", f"x_g1 where {_is}", "aut", f"case when syn then '{_s}S' || (k - 1) else '' end",
               "case when not syn then 'accepted' when k % 6 = 1 then 'objective synonym' else 'synonym' end")]))
-define("x_tangled", """select _ord, taxonID,
+define("x_tangled", """select _ord + again * 2000000000000 _ord, taxonID,
   case when chain or lost then '' when ring_down then 'S' || (k - 1) when ring_up then 'S' || (k + 1)
        when orphan then 'X' || k else parentNameUsageID end parentNameUsageID,
   case when lost and not chain then 'Y' || k when chain then 'S' || (k + 1) else acceptedNameUsageID end acceptedNameUsageID,
@@ -121,7 +121,8 @@ define("x_tangled", """select _ord, taxonID,
   case when k is null then '' else cast(1800 + k * 7 % 150 as varchar) end namePublishedInYear
  from (select *, coalesce(k < last and k % 29 in (1, 2), false) chain, coalesce(k % 31 = 5, false) orphan,
          coalesce(k % 37 = 6, false) lost, coalesce(k % 47 = 10, false) loose,
-         coalesce(k < last and k % 86 = 8, false) ring_up, coalesce(k < last and k % 86 = 9, false) ring_down
+         coalesce(k < last and k % 86 = 8, false) ring_up, coalesce(k < last and k % 86 = 9, false) ring_down,
+         unnest(case when k % 61 = 17 then [0, 1] else [0] end) again
        from (select *, case when taxonRank = 'species' then cast(substr(taxonID, 2) as bigint) end k,
                (select max(c_custkey) - 3 from customer) last from x_a))""")
 
@@ -155,8 +156,8 @@ def tree(p: str, sources: dict[str, str]) -> None:
   case when w.acceptedNameUsageID <> '' then case when t.nid is not null then 'checklist (synonym)' end
        when t.nid is not null then 'checklist (child)' else 'inferior of top' end note,
   coalesce(t.accepted, true) sup_accepted, coalesce(t.taxonRank, 'top') sup_rank
- from {p}_id w left join {p}_id t on w.side = t.side
-   and t.taxonID = case when w.acceptedNameUsageID <> '' then w.acceptedNameUsageID else w.parentNameUsageID end""")
+ from {p}_id w left join (select side, taxonID, arg_min(nid, _ord) nid, arg_min(accepted, _ord) accepted, arg_min(taxonRank, _ord) taxonRank
+   from {p}_id group by side, taxonID) t on w.side = t.side and t.taxonID = case when w.acceptedNameUsageID <> '' then w.acceptedNameUsageID else w.parentNameUsageID end""")
     define(f"{p}_climb", f"""select nid, relation, sup, note, sup_accepted, sup_rank, 0 step from {p}_link
  union all select c.nid, l.relation, l.sup, l.note, l.sup_accepted, l.sup_rank, c.step + 1
  from {p}_climb c join {p}_link l on c.sup = l.nid

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from .. import fixtures as fx
 from ..functions import homotypy as H, names as N, rcc5
@@ -50,10 +50,14 @@ def guessed(spark: SparkSession, sf_dir: str) -> Alignment:
     return _once(spark, sf_dir, "guessed", lambda: Alignment(fx.guessed(spark, sf_dir, "A"), fx.guessed(spark, sf_dir, "B"), version=8))
 
 
+def tangled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identified rows of the faulty checklist, with parsed names."""
+    return _once(spark, sf_dir, "tangled rows", lambda: stage(NM.parse_names(T.identify(fx.tangled(spark, sf_dir))), "rows"))
+
+
 def tangled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node table of the faulty checklist."""
-    return _once(spark, sf_dir, "tangled", lambda: T.build_forest(
-        NM.parse_names(T.identify(stage(fx.tangled(spark, sf_dir), "rows")))))
+    return _once(spark, sf_dir, "tangled", lambda: T.build_forest(tangled_rows(spark, sf_dir)))
 
 
 def query(name: str, select: str | None = None):
@@ -154,15 +158,15 @@ def _(spark, d):
 
 # -- cleaning ---------------------------------------------------------------------------------
 
-_AU = f"('Smith' || {O.letters('n')} || ', ' || (1800 + k % 200))"
-O.define("x_raw0", f"""select k, {O.segname('seg')} g, {O.letters('k')} e, n, seg, {_AU} au from x_cust""")
-O.define("x_raw1", """select *, case k % 6 when 0 then g || ' (' || g || ') ' || e when 1 then g || '  ' || e else g || ' ' || e end name,
-  case k % 5 when 0 then '(' || au || ').' when 1 then 'Gray and ' || au when 2 then replace(au, ', ', ' ,, ') else au end sp from x_raw0""")
-O.define("x_raw", """select 4000000000000 + k _ord, case when k % 29 = 4 then '' when k % 31 = 7 then 'S' || (k - 1) else 'S' || k end taxonID,
-  'G' || n || '_' || seg parentNameUsageID, case k % 8 when 0 then 'S' || k when 1 then 'S' || (k + 1) else '' end acceptedNameUsageID,
-  'species' taxonRank, case when k % 23 = 5 then 'senior synonym' when k % 8 = 1 then 'synonym' when k % 8 = 2 then 'Dubious'
+O.define("x_raw0", """select *, _ord % 1000000000000 k, split_part(canonicalName, ' ', 1) g, regexp_replace(canonicalName, '^[^ ]+ ', '') rest,
+  contains(canonicalName, ' ') two, taxonRank = 'species' spc, scientificNameAuthorship au from x_a""")
+O.define("x_raw1", """select *, case when two and k % 6 = 0 then g || ' (' || g || ') ' || rest when two and k % 6 = 1 then g || '  ' || rest else canonicalName end nm,
+  case when au = '' then '' when k % 5 = 0 then '(' || au || ').' when k % 5 = 1 then 'Gray and ' || au when k % 5 = 2 then replace(au, ', ', ' ,, ') else au end sp from x_raw0""")
+O.define("x_raw", """select _ord, case when k % 29 = 4 then '' when spc and k % 31 = 7 then 'S' || (k - 1) else taxonID end taxonID,
+  parentNameUsageID, case when k % 8 = 0 then taxonID when spc and k % 8 = 1 then 'S' || (k + 1) else '' end acceptedNameUsageID,
+  taxonRank, case when k % 23 = 5 then 'senior synonym' when k % 8 = 1 then 'synonym' when k % 8 = 2 then 'Dubious'
     when k % 8 = 3 then 'provisionally accepted' when k % 8 = 4 then 'unplaced' else 'accepted' end taxonomicStatus,
-  case when k % 9 < 6 then name || ' ' || sp else '' end scientificName, case when k % 9 <> 2 then name else '' end canonicalName,
+  case when k % 9 < 6 then nm || ' ' || sp else '' end scientificName, case when k % 9 <> 2 then nm else '' end canonicalName,
   case when k % 4 < 3 then sp else '' end scientificNameAuthorship, case when k % 13 = 0 then '' else cast(k % 6 as varchar) end landmark_status,
   'src' || (k % 3) || ',old' || (k % 5) source from x_raw1""")
 O.define("x_norm", """select * replace (case when acceptedNameUsageID = taxonID then '' else acceptedNameUsageID end as acceptedNameUsageID,
@@ -277,6 +281,25 @@ def _(spark, d):
     return C.clean(fx.raw_rows(spark, d), managed="test:taxonID").drop("_ord")
 
 
+O.define("x_compat", """select *, substr(sha1(array_to_string(string_split(concat_ws('^', taxonID, parentNameUsageID, acceptedNameUsageID, taxonRank, taxonomicStatus, scientificName,
+   canonicalName, scientificNameAuthorship, landmark_status, source), ''), '^')), 1, 8) h, taxonID <> '' and row_number() over (partition by taxonID order by _ord) > 1 again from x_norm""")
+
+
+@query("mint_keys_compat", "select case when taxonID = '' or again then h else taxonID end taxonID, taxonRank, source0 source from (select *, split_part(source, ',', 1) source0 from x_compat)")
+def _(spark, d):
+    return C.clean(fx.raw_rows(spark, d), compat=True).select("taxonID", "taxonRank", "source")
+
+
+@query("clean_counters", """select count(*) filter (not sen) records, count(*) filter (sen) senior, count(*) filter (not sen and taxonID = '') minted,
+  count(*) filter (not sen and acceptedNameUsageID <> '' and (acceptedNameUsageID = taxonID or parentNameUsageID <> '')) normalized, count(*) filter (not sen and edited) cleaned,
+  count(*) filter (not sen) managed from (select r.*, r.taxonomicStatus = 'senior synonym' sen,
+    n.scientificName <> r.scientificName or n.canonicalName <> r.canonicalName or n.scientificNameAuthorship <> r.scientificNameAuthorship edited from x_raw r left join x_names n on n._ord = r._ord)""")
+def _(spark, d):
+    seen = Observation("cleaning")
+    C.clean(fx.raw_rows(spark, d), managed="test:taxonID", observation=seen)
+    return spark.createDataFrame([seen.get], ", ".join(f"{name} long" for name in C.clean_counters()))
+
+
 # -- names ------------------------------------------------------------------------------------
 
 _Y = "(1750 + k % 260)"
@@ -473,31 +496,60 @@ def _(spark, d):
     return _ids(T.inferior_counts(nodes.filter("sup is not null")), nodes, taxonID="nid")
 
 
+O.define("t_read", "select w.taxonID, w.accepted, case when w.acceptedNameUsageID <> '' then w.acceptedNameUsageID else w.parentNameUsageID end above from t_id w")
+O.define("t_meant", "select taxonID, arg_min(accepted, _ord) accepted, count(*) n from t_id group by taxonID")
+
+
 @query("validate", """select 'unreachable' problem, taxonID from t_all where path is null
  union all select 'unresolved accepted id', taxonID from t_all where sup is null and taxonID <> '⊤'
  union all select 'synonym without accepted id', taxonID from t_all where not accepted and acceptedNameUsageID = ''
  union all select 'rank out of order', taxonID from t_all where rank_problem
  union all select 'unknown parent', taxonID from t_all where note = 'inferior of top' and parentNameUsageID <> ''
- union all select distinct 'synonym with child', s.taxonID from t_all n join t_all s on s.nid = n.sup where not s.accepted and n.accepted
- union all select distinct 'synonym with synonym', s.taxonID from t_all n join t_all s on s.nid = n.sup where not s.accepted and not n.accepted
- union all select 'root', taxonID from t_all where sup < 0""")
+ union all select distinct 'synonym with child', m.taxonID from t_read r join t_meant m on m.taxonID = r.above where not m.accepted and r.accepted
+ union all select distinct 'synonym with synonym', m.taxonID from t_read r join t_meant m on m.taxonID = r.above where not m.accepted and not r.accepted
+ union all select 'repeated key', taxonID from t_meant where n > 1
+ union all select 'root', taxonID from t_all where sup < 0
+ union all select 'row count', 'A' from (select count(*) n from t_id) where n <> (select count(*) from t_all where path is not null and nid >= 0)
+   or n <> (select count(*) from t_all where sup is not null and nid >= 0)""")
 def _(spark, d):
-    nodes = tangled(spark, d)
-    return T.validate(nodes, nodes)
+    return T.validate(tangled_rows(spark, d), tangled(spark, d))
+
+
+@query("reconcile", """select 'A' side, (select count(*) from t_id) "read", count(*) filter (sup is not null) linked, count(*) filter (path is not null) reachable,
+   count(*) filter (sup is null or path is null) = 0 same from t_all where nid >= 0
+ union all select side, count(*), count(*), count(*), true from s_id group by side""")
+def _(spark, d):
+    al = star(spark, d)
+    return T.reconcile(tangled_rows(spark, d), tangled(spark, d)).unionByName(T.reconcile(al.rows, al.nodes))
+
+
+O.define("t_span", """select a.nid, a.taxonID, row_number() over (order by a.path) pre, z.n, len(a.path) d from t_all a join (select ancestor, count(*) n from t_up group by ancestor) z on z.ancestor = a.nid
+  where a.path is not null""")
+
+
+@query("postorder", 'select taxonID, pre, pre + n - 1 "last", pre + n - d post from t_span')
+def _(spark, d):
+    return tangled(spark, d).filter("path is not null").select("taxonID", "pre", "last", "post")
+
+
+@query("subtree_by_interval", "select n.taxonID, n.\"level\" from t_up u join t_all a on a.nid = u.ancestor join t_all n on n.nid = u.nid where a.taxonID = 'N3'")
+def _(spark, d):
+    return T.below(tangled(spark, d), "N3").select("taxonID", "level")
 
 
 def _tree_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of taxa of the faulty checklist: each species with its neighbour, parent and genus."""
+    """Pairs of taxa of the faulty checklist: each with its neighbour in the file and all above it, both ways round."""
     nodes = tangled(spark, d).filter("path is not null")
-    near = nodes.filter("_ord >= 4000000000000 and _ord < 5000000000000").select("nid", "_ord", "sup", "path")
-    nxt = near.select(F.col("nid").alias("y"), (F.col("_ord") - 1).alias("_ord"))
-    own = nodes.filter("_ord >= 4000000000000").select(F.col("nid").alias("x"), F.explode("path").alias("y"))
-    return (near.select(F.col("nid").alias("x"), "_ord").join(nxt, "_ord").select("x", "y")
+    kind = (F.col("_ord") / 1000000000000).cast("bigint").alias("kind")
+    near = nodes.filter("_ord >= 0").select("nid", "_ord", kind)
+    nxt = near.select(F.col("nid").alias("y"), (F.col("_ord") - 1).alias("_ord"), "kind")
+    own = nodes.select(F.col("nid").alias("x"), F.explode("path").alias("y"))
+    return (near.join(nxt, ["_ord", "kind"]).select(F.col("nid").alias("x"), "y")
             .unionByName(own).unionByName(own.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
 
 
-O.define("t_pairs", """select a.nid x, b.nid y from t_all a join t_all b on b._ord = a._ord + 1 where a.path is not null and b.path is not null and a._ord >= 4000000000000 and a._ord < 5000000000000 and b._ord < 5000000000000
- union select nid, ancestor from t_up join t_all using (nid) where _ord >= 4000000000000 union select ancestor, nid from t_up join t_all using (nid) where _ord >= 4000000000000""")
+O.define("t_pairs", """select a.nid x, b.nid y from t_all a join t_all b on b._ord = a._ord + 1 and b._ord // 1000000000000 = a._ord // 1000000000000 where a.path is not null and b.path is not null and a._ord >= 0
+ union select nid, ancestor from t_up union select ancestor, nid from t_up""")
 
 
 def _pair_ids(df: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
@@ -545,12 +597,15 @@ def _(spark, d):
     return _pair_ids(T.lineage_distance(_tree_pairs(spark, d), nodes.filter("path is not null")), nodes, "mrca")
 
 
-@query("group_mrca", """select g, m.taxonID mrca_id from (select g, arg_max(anc, l) mrca from (select g, anc, l, count(*) c, max(tot) tot from (
-   select cast(n."_ord" % 97 as int) g, unnest(path) anc, unnest(range(1, len(path) + 1)) l, count(*) over (partition by n."_ord" % 97) tot from (select * from s_all where side = 'A' and "_ord" >= 4000000000000) n)
-   group by g, anc, l) where c = (select count(*) from s_all z where z.side = 'A' and z."_ord" >= 4000000000000 and z."_ord" % 97 = g) group by g) q join s_all m on m.nid = q.mrca""")
+O.define("s_lot", """select side || (_ord % 97) g, path from s_all where "level" > 1""")
+
+
+@query("group_mrca", """select g, m.taxonID mrca_id from (select g, arg_max(anc, l) mrca from (
+   select g, anc, l, count(*) c from (select g, unnest(path) anc, unnest(range(1, len(path) + 1)) l from s_lot) group by g, anc, l)
+   join (select g, count(*) n from s_lot group by g) using (g) where c = n group by g) q join s_all m on m.nid = q.mrca""")
 def _(spark, d):
     nodes = star(spark, d).nodes
-    groups = nodes.filter("side = 'A' and _ord >= 4000000000000").select((F.col("_ord") % 97).cast("int").alias("g"), "nid")
+    groups = nodes.filter("level > 1").select(F.concat("side", F.col("_ord") % 97).alias("g"), "nid")
     return _ids(T.group_mrca(groups, nodes, "g"), nodes, mrca_id="mrca")
 
 
@@ -569,7 +624,7 @@ def _(spark, d):
     return T.subset(fx.checklist_a(spark, d), "Natiod").select(*_ROWS)
 
 
-@query("export_checklist", """select n.taxonID, n.canonicalName, n.scientificName, '' managed_id, n."rank" taxonRank, case when n.accepted then s.taxonID else '' end parentNameUsageID,
+@query("export_checklist", """select n.taxonID, n.canonicalName, n.scientificName, '' canonicalStem, '' managed_id, n."rank" taxonRank, case when n.accepted then s.taxonID else '' end parentNameUsageID,
    case when n.accepted then '' else coalesce(a.taxonID, '') end acceptedNameUsageID,
    case when n.accepted and not starts_with(st, 'accepted') then 'accepted ' || st when not n.accepted and starts_with(st, 'accepted') then '*' || st else st end taxonomicStatus
   from (select *, case when taxonomicStatus = '' then '?' else taxonomicStatus end st from t_all where path is not null) n left join t_all s on s.nid = n.sup
@@ -614,8 +669,8 @@ def _(spark, d):
     return T.duplicate_records(homonym(spark, d).nodes)
 
 
-@query("senior_synonyms", """select n.side, n.taxonID, s.taxonID accepted_id from (select a.*, x.namePublishedInYear yr from t_all a join x_tangled x on x.taxonID = a.taxonID) n
-  join (select a.*, x.namePublishedInYear yr from t_all a join x_tangled x on x.taxonID = a.taxonID) s on s.nid = n.sup where not n.accepted and n.yr <> '' and s.yr <> '' and n.yr <= s.yr""")
+@query("senior_synonyms", """select n.side, n.taxonID, s.taxonID accepted_id from (select a.*, x.namePublishedInYear yr from t_all a join x_tangled x on x.taxonID = a.taxonID and x._ord = a._ord) n
+  join (select a.*, x.namePublishedInYear yr from t_all a join x_tangled x on x.taxonID = a.taxonID and x._ord = a._ord) s on s.nid = n.sup where not n.accepted and n.yr <> '' and s.yr <> '' and n.yr <= s.yr""")
 def _(spark, d):
     return T.senior_synonyms(tangled(spark, d))
 
@@ -818,7 +873,7 @@ def _(spark, d):
 @query("blocks", "select b.side, t.taxonID, b.exemplar_id from s_block b join s_all t on t.nid = b.nid")
 def _(spark, d):
     al = star(spark, d)
-    return _ids(al.theory.blocks, al.nodes, taxonID="nid")
+    return _ids(TH.blocks(al.theory.members), al.nodes, taxonID="nid")
 
 
 @query("monotypic_nodes", "select t.side, t.taxonID from s_mono m join s_all t on t.nid = m.nid")
@@ -903,20 +958,34 @@ def _(spark, d):
     return _ids(TH.same_protonym(_family_pairs(spark, d), al.exemplars), al.nodes, a_id="u", b_id="v")
 
 
+def _tangled_specimens(spark: SparkSession, d: str) -> DataFrame:
+    records = M.match_records(tangled(spark, d).filter("path is not null"))
+    return M.with_specimens(records, M.homotypic_within(records))
+
+
+O.define("t_walk", "select a.nid, a.sup, a.accepted, s.spec, row_number() over (partition by a.sup order by a.nid) n from t_all a join t_spec s on s.nid = a.nid where a.path is not null and a.sup is not null")
+O.define("t_sib", """select x.nid x, f.y from t_walk x join (select sup, spec, min(nid) y from t_walk group by sup, spec) f on f.sup = x.sup and f.spec = x.spec where not x.accepted and x.nid <> f.y
+ union select x.nid, y.nid from t_walk x join t_walk y on y.sup = x.sup and y.n + 1 = x.n where not x.accepted union select nid, sup from t_walk where not accepted and sup > 0""")
+
+
 @query("compare_locally", f"""select x.taxonID x_id, y.taxonID y_id, case when r <> 31 then r when s.spec = t.spec then 4 else 27 end relation from (
-   select x.nid xn, y.nid yn, {O.in_tree('x', 'y')} r from t_all x join t_all y on x.sup = y.sup and x.nid <> y.nid and x.path is not null and not x.accepted)
+   select p.x xn, p.y yn, {O.in_tree('x', 'y')} r from t_sib p join t_all x on x.nid = p.x join t_all y on y.nid = p.y)
   join t_all x on x.nid = xn join t_all y on y.nid = yn join t_spec s on s.nid = xn join t_spec t on t.nid = yn""")
 def _(spark, d):
     nodes = tangled(spark, d).filter("path is not null")
-    records = M.match_records(nodes)
-    specimens = M.with_specimens(records, M.homotypic_within(records))
-    # a synonym with each sibling
-    x = nodes.filter("not accepted and level > 1").select(F.col("nid").alias("x"), "sup")
-    y = nodes.filter("level > 1").select(F.col("nid").alias("y"), "sup")
-    pairs = stage(x.join(y, "sup").filter("x <> y").select("x", "y"))
+    specimens = _tangled_specimens(spark, d)
+    pairs = stage(TH.siblings_that_meet(nodes, specimens))
     return _pair_ids(TH.compare_locally(T.compare_in_tree(pairs, nodes).drop("mrca"), specimens), nodes)
 
 
+@query("sibling_relations", """select t.taxonID, count(*) n_siblings, count(*) filter (x.spec = y.spec) n_same, count(*) filter (x.spec <> y.spec) n_other from t_walk x join t_walk y on y.sup = x.sup and y.nid <> x.nid
+  join t_all t on t.nid = x.nid where not x.accepted group by x.nid, t.taxonID""")
+def _(spark, d):
+    nodes = tangled(spark, d).filter("path is not null")
+    out = TH.sibling_relations(nodes, _tangled_specimens(spark, d)).filter("n_siblings > 0")
+    return _ids(out, nodes, taxonID="nid")
+
+
 # -- merge and report -------------------------------------------------------------------------
 
 
@@ -959,6 +1028,58 @@ def _(spark, d):
     return guessed(spark, d).report
 
 
+_CELL = "case when r.relation is not null then (select count(*) from s_venn v where v.u = r.u and v.v = r.v and v.part = '{0}') end"
+_COUNTS = _REPORT
+for _part in ("both", "only_a", "only_b"):
+    _COUNTS = _COUNTS.replace(_LIST.format(_part), _CELL.format(_part))
+
+
+@query("alignment_counts", _COUNTS)
+def _(spark, d):
+    al = star(spark, d)
+    return report.alignment_counts(al.theory, al.relations)
+
+
+@query("alignment_counts_v8", O.for_guessed(_COUNTS))
+def _(spark, d):
+    al = guessed(spark, d)
+    return report.alignment_counts(al.theory, al.relations)
+
+
+O.define("s_number", "select l.exemplar_id, row_number() over (order by t.side, t.path, l.exemplar_id) - 1 num from s_look l join s_tree t on t.nid = l.rep_a")
+O.define("s_island", """select nid, min(num) lo, max(num) hi from (select nid, num, num - row_number() over (partition by nid order by num) i from s_block join s_number using (exemplar_id)) group by nid, i""")
+O.define("s_both", """select u, v, min(num) lo, max(num) hi from (select u, v, num, num - row_number() over (partition by u, v order by num) i from s_venn join s_number using (exemplar_id) where part = 'both')
+  group by u, v, i""")
+
+
+def _numbers(al: Alignment) -> DataFrame:
+    return stage(report.exemplar_numbers(al.theory), "numbers")
+
+
+@query("concept_ranges", "select t.side, t.taxonID, i.lo, i.hi from s_island i join s_all t on t.nid = i.nid")
+def _(spark, d):
+    al = star(spark, d)
+    out = report.concept_ranges(al.nodes.select("nid"), al.theory, _numbers(al))
+    return out.join(al.nodes.select("nid", "side", "taxonID"), "nid").drop("nid")
+
+
+@query("shared_ranges", "select a.taxonID a_id, b.taxonID b_id, i.lo, i.hi from s_both i join s_all a on a.nid = i.u join s_all b on b.nid = i.v")
+def _(spark, d):
+    al = star(spark, d)
+    return _ids(report.shared_ranges(al.relations, al.theory, _numbers(al)), al.nodes, a_id="u", b_id="v")
+
+
+@query("report_metrics", f"""select {O.symbol('code')} metric, (select count(*) from s_rel where relation = code) n from range(1, 32) t(code)
+ union all select 'rows', count(*) from s_rel union all select 'relations', count(relation) from s_rel
+ union all select 'only in A', count(*) from s_rel where v is null union all select 'only in B', count(*) from s_rel where u is null""")
+def _(spark, d):
+    al, seen = star(spark, d), Observation("report")
+    named = {f"m{i}": (name, metric) for i, (name, metric) in enumerate(report.report_metrics().items())}
+    watched = al.relations.observe(seen, *[metric.alias(short) for short, (_, metric) in named.items()])
+    writers.write_csv(watched, new_path(spark, "relations"))
+    return spark.createDataFrame([(named[short][0], n) for short, n in seen.get.items()], "metric string, n long")
+
+
 @query("venn_rows", "select a.taxonID a_id, b.taxonID b_id, v.exemplar_id, v.epithet, v.part from s_venn v join s_all a on a.nid = v.u join s_all b on b.nid = v.v")
 def _(spark, d):
     al = star(spark, d)

@@ -120,7 +120,7 @@ def homonyms(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     brand = F.split("p_brand", "#")[1]
     family = F.col("p_type") if side == "A" else F.concat(F.lit("Brand"), letters(brand))
     part = part.select(
-        F.col("p_partkey").alias("k"), cap(words[0]).alias("genus"), words[1].alias("epithet"),
+        F.col("p_partkey").alias("k"), cap(words[0]).alias("genus"), F.regexp_replace("p_name", "^[^ ]+ ", "").alias("epithet"),
         cap(F.concat(F.lit("brand"), letters(brand))).alias("author"),
         (1900 + F.col("p_size")).cast("string").alias("year"), cap(family).alias("family"))
     fam, gen = F.col("family"), F.col("genus")
@@ -174,7 +174,7 @@ def guessed(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 
 
 def tangled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checklist A with faults: chains of synonyms, orphans, rings, bad ranks, odd statuses."""
+    """Checklist A with faults: chains of synonyms, orphans, rings, bad ranks, odd statuses, repeated ids."""
     a = checklist_a(spark, sf_dir)
     k = F.substr("taxonID", F.lit(2)).cast("bigint")
     species = F.col("taxonRank") == "species"
@@ -192,8 +192,11 @@ def tangled(spark: SparkSession, sf_dir: str) -> DataFrame:
     orphan, lost, loose = k % 31 == 5, k % 37 == 6, k % 47 == 10
     ring_up, ring_down = inner & (k % 86 == 8), inner & (k % 86 == 9)
     nxt = F.concat(F.lit("S"), k + 1)
+    # a second row with the same id, far down in the file
+    again = F.when(species & (k % 61 == 17), F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))
+    a = a.withColumn("_again", F.explode(again))
     return a.select(
-        "_ord", "taxonID",
+        (F.col("_ord") + F.col("_again") * _KIND).alias("_ord"), "taxonID",
         change("parentNameUsageID", (orphan, F.concat(F.lit("X"), k)), (ring_up, nxt),
                (ring_down, F.concat(F.lit("S"), k - 1)), (chain | lost, F.lit(""))).alias("parentNameUsageID"),
         change("acceptedNameUsageID", (chain, nxt), (lost & ~chain, F.concat(F.lit("Y"), k))).alias("acceptedNameUsageID"),
@@ -244,21 +247,22 @@ def varied_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dirty rows: faults that cleaning repairs, in a table with foreign headers."""
-    a = checklist_a(spark, sf_dir).filter("taxonRank = 'species'")
-    k = F.substr("taxonID", F.lit(2)).cast("bigint")
-    words = F.split("canonicalName", " ")
-    name = F.when(k % 6 == 0, F.concat(words[0], F.lit(" ("), words[0], F.lit(") "), words[1])).when(
-        k % 6 == 1, F.concat(words[0], F.lit("  "), words[1])).otherwise(F.col("canonicalName"))
+    """Checklist A as dirty rows: faults that cleaning repairs, in a table with foreign headers."""
+    a = checklist_a(spark, sf_dir)
+    k, species = F.col("_ord") % _KIND, F.col("taxonRank") == "species"
+    word, rest = F.split("canonicalName", " ")[0], F.regexp_replace("canonicalName", "^[^ ]+ ", "")
+    several = F.col("canonicalName").contains(" ")
+    name = F.when(several & (k % 6 == 0), F.concat(word, F.lit(" ("), word, F.lit(") "), rest)).when(
+        several & (k % 6 == 1), F.concat(word, F.lit("  "), rest)).otherwise(F.col("canonicalName"))
     author = F.col("scientificNameAuthorship")
-    spelled = (F.when(k % 5 == 0, F.concat(F.lit("("), author, F.lit(").")))
+    spelled = (F.when(author == "", "").when(k % 5 == 0, F.concat(F.lit("("), author, F.lit(").")))
                .when(k % 5 == 1, F.concat(F.lit("Gray and "), author)).when(k % 5 == 2, F.replace(author, F.lit(", "), F.lit(" ,, ")))
                .otherwise(author))
     return a.select(
         "_ord",
-        F.when(k % 29 == 4, "").when(k % 31 == 7, F.concat(F.lit("S"), k - 1)).otherwise(F.col("taxonID")).alias("taxonId"),
+        F.when(k % 29 == 4, "").when(species & (k % 31 == 7), F.concat(F.lit("S"), k - 1)).otherwise(F.col("taxonID")).alias("taxonId"),
         F.col("parentNameUsageID").alias("dwc:parentNameUsageID"),
-        F.when(k % 8 == 0, F.col("taxonID")).when(k % 8 == 1, F.concat(F.lit("S"), k + 1)).otherwise("").alias("dwc:acceptedNameUsageID"),
+        F.when(k % 8 == 0, F.col("taxonID")).when(species & (k % 8 == 1), F.concat(F.lit("S"), k + 1)).otherwise("").alias("dwc:acceptedNameUsageID"),
         F.col("taxonRank").alias("dwc:taxonRank"),
         F.when(k % 23 == 5, "senior synonym").when(k % 8 == 1, "synonym").when(k % 8 == 2, "Dubious").when(
             k % 8 == 3, "provisionally accepted").when(k % 8 == 4, "unplaced").otherwise("accepted").alias("dwc:taxonomicStatus"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rcc5
 from ..functions.ranks import rank_number
+from .report import join_ends
 from .tree import prefixed
 
 # The word for a relation when the two names share a type, and when not.
@@ -21,7 +22,10 @@ CONCEPT_WORDS = {
 def homotypic_pairs(relations: DataFrame, exemplars: DataFrame) -> DataFrame:
     """Add ``homotypic``: the two records are members of one exemplar."""
     e = exemplars.select("nid", "exemplar_id")
-    out = relations.join(e.toDF("u", "_eu"), "u", "left").join(e.toDF("v", "_ev"), "v", "left")
+    both = F.col("u").isNotNull() & F.col("v").isNotNull()
+    out = relations.filter(both).join(e.toDF("u", "_eu"), "u", "left").join(e.toDF("v", "_ev"), "v", "left")
+    # a row with one end only has nothing to compare, and would gather with its like in one task
+    out = out.unionByName(relations.filter(~both), allowMissingColumns=True)
     return out.select(*relations.columns, F.coalesce(F.col("_eu") == F.col("_ev"), F.lit(False)).alias("homotypic"))
 
 
@@ -64,9 +68,8 @@ def name_distance(p: Column, q: Column) -> Column:
 def describe_changes(relations: DataFrame, exemplars: DataFrame, nodes: DataFrame) -> DataFrame:
     """The relations with concept, name and rank changes."""
     have = ("nid", "taxonID", "parts", "rank", "accepted")
-    out = (homotypic_pairs(relations, exemplars)
-           .join(prefixed(nodes, "u_", *have), F.col("u") == F.col("u_nid"), "left")
-           .join(prefixed(nodes, "v_", *have), F.col("v") == F.col("v_nid"), "left"))
+    ends = {p: prefixed(nodes, f"{p}_", *have).withColumnRenamed(f"{p}_nid", p) for p in "uv"}
+    out = join_ends(homotypic_pairs(relations, exemplars), ends["u"], ends["v"])
     p, q = F.col("u_parts"), F.col("v_parts")
     both = F.col("u").isNotNull() & F.col("v").isNotNull()
     none = F.array().cast("array<string>")

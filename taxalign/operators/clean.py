@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.names import SUBGENUS, SUBGENUS_AT_START
 from ..staging import stage
@@ -32,6 +32,12 @@ def drop_senior_synonyms(df: DataFrame) -> DataFrame:
     return df.filter(F.coalesce(F.col("taxonomicStatus") != "senior synonym", F.lit(True)))
 
 
+def _normalizes() -> Column:
+    """Whether ``normalize_accepted`` changes a row."""
+    linked = F.col("acceptedNameUsageID") != ""
+    return linked & ((F.col("acceptedNameUsageID") == F.col("taxonID")) | (F.col("parentNameUsageID") != ""))
+
+
 def normalize_accepted(df: DataFrame) -> DataFrame:
     """An accepted id equal to the row's own is cleared; else a synonym's parent is."""
     own = (F.col("acceptedNameUsageID") != "") & (F.col("acceptedNameUsageID") == F.col("taxonID"))
@@ -79,10 +85,11 @@ def _erase_subgenus(name: Column) -> Column:
     return F.when(found != "", F.concat(F.substring(name, F.lit(1), at - 1), F.lit(" "), rest)).otherwise(name)
 
 
-def clean_names(df: DataFrame, compat: bool = False) -> DataFrame:
+def clean_names(df: DataFrame, compat: bool = False, changed: str | None = None) -> DataFrame:
     """Make scientificName = canonicalName + authorship and tidy all three.
 
-    ``compat`` leaves authorship out of account.
+    ``compat`` leaves authorship out of account.  The column ``changed``, if named, becomes
+    whether a row was changed.
     """
     c = F.col
     given = F.trim("scientificNameAuthorship") if not compat else F.lit("")
@@ -102,6 +109,9 @@ def clean_names(df: DataFrame, compat: bool = False) -> DataFrame:
     values = {"scientificName": remove_subgenus(F.replace(ended, F.lit(" ,"), F.lit(","))), "canonicalName": c("_c1")}
     if not compat:
         values["scientificNameAuthorship"] = tidy_authorship(F.replace(c("_a1"), F.lit(" ,"), F.lit(",")))
+    if changed:
+        differs = [~v.eqNullSafe(F.col(n)) for n, v in values.items()]
+        out = out.withColumn(changed, F.array_contains(F.array(*differs), True))
     return out.withColumns(values).select(*df.columns)
 
 
@@ -109,11 +119,13 @@ def duplicate_keys(df: DataFrame, pk: str = "taxonID") -> DataFrame:
     return df.filter(F.col(pk) != "").groupBy(pk).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def mint_keys(df: DataFrame, pk: str = "taxonID", order_col: str = "_ord", digits: int = 16, compat: bool = False) -> DataFrame:
+def mint_keys(df: DataFrame, pk: str = "taxonID", order_col: str = "_ord", digits: int = 16, compat: bool = False,
+              row_as_read: str | None = None) -> DataFrame:
     """Give rows with a blank or already used key a hash of the row as key.
 
     Of rows that share a key the first keeps it.  Equal rows get an occurrence number, so
-    minted keys are unique; ``compat`` gives the 8-digit key that equal rows share.  The
+    minted keys are unique; ``compat`` gives the 8-digit key that equal rows share, of the
+    text in ``row_as_read`` where that is given, a column that is then dropped.  The
     first use of a key is an aggregate over repeated keys only, so neither the blank key
     nor a popular one is gathered in a task.
     """
@@ -124,9 +136,9 @@ def mint_keys(df: DataFrame, pk: str = "taxonID", order_col: str = "_ord", digit
     joined = df.withColumn("_key", key).join(first, "_key", "left")
     repeated = F.coalesce(F.col("_first") != F.col(order_col), F.lit(False))
     if compat:
-        text = F.array_join(F.split(F.concat_ws("^", *values), ""), "^")
+        text = F.array_join(F.split(F.col(row_as_read) if row_as_read else F.concat_ws("^", *values), ""), "^")
         minted = F.when((F.col(pk) == "") | repeated, F.substring(F.sha1(text), 1, 8)).otherwise(F.col(pk))
-        return joined.withColumn(pk, minted).select(*df.columns)
+        return joined.withColumn(pk, minted).select(*[c for c in df.columns if c != row_as_read])
     marked = stage(joined.select(*df.columns, ((F.col(pk) == "") | repeated).alias("_mint"),
                                  F.substring(F.sha1(F.concat_ws("^", *values)), 1, digits).alias("_hash")), "keys")
     numbered = number_within(marked.filter("_mint"), ["_hash"], [order_col], "_n")
@@ -149,34 +161,60 @@ def long_fields(df: DataFrame, limit: int = 10000) -> DataFrame:
 def clean_metrics(df: DataFrame) -> DataFrame:
     """One row of counts about a raw checklist (with standard columns)."""
     senior = F.col("taxonomicStatus") == "senior synonym"
-    linked = F.col("acceptedNameUsageID") != ""
-    own = linked & (F.col("acceptedNameUsageID") == F.col("taxonID"))
     return df.agg(
         F.count_if(~senior).alias("records"), F.count_if(senior).alias("senior"),
         F.count_if(~senior & (F.col("taxonID") == "")).alias("blank_keys"),
-        F.count_if(~senior & (own | (linked & ~own & (F.col("parentNameUsageID") != "")))).alias("normalized"))
+        F.count_if(~senior & _normalizes()).alias("normalized"))
+
+
+#: Columns by which ``clean`` counts what it does to a row.
+_FLAGS = ("_senior", "_blank", "_normalized", "_cleaned", "_managed")
 
 
-def clean(df: DataFrame, pk: str = "taxonID", managed: str | None = None, names: bool = True, compat: bool = False) -> DataFrame:
-    """All cleaning rules; ``managed`` is ``prefix:column``."""
+def clean_counters() -> dict[str, Column]:
+    """Metrics over rows with ``_FLAGS``; all but senior leave the senior synonyms out."""
+    stays = ~F.col("_senior")
+    named = {"minted": "_blank", "normalized": "_normalized", "cleaned": "_cleaned", "managed": "_managed"}
+    return {"records": F.count_if(stays), "senior": F.count_if(F.col("_senior"))} | {
+        name: F.count_if(stays & F.col(flag)) for name, flag in named.items()}
+
+
+def clean(df: DataFrame, pk: str = "taxonID", managed: str | None = None, names: bool = True, compat: bool = False,
+          observation: Observation | None = None) -> DataFrame:
+    """All cleaning rules; ``managed`` is ``prefix:column``.
+
+    An ``observation`` gathers ``clean_counters`` in the pass that cleans the rows.
+    """
     out = fill_missing(normalize_headers(df))
+    read = [c for c in out.columns if c != "_ord"]
     for column in (pk, "scientificName", "canonicalName"):
         if column not in out.columns:
             out = out.withColumn(column, F.lit(""))
     have = set(out.columns)
-    if "taxonomicStatus" in have:
-        out = drop_senior_synonyms(out)
-    if {"acceptedNameUsageID", "parentNameUsageID", "taxonID"} <= have:
+    no = F.lit(False)
+    flags = {"_senior": F.col("taxonomicStatus") == "senior synonym" if "taxonomicStatus" in have else no, "_blank": F.col(pk) == "",
+             "_normalized": no, "_cleaned": no, "_managed": no}
+    linked = {"acceptedNameUsageID", "parentNameUsageID", "taxonID"} <= have
+    if linked:
+        flags["_normalized"] = _normalizes()
+    out = out.withColumns(flags)
+    if linked:
         out = normalize_accepted(out)
+    if compat:
+        out = out.withColumn("_read", F.concat_ws("^", *read))
     if "landmark_status" in have:
         out = out.withColumn("landmark_status", recode_landmark(F.col("landmark_status")))
     if "source" in have:
         out = out.withColumn("source", first_source(F.col("source")))
     if names:
         absent = "scientificNameAuthorship" not in have
-        out = clean_names(out.withColumn("scientificNameAuthorship", F.lit("")) if absent else out, compat)
+        out = clean_names(out.withColumn("scientificNameAuthorship", F.lit("")) if absent else out, compat, "_cleaned")
         out = out.drop("scientificNameAuthorship") if absent else out
     if managed:
         prefix, column = managed.split(":")
-        out = add_managed_id(out, prefix, column)
-    return mint_keys(out, pk, compat=compat)
+        out = add_managed_id(out, prefix, column).withColumn("_managed", F.lit(True))
+    if observation is not None:
+        # one pass, as a plan that reads the rows twice would count them twice
+        out = stage(out.observe(observation, *[c.alias(n) for n, c in clean_counters().items()]), "cleaned")
+    out = out.filter(~F.col("_senior")).drop(*_FLAGS)
+    return mint_keys(out, pk, compat=compat, row_as_read="_read" if compat else None)

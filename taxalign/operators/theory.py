@@ -1,7 +1,8 @@
 """Concepts compared across checklists by the exemplars they hold.
 
-A block is the set of exemplars at or below a node.  Blocks are kept as one long table;
-relations come from counts, so no set is ever gathered into a row.
+A block is the set of exemplars at or below a node.  Only the members of exemplars are
+kept; blocks are listed for the nodes that a comparison asks for, and relations come from
+counts, so no set is ever gathered into a row and no table of all blocks is written.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from ..functions import rcc5
 from ..functions.ranks import rank_number
 from ..staging import stage
 from .match import exemplar_epithets
-from .tree import accepted_of, ancestor_closure, common_length, is_prefix, prefixed
+from .numbering import number_within
+from .tree import accepted_of, ancestor_closure, common_length, is_prefix, prefixed, within_interval
 
 
 @dataclass(frozen=True)
@@ -22,30 +24,53 @@ class Theory:
     """Stored tables that the comparisons read."""
 
     nodes: DataFrame      # node table with block size, uniqueness, cross MRCA, central node
-    blocks: DataFrame     # (nid, side, exemplar_id)
+    members: DataFrame    # (exemplar_id, side, nid, pre, path)
     exemplars: DataFrame  # (exemplar_id, side, nid)
     lookup: DataFrame     # (exemplar_id, rep_a, rep_b, epithet)
 
 
-def blocks(exemplars: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(nid, side, exemplar_id): every exemplar of every node."""
-    paths = nodes.filter("path is not null").select("nid", "path")
-    return exemplars.join(paths, "nid").select(
-        F.explode("path").alias("nid"), "side", "exemplar_id").distinct()
+def members(exemplars: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(exemplar_id, side, nid, pre, path): the exemplars' members that are in a tree."""
+    places = nodes.filter("path is not null").select("nid", "pre", "path")
+    return exemplars.join(places, "nid").select("exemplar_id", "side", "nid", "pre", "path")
 
 
-def cross_mrcas(blocks_: DataFrame, lookup: DataFrame, nodes: DataFrame) -> DataFrame:
+def blocks(members_: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(nid, side, exemplar_id): every exemplar of every node, or of the ``wanted`` nodes (nid)."""
+    long = members_.select(F.explode("path").alias("nid"), "side", "exemplar_id")
+    if wanted is not None:
+        long = long.join(wanted.select("nid").distinct(), "nid", "left_semi")
+    return long.distinct()
+
+
+def _met_again(members_: DataFrame) -> DataFrame:
+    """(exemplar_id, side, path): where the members of one exemplar in one tree come together.
+
+    Of members in walk order each meets the one before it at their common ancestor.  Above
+    that, an exemplar has been counted once too often for each such meeting.
+    """
+    several = members_.groupBy("exemplar_id", "side").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    numbered = stage(number_within(members_.join(several, ["exemplar_id", "side"]), ["exemplar_id", "side"], ["pre"], "_n"), "members")
+    before = numbered.select("exemplar_id", "side", (F.col("_n") + 1).alias("_n"), F.col("path").alias("_before"))
+    met = numbered.join(before, ["exemplar_id", "side", "_n"])
+    return met.select("exemplar_id", "side", F.slice("path", F.lit(1), common_length(F.col("path"), F.col("_before"))).alias("path"))
+
+
+def cross_mrcas(members_: DataFrame, lookup: DataFrame, nodes: DataFrame) -> DataFrame:
     """(nid, block_size, cross_nid, cross_path): block sizes, and the MRCA in the other tree.
 
-    The MRCA of a set is that of its first and last member in walk order, so two bigint
-    extremes per node are all that is aggregated.
+    The MRCA of a set is that of its first and last member in walk order.  A block's size is
+    its members less the meetings of members of one exemplar, so no distinct is needed: one
+    partial aggregate of a sum and two extremes per node.
     """
     pre = nodes.select("nid", "pre")
     ends = (lookup.join(pre.toDF("rep_a", "pre_a"), "rep_a").join(pre.toDF("rep_b", "pre_b"), "rep_b")
             .select("exemplar_id", "pre_a", "pre_b"))
     other = F.when(F.col("side") == "A", F.col("pre_b")).otherwise(F.col("pre_a"))
-    span = blocks_.join(ends, "exemplar_id").groupBy("nid").agg(
-        F.count("*").alias("block_size"), F.min(other).alias("lo"), F.max(other).alias("hi"))
+    counted = members_.select("exemplar_id", "side", "path", F.lit(1).alias("_w")).unionByName(
+        _met_again(members_).withColumn("_w", F.lit(-1)))
+    span = counted.join(ends, "exemplar_id").select(F.explode("path").alias("nid"), "_w", other.alias("_other")).groupBy("nid").agg(
+        F.sum("_w").alias("block_size"), F.min("_other").alias("lo"), F.max("_other").alias("hi"))
     path = nodes.filter("path is not null").select("pre", "path")
     out = span.join(path.toDF("lo", "lo_path"), "lo").join(path.toDF("hi", "hi_path"), "hi")
     cross = F.slice("lo_path", F.lit(1), common_length(F.col("lo_path"), F.col("hi_path")))
@@ -72,8 +97,8 @@ def central(sized: DataFrame) -> DataFrame:
 
 def theorize(nodes: DataFrame, exemplars: DataFrame) -> Theory:
     lookup = stage(exemplar_epithets(exemplars, nodes), "lookup")
-    long = stage(blocks(exemplars, nodes), "blocks")
-    sized = nodes.filter("path is not null").join(cross_mrcas(long, lookup, nodes), "nid", "left")
+    within = stage(members(exemplars, nodes), "members")
+    sized = nodes.filter("path is not null").join(cross_mrcas(within, lookup, nodes), "nid", "left")
     sized = stage(sized.withColumns({
         "block_size": F.coalesce("block_size", F.lit(0)), "rank_no": rank_number("rank")}), "sized")
     sup = sized.select(F.col("nid").alias("sup"), F.col("block_size").alias("sup_block_size"))
@@ -84,7 +109,7 @@ def theorize(nodes: DataFrame, exemplars: DataFrame) -> Theory:
         "central": F.when(F.col("block_size") > 0, F.col("nid")).otherwise(F.col("central")),
         "central_relation": F.when(F.col("block_size") > 0, rcc5.EQ).otherwise(F.col("central_relation"))})
     out = out.withColumn("mono", F.coalesce("mono", F.lit(False))).drop("sup_block_size")
-    return Theory(stage(out, "theory"), long, exemplars, lookup)
+    return Theory(stage(out, "theory"), within, exemplars, lookup)
 
 
 # -- relations ------------------------------------------------------------------------------
@@ -125,11 +150,14 @@ def intersections(pairs: DataFrame, theory: Theory) -> DataFrame:
                        (F.col("u_block_size") <= F.col("v_block_size")).alias("u_small")), "pairs")
     small = F.when(F.col("u_small"), F.col("u")).otherwise(F.col("v"))
     big = F.when(F.col("u_small"), F.col("v")).otherwise(F.col("u"))
-    rest = j.filter("n_both is null").select("u", "v", small.alias("nid"), big.alias("_big"))
-    held = theory.blocks.select("nid", "exemplar_id")
-    common = (rest.join(held, "nid")
-              .join(held.select(F.col("nid").alias("_big"), "exemplar_id"), ["_big", "exemplar_id"], "left_semi")
-              .groupBy("u", "v").agg(F.count("*").alias("_n")))
+    rest = stage(j.filter("n_both is null").select("u", "v", small.alias("nid"), big.alias("_big")), "open")
+    held = blocks(theory.members, rest).select("nid", "side", "exemplar_id")
+    # an exemplar of the smaller block is in the larger one if a member of it stands below
+    spans = prefixed(theory.nodes, "b_", "nid", "pre", "last")
+    there = theory.members.select(F.when(F.col("side") == "A", "B").otherwise("A").alias("side"), "exemplar_id", F.col("pre").alias("m_pre"))
+    common = (rest.join(held, "nid").join(spans, F.col("_big") == F.col("b_nid"))
+              .join(there, ["side", "exemplar_id"]).filter(within_interval("m_", "b_"))
+              .select("u", "v", "exemplar_id").distinct().groupBy("u", "v").agg(F.count("*").alias("_n")))
     counted = rest.join(common, ["u", "v"], "left").select("u", "v", F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_both"))
     return j.filter("n_both is not null").select("u", "v", "n_both").unionByName(counted)
 
@@ -199,7 +227,7 @@ def _species_lookup(theory: Theory) -> DataFrame:
 def intersecting_species(theory: Theory) -> DataFrame:
     """(nid, side, partner): accepted species whose concepts share an exemplar with each accepted species."""
     own = theory.nodes.filter("accepted and rank = 'species'").select("nid")
-    held = theory.blocks.join(own, "nid", "left_semi").join(_species_lookup(theory), "exemplar_id")
+    held = blocks(theory.members, own).join(_species_lookup(theory), "exemplar_id")
     partner = F.when(F.col("side") == "A", F.col("species_b")).otherwise(F.col("species_a"))
     return held.select("nid", "side", partner.alias("partner")).filter("partner is not null").distinct()
 
@@ -235,6 +263,35 @@ def compare_locally(pairs: DataFrame, specimens: DataFrame) -> DataFrame:
     return out.select(*[c for c in pairs.columns if c != "relation"], settled.cast("int").alias("relation"))
 
 
+def sibling_relations(nodes: DataFrame, specimens: DataFrame) -> DataFrame:
+    """(nid, n_siblings, n_same, n_other): per synonym, how many siblings share its specimen, and how many don't.
+
+    ``compare_locally`` finds `=` for the former and `!=` for the latter.  Counted per superior and
+    per (superior, specimen); no pair of siblings is listed.
+    """
+    rows = nodes.filter("level > 1").select("nid", "sup", "accepted").join(specimens.select("nid", "spec"), "nid")
+    siblings = rows.groupBy("sup").agg(F.count("*").alias("_all"))
+    alike = rows.groupBy("sup", "spec").agg(F.count("*").alias("_same"))
+    out = rows.filter("not accepted").join(siblings, "sup").join(alike, ["sup", "spec"])
+    return out.select("nid", (F.col("_all") - 1).alias("n_siblings"), (F.col("_same") - 1).alias("n_same"), (F.col("_all") - F.col("_same")).alias("n_other"))
+
+
+def siblings_that_meet(nodes: DataFrame, specimens: DataFrame) -> DataFrame:
+    """(x, y): each synonym with the first sibling of its specimen, its superior, and the sibling before it in a walk.
+
+    Rows grow with the records, whatever the number of siblings.
+    """
+    rows = nodes.filter("level > 1 and sup is not null").select("nid", "sup", "accepted").join(specimens.select("nid", "spec"), "nid")
+    rows = stage(number_within(rows, ["sup"], ["nid"], "_n"), "siblings")
+    first = rows.groupBy("sup", "spec").agg(F.min("nid").alias("y"))
+    mine = rows.filter("not accepted")
+    before = rows.select("sup", (F.col("_n") + 1).alias("_n"), F.col("nid").alias("y"))
+    x = F.col("nid").alias("x")
+    return (mine.join(first, ["sup", "spec"]).filter("nid <> y").select(x, "y")
+            .unionByName(mine.join(before, ["sup", "_n"]).select(x, "y"))
+            .unionByName(mine.filter("sup > 0").select(x, F.col("sup").alias("y")))).distinct()
+
+
 def cross_tests(compared: DataFrame) -> DataFrame:
     """Add cross_lt and cross_le to compared pairs."""
     lt = F.col("relation").isin(rcc5.LT, rcc5.LE, rcc5.LT | rcc5.DISJOINT)

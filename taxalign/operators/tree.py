@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import rcc5
 from ..functions.ranks import rank_number
 from ..staging import stage
+from .numbering import positions
 
 TOP = "⊤"
 _SYNONYM_BIT = 1 << 62
@@ -60,13 +61,15 @@ def resolve_superiors(rows: DataFrame) -> DataFrame:
 
     One self join serves both links, because a row with an accepted id never uses its
     parent.  Rows without a link keep a key of their own, so they do not meet in one task.
+    Of rows that share an id the first one is meant; ``validate`` reports them.
     """
     link = F.when(F.col("acceptedNameUsageID") != "", F.col("acceptedNameUsageID")).otherwise(F.col("parentNameUsageID"))
     synonym = F.col("acceptedNameUsageID") != ""
     key = F.when(link == "", F.concat(F.lit("\u0001"), "taxonID")).otherwise(link)
-    targets = rows.select(
-        F.col("side").alias("side"), F.col("taxonID").alias("_key"), F.col("nid").alias("_target"),
-        F.col("accepted").alias("sup_accepted"), F.col("taxonRank").alias("sup_rank"))
+    first = F.min_by(F.struct("nid", "accepted", "taxonRank"), "_ord").alias("_first")
+    targets = rows.groupBy("side", F.col("taxonID").alias("_key")).agg(first).select(
+        "side", "_key", F.col("_first.nid").alias("_target"),
+        F.col("_first.accepted").alias("sup_accepted"), F.col("_first.taxonRank").alias("sup_rank"))
     found = F.col("_target").isNotNull()
     top = F.when(F.col("side") == "A", F.lit(-2)).otherwise(F.lit(-1)).cast("bigint")
     same = F.col("taxonomicStatus") == "equivalent"
@@ -137,9 +140,9 @@ def check_ranks(nodes: DataFrame) -> DataFrame:
 
 
 def root_paths(nodes: DataFrame) -> DataFrame:
-    """Add ``path``, ``level`` and the nearest ranked ancestors to linked nodes.
+    """(nid, side, path, level, …): root paths and the nearest ranked ancestors, roots included.
 
-    Only rows that have inferiors take part in the doubling: each round joins every
+    Needs nid, side, sup, rank and accepted of linked nodes.  Only rows that have inferiors take part in the doubling: each round joins every
     unfinished segment with the segment above it, so depth d needs log2(d) rounds.  Rows
     that never reach the root (rings, orphans) get a NULL path.
     """
@@ -148,7 +151,7 @@ def root_paths(nodes: DataFrame) -> DataFrame:
     family = F.when(F.col("rank") == "family", F.col("nid"))
     species = F.when((F.col("rank") == "species") & F.col("accepted"), F.col("nid"))
     tops = nodes.select("side").distinct().select(
-        F.when(F.col("side") == "A", -2).otherwise(-1).cast("bigint").alias("nid"))
+        F.when(F.col("side") == "A", -2).otherwise(-1).cast("bigint").alias("nid"), "side")
     none = F.lit(None).cast("bigint")
     segments = (
         nodes.join(inner, "nid", "left_semi")
@@ -175,14 +178,14 @@ def root_paths(nodes: DataFrame) -> DataFrame:
                           F.col("genus_nid").alias("genus_above"),
                           *[F.col(c).alias("_" + c) for c in near])
     out = nodes.join(above, "sup", "left")
-    return out.select(
-        *nodes.columns,
-        F.concat("sup_path", F.array("nid")).alias("path"),
+    below = out.select(
+        "nid", "side", F.concat("sup_path", F.array("nid")).alias("path"),
         F.coalesce(F.size("sup_path") + 1, F.lit(None)).alias("level"),
         "genus_above",
         F.coalesce(genus, "_genus_nid").alias("genus_nid"),
         F.coalesce(family, "_family_nid").alias("family_nid"),
         F.coalesce(species, "_species_nid").alias("species_nid"))
+    return below.unionByName(tops.select("nid", "side", F.array("nid").alias("path"), F.lit(1).alias("level")), allowMissingColumns=True)
 
 
 def top_rows(nodes: DataFrame) -> DataFrame:
@@ -190,11 +193,10 @@ def top_rows(nodes: DataFrame) -> DataFrame:
     special = {
         "taxonID": F.lit(TOP), "canonicalName": F.lit(TOP), "taxonRank": F.lit("top"), "rank": F.lit("top"),
         "taxonomicStatus": F.lit("accepted"), "accepted": F.lit(True), "sup_accepted": F.lit(True),
-        "rank_problem": F.lit(False), "level": F.lit(1), "sup_rank": F.lit(""), "note": F.lit(""),
+        "rank_problem": F.lit(False), "sup_rank": F.lit(""), "note": F.lit(""),
         "_ord": F.lit(-1).cast("bigint"),
     }
-    nid = F.when(F.col("side") == "A", -2).otherwise(-1).cast("bigint")
-    special["nid"], special["path"], special["side"] = nid, F.array(nid), F.col("side")
+    special["nid"], special["side"] = F.when(F.col("side") == "A", -2).otherwise(-1).cast("bigint"), F.col("side")
     return nodes.select("side").distinct().select(*[
         special.get(f.name, F.lit("" if f.dataType.simpleString() == "string" else None)).cast(f.dataType).alias(f.name)
         for f in nodes.schema.fields])
@@ -207,11 +209,6 @@ def inferior_counts(nodes: DataFrame) -> DataFrame:
         F.count_if(~F.col("accepted")).alias("n_synonyms"))
 
 
-def with_inferior_counts(nodes: DataFrame) -> DataFrame:
-    return nodes.join(inferior_counts(nodes.filter("sup is not null")), "nid", "left").withColumns({
-        "n_children": F.coalesce("n_children", F.lit(0)), "n_synonyms": F.coalesce("n_synonyms", F.lit(0))})
-
-
 def link_nodes(rows: DataFrame) -> DataFrame:
     """Identified rows -> nodes with final links and checked ranks, over one stored table."""
     return check_ranks(skip_synonym_superiors(stage(resolve_superiors(rows), "links")))
@@ -223,8 +220,17 @@ def build_tree(df: DataFrame, side: str = "A") -> DataFrame:
 
 
 def build_forest(rows: DataFrame) -> DataFrame:
-    nodes = root_paths(link_nodes(rows))
-    return stage(preorder(with_inferior_counts(nodes.unionByName(top_rows(nodes)))), "tree")
+    """Identified rows -> node table.
+
+    What follows from the links is computed over a few narrow columns; names and the like
+    are shuffled once, when the two meet.
+    """
+    nodes = link_nodes(rows)
+    placed = stage(root_paths(nodes.select("nid", "side", "sup", "rank", "accepted")), "paths")
+    info = placed.drop("side").join(walk_numbers(placed), "nid", "left").join(
+        inferior_counts(nodes.filter("sup is not null")), "nid", "left")
+    info = info.withColumns({"n_children": F.coalesce("n_children", F.lit(0)), "n_synonyms": F.coalesce("n_synonyms", F.lit(0))})
+    return stage(nodes.unionByName(top_rows(nodes)).join(info, "nid"), "tree")
 
 
 def workspace_rows(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -296,17 +302,31 @@ def compare_in_tree(pairs: DataFrame, nodes: DataFrame, x: str = "x", y: str = "
 
 
 def tree_predicates(pairs: DataFrame, nodes: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """Add the tests le, lt, ge, gt, descends and intersects."""
-    out = pairs.join(prefixed(nodes, "_x_", *_IN_TREE), F.col(x) == F.col("_x_nid"))
-    out = out.join(prefixed(nodes, "_y_", *_IN_TREE), F.col(y) == F.col("_y_nid"))
-    px, py = F.col("_x_path"), F.col("_y_path")
+    """Add the tests le, lt, ge, gt, descends and intersects; no path is needed.
+
+    A node stands below another if its place in a walk is within the other's interval.
+    """
+    have = ("nid", "sup", "accepted", "level", "pre", "last")
+    out = pairs.join(prefixed(nodes, "_x_", *have), F.col(x) == F.col("_x_nid"))
+    out = out.join(prefixed(nodes, "_y_", *have), F.col(y) == F.col("_y_nid"))
     same = F.col(x) == F.col(y)
-    le, ge = is_prefix(py, px), is_prefix(px, py)
-    rel = relation_in_tree("_x_", "_y_")
+    le, ge = within_interval("_x_", "_y_"), within_interval("_y_", "_x_")
     return out.select(
         *pairs.columns, le.alias("le"), (le & ~same).alias("lt"), ge.alias("ge"), (ge & ~same).alias("gt"),
-        (F.size(py) < F.size(px)).alias("descends"),
-        (rel.bitwiseAND(F.lit(rcc5.DISJOINT)) == 0).alias("intersects"))
+        (F.col("_y_level") < F.col("_x_level")).alias("descends"), (le | ge).alias("intersects"))
+
+
+def within_interval(x: str, y: str) -> Column:
+    """The node with the columns of prefix ``x`` is that of ``y`` or stands below it."""
+    return F.col(x + "pre").between(F.col(y + "pre"), F.col(y + "last"))
+
+
+def below(nodes: DataFrame, root: str) -> DataFrame:
+    """Nodes at and below the node with the id ``root`` (of either side), by one range condition."""
+    spans = nodes.filter((F.col("taxonID") == root) & F.col("pre").isNotNull()).select("side", F.col("pre").alias("_pre"), F.col("last").alias("_last"))
+    # one row for each side at most, first of those that share the id
+    spans = spans.groupBy("side").agg(F.min_by(F.struct("_pre", "_last"), "_pre").alias("_s")).select("side", "_s.*")
+    return nodes.join(F.broadcast(spans), "side").filter(F.col("pre").between(F.col("_pre"), F.col("_last"))).select(*nodes.columns)
 
 
 def ancestor_closure(nodes: DataFrame) -> DataFrame:
@@ -342,21 +362,51 @@ def group_mrca(groups: DataFrame, nodes: DataFrame, key: str, member: str = "nid
     return ends.select(key, mrca(F.col("lo"), F.col("hi")).alias("mrca"))
 
 
-def preorder(nodes: DataFrame) -> DataFrame:
-    """Add ``pre``: increasing along a walk that meets parents first (not contiguous).
+def walk_numbers(placed: DataFrame) -> DataFrame:
+    """(nid, pre, last, post) of the nodes that have a path.
+
+    ``pre`` is the place in a walk that meets parents first, over all trees of the table,
+    ``last`` the greatest among the node and those below, so a subtree is an interval, and
+    ``post`` the place in a walk that meets parents last.  A range-partitioned sort by path
+    gives the first; sizes of subtrees, counted once over all paths, give the others.
+    """
+    rooted = placed.filter("path is not null").select("nid", "path", "level")
+    sizes = rooted.select(F.explode("path").alias("nid")).groupBy("nid").agg(F.count("*").alias("_size"))
+    return positions(rooted, ["path"], "pre").join(sizes, "nid").select(
+        "nid", "pre", (F.col("pre") + F.col("_size") - 1).alias("last"), (F.col("pre") + F.col("_size") - F.col("level")).alias("post"))
+
+
+def _digest(column: str) -> Column:
+    """A digest of a column's values as a multiset."""
+    return F.sum(F.xxhash64(column).cast("decimal(20,0)")).cast("string")
+
 
-    A range-partitioned sort by path; the ids grow with partition and position.
+def reconcile(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Per side: rows read, records with a link, records below the root, and whether all three are the same records.
+
+    Sums of hashes are compared, so nothing is sorted or joined but one row per side.
     """
-    return nodes.repartitionByRange("path").sortWithinPartitions("path").withColumn(
-        "pre", F.monotonically_increasing_id())
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("side").agg(F.count("*").alias(name), _digest("nid").alias("_" + name))
+
+    real = nodes.filter("nid >= 0")
+    out = counted(rows, "read").join(counted(real.filter("sup is not null"), "linked"), "side", "left").join(
+        counted(real.filter("path is not null"), "reachable"), "side", "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("linked", "reachable")]
+    same = F.col("_read").eqNullSafe(F.col("_reachable")) & F.col("_read").eqNullSafe(F.col("_linked"))
+    return out.select("side", "read", *zero, same.alias("same"))
 
 
 def validate(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Findings, one row each: (problem, taxonID)."""
-    real = nodes.filter("level is null or level > 1")
-    sup = nodes.select(F.col("nid").alias("sup"), F.col("accepted").alias("_sup_accepted"),
-                       F.col("taxonID").alias("_sup_id"))
-    below = real.join(sup, "sup")
+    """Findings, one row each: (problem, taxonID).
+
+    ``rows`` are the identified rows that the nodes were made of; links are judged as read,
+    before those that end at a synonym were lifted.
+    """
+    real = nodes.filter("nid >= 0")
+    flags = rows.groupBy("side", F.col("taxonID").alias("_key")).agg(F.min_by("accepted", "_ord").alias("_sup_accepted"), F.count("*").alias("_n"))
+    link = F.when(F.col("acceptedNameUsageID") != "", F.col("acceptedNameUsageID")).otherwise(F.col("parentNameUsageID"))
+    above = rows.withColumn("_key", link).filter("_key <> ''").join(flags, ["side", "_key"]).filter("not _sup_accepted")
 
     def found(df, problem, column="taxonID"):
         return df.select(F.lit(problem).alias("problem"), F.col(column).alias("taxonID"))
@@ -367,53 +417,84 @@ def validate(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         .unionByName(found(real.filter("not accepted and acceptedNameUsageID = ''"), "synonym without accepted id"))
         .unionByName(found(real.filter("rank_problem"), "rank out of order"))
         .unionByName(found(real.filter("note = 'inferior of top' and parentNameUsageID <> ''"), "unknown parent"))
-        .unionByName(found(below.filter("not _sup_accepted and accepted").select("_sup_id").distinct(), "synonym with child", "_sup_id"))
-        .unionByName(found(below.filter("not _sup_accepted and not accepted").select("_sup_id").distinct(), "synonym with synonym", "_sup_id"))
-        .unionByName(found(real.filter("sup < 0"), "root")))
+        .unionByName(found(above.filter("accepted").select("_key").distinct(), "synonym with child", "_key"))
+        .unionByName(found(above.filter("not accepted").select("_key").distinct(), "synonym with synonym", "_key"))
+        .unionByName(found(flags.filter("_n > 1"), "repeated key", "_key"))
+        .unionByName(found(real.filter("sup < 0"), "root"))
+        .unionByName(found(reconcile(rows, nodes).filter("not same"), "row count", "side")))
 
 
 # -- parts of trees -----------------------------------------------------------------------
 
 
+def _ends(edges: DataFrame, stops: DataFrame) -> DataFrame:
+    """(id, end): where the chain of links of each id with one link ends, by pointer doubling.
+
+    ``edges`` has (id, above), one row an id; chains end at ids without a link and at
+    ``stops``.  Rings have no end and are left out.
+    """
+    chain = edges.join(stops, "id", "left_anti")
+    inner = chain.select(F.col("id").alias("above"), F.lit(True).alias("open"))
+    state = stage(chain.join(inner, "above", "left").select("id", F.col("above").alias("end"), F.coalesce("open", F.lit(False)).alias("open")), "chains")
+    left = state.filter("open").count()
+    while left:
+        ahead = state.select(F.col("id").alias("end"), F.col("end").alias("_end"), F.col("open").alias("_open"))
+        moved = state.filter("open").drop("open").join(ahead, "end").select("id", F.col("_end").alias("end"), F.col("_open").alias("open"))
+        state = stage(state.filter("not open").unionByName(moved), "chains")
+        now = state.filter("open").count()
+        if now == left:
+            break  # only rings are left
+        left = now
+    return state.filter("not open").select("id", "end")
+
+
+def reachable_ids(links: DataFrame, root: str) -> DataFrame:
+    """(id): ``root`` and all ids from which links (id, above) lead to it, by one way or another.
+
+    Ids with one link form chains whose ends pointer doubling finds in log2(depth) rounds;
+    ids with several are stops, and only these are gone through from the root downwards.
+    """
+    counted = stage(links.distinct().groupBy("id").agg(F.count("*").alias("n"), F.min("above").alias("above")), "links")
+    top = links.sparkSession.range(1).select(F.lit(root).alias("id"))
+    forks = counted.filter("n > 1").select("id")
+    ends = stage(_ends(counted.filter("n = 1").select("id", "above"), top), "ends")
+    inside = top
+    if not forks.isEmpty():
+        # the links of a fork, each taken to the end of its chain
+        several = links.distinct().join(forks, "id", "left_semi")
+        onward = ends.select(F.col("id").alias("above"), "end")
+        several = stage(several.join(onward, "above", "left").select("id", F.coalesce("end", "above").alias("above")).distinct(), "forks")
+        new = inside
+        while True:
+            met = several.join(new.select(F.col("id").alias("above")), "above", "left_semi").select("id").distinct()
+            new = stage(met.join(inside, "id", "left_anti"), "reached")
+            if new.isEmpty():
+                break
+            inside = stage(inside.unionByName(new), "reached")
+    below_them = ends.join(inside.select(F.col("id").alias("end")), "end", "left_semi").select("id")
+    return stage(inside.unionByName(below_them).distinct(), "inside")
+
+
 def subset(df: DataFrame, root: str) -> DataFrame:
     """Rows at and below ``root`` (an id or a name), through children and synonyms.
 
-    A frontier loop over both links.  Each round joins only the newly reached ids; links
-    that leave the set are blanked.
+    Links that leave the set are blanked.
     """
     rows = with_columns_present(df)
     named = rows.filter((F.col("taxonID") == root) | (F.col("canonicalName") == root) | (F.col("scientificName") == root))
-    start = named.agg(F.max_by("taxonID", "_ord").alias("taxonID")).filter("taxonID is not null")
+    start = named.agg(F.max_by("taxonID", "_ord")).first()[0]
     links = (
-        rows.filter("acceptedNameUsageID <> ''").select(F.col("acceptedNameUsageID").alias("above"), F.col("taxonID").alias("id"))
+        rows.filter("acceptedNameUsageID <> ''").select(F.col("taxonID").alias("id"), F.col("acceptedNameUsageID").alias("above"))
         .unionByName(rows.filter("parentNameUsageID <> '' and parentNameUsageID <> taxonID")
-                     .select(F.col("parentNameUsageID").alias("above"), F.col("taxonID").alias("id"))))
+                     .select(F.col("taxonID").alias("id"), F.col("parentNameUsageID").alias("above"))))
     if not rows.filter("acceptedNameUsageID = taxonID and taxonID <> ''").isEmpty():
         raise ValueError("a row names itself as accepted; clean the checklist first")
-    links = stage(links, "links")
-    frontier = stage(start.select(F.col("taxonID").alias("id")), "frontier")
-    found = frontier.count()
-    if not found:
+    if start is None:
         raise ValueError(f"no taxon with id or name {root!r}")
-    if frontier.join(links, F.col("above") == frontier["id"], "left_semi").isEmpty():
+    links = stage(links, "links")
+    if links.filter(F.col("above") == start).isEmpty():
         raise ValueError(f"taxon {root!r} has no inferiors")
-    rounds = [frontier]
-    while found:
-        reached = links.join(frontier.select(F.col("id").alias("above")), "above", "left_semi").select("id").distinct()
-        for earlier in rounds:
-            reached = reached.join(earlier, "id", "left_anti")
-        frontier = stage(reached, "frontier")
-        found = frontier.count()
-        rounds.append(frontier)
-        if len(rounds) > 8:
-            merged = rounds[0]
-            for more in rounds[1:-1]:
-                merged = merged.unionByName(more)
-            rounds = [stage(merged, "visited"), frontier]
-    inside = rounds[0]
-    for more in rounds[1:]:
-        inside = inside.unionByName(more)
-    inside = stage(inside.distinct(), "inside")
+    inside = reachable_ids(links, start)
 
     out = df.join(inside.select(F.col("id").alias("taxonID")), "taxonID", "left_semi")
     for column in ("acceptedNameUsageID", "parentNameUsageID"):
@@ -436,7 +517,7 @@ def export_checklist(nodes: DataFrame) -> DataFrame:
     status = F.when(F.col("taxonomicStatus") == "", "?").otherwise(F.col("taxonomicStatus"))
     plain = status.startswith("accepted")
     return out.select(
-        "taxonID", "canonicalName", "scientificName", "managed_id", F.col("rank").alias("taxonRank"),
+        "taxonID", "canonicalName", "scientificName", F.col("gn_canonical_stem").alias("canonicalStem"), "managed_id", F.col("rank").alias("taxonRank"),
         F.when(F.col("accepted"), F.col("_sup_id")).otherwise("").alias("parentNameUsageID"),
         F.when(~F.col("accepted"), F.coalesce("_acc_id", F.lit(""))).otherwise("").alias("acceptedNameUsageID"),
         F.when(F.col("accepted") & ~plain, F.concat(F.lit("accepted "), status))
@@ -500,9 +581,9 @@ def duplicate_records(nodes: DataFrame) -> DataFrame:
 
     The best of a group is accepted, has more children, and a name closer to its parent's.
     """
-    family = nodes.select(F.col("nid").alias("_fam"), F.col("canonicalName").alias("family"))
+    family = nodes.filter("rank = 'family'").select(F.col("nid").alias("_fam"), F.col("canonicalName").alias("family"))
     parent = nodes.select(F.col("nid").alias("sup"), F.col("canonicalName").alias("_parent"))
-    rows = (nodes.filter("level > 1").withColumn("_fam", F.coalesce("family_nid", F.lit(0)))
+    rows = (nodes.filter("level > 1").withColumn("_fam", F.coalesce("family_nid", "nid"))
             .join(family, "_fam", "left").join(parent, "sup", "left"))
     name = [F.coalesce(F.col("parts." + f), F.lit("?")).alias(f) for f in ("genus", "epithet", "middle", "token", "year")]
     order = F.struct((~F.col("accepted")).cast("int"), -F.col("n_children"),
