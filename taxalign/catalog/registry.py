@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from .. import fixtures as fx
 from ..functions import homotypy as H, names as N, rcc5
 from ..functions.ranks import rank_number
-from ..operators import (articulations as art, changes, clean as C, diff, match as M, merge, names as NM, ncbi,
+from ..operators import (articulations as art, changes, clean as C, diff, match as M, merge, names as NM, ncbi, nested,
                          report, table as TB, theory as TH, tree as T)
+from ..plans import prepare as P
 from ..plans.align import Alignment
 from ..sources import readers, writers
+from ..streaming import prepare as streaming
 from ..staging import has_staged, new_path, stage
 from . import oracle as O
 
@@ -92,6 +94,50 @@ def _(spark, d):
     return readers.read_checklist(spark, path).select(*_ROWS)
 
 
+@query("quoted_line_breaks", "select cast(doc_id as varchar) doc_id, coalesce(text, '') text, coalesce(source, '') source from documents")
+def _(spark, d):
+    path = new_path(spark, "texts") + ".csv"
+    writers.write_csv(fx.table(spark, d, "documents").select("doc_id", "text", "source"), path)
+    return readers.read_checklist(spark, path).drop("_ord")
+
+
+def _ragged(spark: SparkSession, d: str, sep: str) -> str:
+    """A file in which some customers have a field too many or too few, and some a line break in a value."""
+    k = F.col("c_custkey")
+    quoted = F.when(k % 5 == 0, F.concat(F.lit('"'), "c_name", F.lit('\n""x"", y"'))).otherwise(F.col("c_name")) if sep == "," else F.col("c_name")
+    cells = F.when(k % 7 == 0, F.array(k.cast("string"), quoted, F.lit("s"), F.lit("more"))).when(
+        k % 11 == 0, F.array(k.cast("string"), quoted)).otherwise(F.array(k.cast("string"), quoted, F.lit("s")))
+    rows = fx.table(spark, d, "customer").orderBy("c_custkey").select(F.array_join(cells, sep).alias("value"))
+    path = new_path(spark, "ragged") + (".csv" if sep == "," else ".tsv")
+    head = sep.join(("taxonID", "scientificName", "source"))
+    # every part file begins with the header
+    parts = rows.withColumn("_p", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id())
+    heads = parts.select("_p").distinct().select(F.lit(head).alias("value"), "_p", F.lit(-1).cast("long").alias("_n"))
+    parts.unionByName(heads).repartition("_p").sortWithinPartitions("_p", "_n").drop("_n").write.partitionBy("_p").text(path)
+    return path
+
+
+_RAGGED_NAME = "case when c_custkey % 5 = 0 then c_name || chr(10) || '\"x\", y' else c_name end"
+
+
+@query("ragged_checklist", f"select cast(c_custkey as varchar) taxonID, {_RAGGED_NAME} scientificName, case when c_custkey % 7 <> 0 and c_custkey % 11 = 0 then '' else 's' end source from customer")
+def _(spark, d):
+    return readers.read_checklist(spark, _ragged(spark, d, ",") + "/_p=*").select("taxonID", "scientificName", "source")
+
+
+@query("ragged_counts", "select kind, count(*) filter (c_custkey % 7 = 0) trimmed, count(*) filter (c_custkey % 7 <> 0 and c_custkey % 11 = 0) short from customer, (values ('csv'), ('tsv')) t(kind) group by kind")
+def _(spark, d):
+    counts = readers.ragged_quoted(spark, _ragged(spark, d, ",") + "/_p=*").withColumn("kind", F.lit("csv"))
+    return counts.unionByName(readers.ragged_counts(spark, _ragged(spark, d, "\t") + "/_p=*").withColumn("kind", F.lit("tsv")))
+
+
+@query("scatter_rows", f"select taxonRank, {', '.join(c for c in _ROWS if c != 'taxonRank')} from x_a")
+def _(spark, d):
+    dest = new_path(spark, "scatter")
+    writers.scatter(fx.checklist_a(spark, d).drop("_ord"), dest, "taxonRank")
+    return C.fill_missing(spark.read.csv(dest, header=True, quote='"', escape='"')).select(*_ROWS)
+
+
 @query("scatter_by_rank", "select taxonRank, count(*) n from x_a group by taxonRank")
 def _(spark, d):
     return writers.scatter(fx.checklist_a(spark, d), new_path(spark, "scatter"), "taxonRank")
@@ -366,6 +412,24 @@ def _(spark, d):
     return _prepared(spark, d).select("taxonID", "canonicalName", "scientificName", "gn_canonical_full", "gn_canonical_stem", "gn_authorship", "gn_quality")
 
 
+@query("prepared_from_file", """select p.taxonID, p.gn_canonical_full, p.gn_canonical_stem, p.gn_authorship, p.gn_quality from x_prep p""")
+def _(spark, d):
+    rows = fx.varied_names(spark, d).drop("gn_canonical_full", "gn_canonical_stem", "gn_authorship")
+    lines, path = new_path(spark, "lines"), new_path(spark, "parsed") + ".csv"
+    P.hand_over(rows, lines)
+    given = spark.read.text(lines).withColumnRenamed("value", "Verbatim")
+    # the parser's file: one row for each line that it was given and could read
+    said = _parser_output(spark, d)
+    one = said.groupBy("Verbatim").agg(*[F.min_by(c, "_ord").alias(c) for c in ("CanonicalFull", "CanonicalStem", "Authorship", "Quality")])
+    blank = F.lit("")
+    table = given.join(one, "Verbatim").select(
+        F.sha1("Verbatim").alias("Id"), "Verbatim", F.size(F.split("CanonicalFull", " ")).alias("Cardinality"), "CanonicalStem",
+        F.col("CanonicalFull").alias("CanonicalSimple"), "CanonicalFull", "Authorship", blank.alias("Year"), "Quality")
+    writers.write_csv(table, path)
+    out = P.prepare_from_file(spark, rows, path)
+    return out.select("taxonID", "gn_canonical_full", "gn_canonical_stem", "gn_authorship", "gn_quality")
+
+
 @query("rejected_names", "select taxonID, scientificName, gn_quality from x_prep where gn_canonical_full = '' or gn_canonical_stem = ''")
 def _(spark, d):
     return NM.rejected_names(_prepared(spark, d))
@@ -410,6 +474,28 @@ def _(spark, d):
                        (N.is_polynomial(full) & kept).alias("stemmed"))
 
 
+# the stream cleans names before it reads them
+for _old, _new, _from in (("x_nm1", "x_sn1", ("x_norm", "x_var")), ("x_nm2", "x_sn2", ("x_nm1", "x_sn1")), ("x_nm3", "x_sn3", ("x_nm2", "x_sn2")), ("x_names", "x_sn", ("x_nm3", "x_sn3")),
+                         ("x_ext1", "x_sx1", ("x_var", "x_sn")), ("x_ext2", "x_sx2", ("x_ext1", "x_sx1")), ("x_ext3", "x_sx3", ("x_ext2", "x_sx2")), ("x_ext", "x_sx", ("x_ext3", "x_sx3"))):
+    O.define(_new, O.PARTS[_old].replace(f"from {_from[0]}", f"from {_from[1]}"))
+O.parse("x_sp", "x_sn", gn=True)
+
+
+def _arriving(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as a stream of files."""
+    source, customers = new_path(spark, "arriving"), fx.table(spark, d, "customer")
+    customers.repartition(4, "c_custkey").write.parquet(source)
+    return spark.readStream.schema(customers.schema).option("maxFilesPerTrigger", 2).parquet(source)
+
+
+@query("prepare_stream", "select e.taxonID, e.name_to_parse, " + ", ".join(f'p.p_{c} "{c}"' for c in _PART) + " from x_sx e join x_sp p on p._ord = e._ord")
+def _(spark, d):
+    stream = streaming.prepare_stream(fx.varied_names(spark, d, _arriving(spark, d)))
+    path = new_path(spark, "prepared")
+    streaming.write_prepared(stream.select("taxonID", "name_to_parse", "parts"), path, new_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(path).select("taxonID", "name_to_parse", *_flat()).drop("scientific", "authorship")
+
+
 @query("unparse_names", """select taxonID, case when p_token is null and p_year is null then c else c || ' ' || case when p_protonymp = false then '(' || a || ')' else a end end name from (
   select *, case when p_epithet is null then p_genus || ' ?' when p_epithet = '' then p_genus when p_middle = '' then p_genus || ' ' || p_epithet else p_genus || ' ' || coalesce(p_middle, '?') || ' ' || p_epithet end c,
    concat_ws(', ', coalesce(p_token, '?'), p_year) a from x_parts) where p_genus is not null""")
@@ -1125,6 +1211,19 @@ def _(spark, d):
     return art.taxonomy_edges(nodes, art.unique_names(nodes))
 
 
+@query("nested_round_trip", """select f.taxonID family, n.canonicalName, case when u.distance = 0 then '' else p.canonicalName end parent, case when n.accepted then 'accepted' else 'synonym' end status,
+   case when len(string_split(n.canonicalName, ' ')) = 2 then 'species' else '' end "rank"
+  from s_up u join s_all f on f.nid = u.ancestor and f.side = 'B' and f."rank" = 'family' join s_all n on n.nid = u.nid join s_all p on p.nid = n.sup""")
+def _(spark, d):
+    nodes = star(spark, d).nodes.filter("side = 'B'")
+    families = nodes.filter("rank = 'family'").select("nid", F.col("taxonID").alias("family"))
+    texts = nested.write_nested(nodes, families).join(families, F.col("root") == F.col("nid")).select("family", "text")
+    rows = stage(nested.read_nested(stage(texts, "texts"), "family", "text"), "taxa")
+    above = rows.select("family", F.col("taxonID").alias("_above"), F.col("canonicalName").alias("parent"))
+    out = rows.withColumn("_above", F.concat("parentNameUsageID", "acceptedNameUsageID")).join(above, ["family", "_above"], "left")
+    return out.select("family", "canonicalName", F.coalesce("parent", F.lit("")).alias("parent"), F.col("taxonomicStatus").alias("status"), F.col("taxonRank").alias("rank"))
+
+
 # -- diffs, taxonomy dumps --------------------------------------------------------------------
 
 

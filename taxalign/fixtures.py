@@ -207,9 +207,9 @@ def tangled(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k.isNotNull(), (1800 + k * 7 % 150).cast("string")).otherwise("").alias("namePublishedInYear"))
 
 
-def varied_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One name per customer, in many spellings, some with parser output."""
-    c = table(spark, sf_dir, "customer")
+def varied_names(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None) -> DataFrame:
+    """One name per customer, in many spellings, some with parser output; ``customers`` may be a stream."""
+    c = table(spark, sf_dir, "customer") if customers is None else customers
     k = F.col("c_custkey")
     g, e = _segment_name(_segment_number(F.col("c_mktsegment"))), letters(k)
     base = F.concat_ws(" ", g, e)

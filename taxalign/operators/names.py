@@ -48,9 +48,10 @@ def join_gnparse(df: DataFrame, parsed: DataFrame) -> DataFrame:
     The parser is a function of the line, so its output is joined on the line, once per
     distinct line.  Rows the parser was not given keep empty fields.
     """
-    named = extract_names(df)
     fields = {"Verbatim": "gn_verbatim", "CanonicalFull": "gn_canonical_full",
               "CanonicalStem": "gn_canonical_stem", "Authorship": "gn_authorship", "Quality": "gn_quality"}
+    df = df.drop(*fields.values())  # what an earlier parser said counts no longer
+    named = extract_names(df)
     table = parsed.select(F.col("Verbatim").alias("name_to_parse"), *[F.col(k).alias(v) for k, v in fields.items()])
     table = table.dropDuplicates(["name_to_parse"])
     key = F.when(F.col("name_to_parse") == "", F.concat(F.lit("\u0001"), F.xxhash64(*df.columns))).otherwise(F.col("name_to_parse"))

@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.table import row_counts
 
 
+#: Values as they are: blanks at either end belong to them.
+_CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "",
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    plain = df.drop("_ord")
-    plain.write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+    df.drop("_ord").write.mode(mode).csv(path, **_CSV)
 
 
 def write_exemplars(table: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -22,5 +26,5 @@ def write_alignment(report: DataFrame, path: str, mode: str = "errorifexists") -
 
 def scatter(df: DataFrame, dest: str, column: str = "mode", mode: str = "errorifexists") -> DataFrame:
     """One sub-folder per value of ``column``, the column itself left out; returns the counts."""
-    df.write.mode(mode).partitionBy(column).csv(dest, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+    df.write.mode(mode).partitionBy(column).csv(dest, **_CSV)
     return row_counts(df, column)

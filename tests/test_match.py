@@ -292,3 +292,35 @@ def test_version_8_ties_declared_synonyms(checklist):
     assert ties(8) == {("2", "1"), ("6", "5")} and ties(7) == {("6", "5")}
     with pytest.raises(ValueError):
         Alignment(checklist(HEAD), checklist(HEAD), version=9)
+
+
+def test_a_lump_costs_its_species(checklist, spark):
+    """400 species of A against one of B: rows of the report grow with the species, not their square."""
+    n = 400
+    a = checklist("g | Aus | | genus | accepted | |\n" + "\n".join(f"s{i} | Aus s{i} | | species | accepted | g |" for i in range(n)))
+    b = checklist("g | Aus | | genus | accepted | |\nm | Aus m | | species | accepted | g |\n" + "\n".join(f"s{i} | Aus s{i} | | species | synonym | | m" for i in range(n)))
+    given = spark.createDataFrame([(i, side, f"s{i}") for i in range(n) for side in "AB"], "`exemplar id` bigint, checklist string, taxonID string")
+    al = Alignment(a, b, given_exemplars=given)
+    counts = report.alignment_counts(al.theory, al.relations).collect()
+    assert len(counts) == n and {(r["in both A and B concepts"], r["in A concept but not in B concept"], r["in B concept but not in A concept"]) for r in counts} == {(1, 0, n - 1)}
+    numbers = report.exemplar_numbers(al.theory)
+    species = al.nodes.filter("rank = 'species' and accepted").select("nid")
+    assert report.concept_ranges(species, al.theory, numbers).count() == n + 1
+    assert report.shared_ranges(al.relations, al.theory, numbers).count() == n
+    # no join of the plan makes more rows than there are members on a path
+    assert {r.exemplar_id for r in al.exemplars.collect()} == {-1, *range(n)}
+
+
+def test_block_sizes_count_an_exemplar_once(checklist, spark):
+    """Members of one exemplar in several places meet at their common ancestors."""
+    from taxalign.operators import theory as TH
+
+    tree = "f | Fam | | family | accepted | |\n" + "".join(f"g{i} | G{i} | | genus | accepted | f |\n" for i in range(4)) + "\n".join(
+        f"s{i} | G x{i} | | species | accepted | g{i % 4} |\nt{i} | G y{i} | | species | synonym | | s{i}" for i in range(24))
+    rnd = random.Random(3)
+    given = [(rnd.randint(0, 7), side, f"{rnd.choice('st')}{i}") for side in "AB" for i in range(24)]
+    al = Alignment(checklist(tree), checklist(tree), given_exemplars=spark.createDataFrame(given, "`exemplar id` bigint, checklist string, taxonID string"))
+    want = {}
+    for r in TH.blocks(al.theory.members).collect():
+        want[r.nid] = want.get(r.nid, 0) + 1
+    assert {r.nid: r.block_size for r in al.theory.nodes.collect() if r.block_size} == want

@@ -64,7 +64,7 @@ w | W |  | odd    | accepted | p |
 m | M |  | species | synonym |  | n2
 n2| M2|  | species | synonym |  | m
 """))
-    found = {(r.problem, r.taxonID) for r in T.validate(nodes, nodes).collect()}
+    found = {(r.problem, r.taxonID) for r in T.validate(nodes.filter('nid >= 0'), nodes).collect()}
     assert {("unreachable", i) for i in "x y l m n2".split()} <= found
     assert {("unresolved accepted id", "l"), ("synonym without accepted id", "n"), ("unknown parent", "o"), ("rank out of order", "q")} <= found
     rows = by_id(nodes)
@@ -107,3 +107,55 @@ def test_numbering_of_a_hot_group(spark):
     assert len(got) == 3000
     for k, os in groups.items():
         assert [got[k, o] for o in sorted(os)] == list(range(1, len(os) + 1))
+
+
+def test_intervals_and_both_orders_against_a_walk(checklist, spark):
+    nodes = T.build_tree(checklist(SMALL))
+    rows = by_id(nodes)
+    kids = {}
+    for r in rows.values():
+        kids.setdefault(r.sup, []).append(r)
+    pre, post = [], []
+
+    def walk(r):
+        pre.append(r.taxonID)
+        for c in sorted(kids.get(r.nid, []), key=lambda c: c.nid):
+            walk(c)
+        post.append(r.taxonID)
+
+    walk(rows["⊤"])
+    assert [rows[i].pre for i in pre] == list(range(1, len(pre) + 1))
+    assert [rows[i].post for i in post] == list(range(1, len(post) + 1))
+    for i, r in rows.items():
+        under = {j for j, q in rows.items() if r.nid in q.path}
+        assert {j for j, q in rows.items() if r.pre <= q.pre <= r.last} == under
+        assert {x.taxonID for x in T.below(nodes, i).collect()} == under
+    plan = T.below(nodes, "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert "path" not in plan.split("Filter")[0] or "Generate" not in plan
+
+
+def test_repeated_ids_are_reported_and_mean_the_first(checklist):
+    df = checklist("r | Root | | family | accepted | |\ng | Genus | | genus | accepted | r |\ng | Other | | genus | synonym | | r\na | Genus a | | species | accepted | g |")
+    rows = T.identify(df)
+    nodes = T.build_forest(rows)
+    at = {(r.taxonID, r.canonicalName): r for r in nodes.collect()}
+    assert len(at) == 5 and at["a", "Genus a"].sup == at["g", "Genus"].nid
+    found = {(r.problem, r.taxonID) for r in T.validate(rows, nodes).collect()}
+    assert ("repeated key", "g") in found and not any(p == "row count" for p, _ in found)
+    assert [tuple(r) for r in T.reconcile(rows, nodes).collect()] == [("A", 4, 4, 4, True)]
+
+
+def test_lost_rows_are_reconciled(checklist):
+    rows = T.identify(checklist("x | X | | genus | accepted | y |\ny | Y | | genus | accepted | x |\nz | Z | | genus | accepted | |"))
+    nodes = T.build_forest(rows)
+    assert [tuple(r) for r in T.reconcile(rows, nodes).collect()] == [("A", 3, 3, 1, False)]
+    assert ("row count", "A") in {(r.problem, r.taxonID) for r in T.validate(rows, nodes).collect()}
+
+
+def test_subset_by_chains_rings_and_forks(spark):
+    links = [("b", "a"), ("c", "b"), ("d", "c"), ("x", "y"), ("y", "x"), ("f", "d"), ("f", "x"), ("g", "f"), ("h", "q"), ("h", "z"), ("i", "h"), ("a", "top"), ("k", "g"), ("k", "x")]
+    df = spark.createDataFrame(links, "id string, above string")
+    got = {r.id for r in T.reachable_ids(df, "a").collect()}
+    assert got == set("abcdfgk")
+    deep = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(200)], "id string, above string")
+    assert T.reachable_ids(deep, "n150").count() == 51
