@@ -33,3 +33,43 @@ def components(links: DataFrame) -> DataFrame:
         before = now
     roots = links.select("v").distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))
+
+
+def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (u, v) with the components u_in and v_in of their ends; a node without a label is its own."""
+    for end in ("u", "v"):
+        known = labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+        pairs = pairs.join(known, end, "left").withColumn(f"{end}_in", F.coalesce(f"{end}_in", end))
+    return pairs
+
+
+def joined(labels: DataFrame, links: DataFrame, whole: bool = False) -> DataFrame:
+    """``labels`` (node, component) after components have been joined by ``links`` (u, v), as a written table.
+
+    Each component that is linked to a smaller one hooks onto the smallest; hooks form a
+    forest, whose roots pointer jumping finds.  A component with several smaller neighbours
+    may need another turn for the others; ``whole`` takes turns until no link leads from one
+    component to another.
+    """
+    while True:
+        apart = labelled(links, labels).where("u_in <> v_in")
+        hooks = apart.groupBy(F.greatest("u_in", "v_in").alias("c")).agg(F.min(F.least("u_in", "v_in")).alias("p"))
+        hooks = write(hooks.withColumn("open", F.lit(True)), "hooks")
+        if hooks.isEmpty():
+            drop(hooks)
+            return labels
+        while True:
+            above = hooks.select(F.col("c").alias("p"), F.col("p").alias("q"), F.lit(True).alias("moved"))
+            jumped = hooks.join(above, "p", "left").select("c", F.coalesce("q", "p").alias("p"), F.coalesce("moved", F.lit(False)).alias("open"))
+            jumped = write(jumped, "hooks")
+            drop(hooks)
+            hooks = jumped
+            if hooks.where("open").isEmpty():
+                break
+        new = hooks.join(labels.select(F.col("node").alias("c")), "c", "left_anti").select(F.col("c").alias("node"), F.col("p").alias("component"))
+        old = labels.join(hooks.select(F.col("c").alias("component"), "p"), "component", "left").select("node", F.coalesce("p", "component").alias("component"))
+        following = write(old.unionByName(new), "labels")
+        drop(labels, hooks)
+        labels = following
+        if not whole:
+            return labels

@@ -19,7 +19,9 @@ sets form a class and are compared once.
    traversal from the roots drops a pair of nodes if even the largest overlap that the
    common bits allow is short of what the smallest sizes need, if the size ranges are too
    far apart, or if both lie in one and the same component.  Leaves that remain are
-   compared entry by entry under the same bound, and what is left is verified.
+   compared entry by entry under the same bound, and what is left is verified.  Two sets
+   meet in every group that both are in; the pair is made in the first one only, by token,
+   as far as the ``LEAST`` smallest tokens of each tell.
 
 Verification intersects whole sets, the likeliest pair of each class first; then those of
 the rest whose ends are still in different components, for a few rounds, and all that are
@@ -42,8 +44,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxalign.llm.batches import map_arrow, steps, utf8
-from taxalign.llm.components import components
-from taxalign.llm.tables import drop, write
+from taxalign.llm.components import joined, labelled
+from taxalign.llm.tables import drop, fresh, release, write
 from taxalign.llm.words import mix, word_hashes
 from taxalign.operators.numbering import number_within
 
@@ -56,6 +58,8 @@ LEAF, FAN = 64, 8
 SKETCH, SLICES = 1 << 22, 64
 #: Rounds in which each class has its likeliest pair verified, before all the rest is.
 ROUNDS = 3
+#: Least tokens of a class by which a pair is told to have met in another group already.
+LEAST = 32
 #: Tasks over which a frequent token's entries are dealt.
 SALTS = 64
 
@@ -309,10 +313,7 @@ def _chains(entries: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
-    for end in ("u", "v"):
-        known = labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
-        pairs = pairs.join(known, end, "left")
-    return pairs.where(F.coalesce("u_in", "u") != F.coalesce("v_in", "v")).drop("u_in", "v_in")
+    return labelled(pairs, labels).where("u_in <> v_in").drop("u_in", "v_in")
 
 
 def _signed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -380,8 +381,12 @@ def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _tree_pairs(entries: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (u, v) of different components that no bound rules out, by dual traversal."""
-    placed = number_within(entries.join(classes, "a"), ["token"], ["component", "n", "a"], "place")
-    placed = write(placed.withColumn("node", F.floor((F.col("place") - 1) / LEAF).cast("long")).drop("place"), "leaves")
+    # numbered while rows are narrow
+    placed = number_within(entries.join(classes.select("a", "n"), "a"), ["token"], ["component", "n", "a"], "place")
+    least = entries.groupBy("a").agg(F.slice(F.sort_array(F.collect_list("token")), 1, LEAST).alias("least"))
+    placed = placed.select("token", "component", "a", F.floor((F.col("place") - 1) / LEAF).cast("long").alias("node"))
+    placed = placed.join(classes.join(least, "a"), "a").withColumn("earlier", F.expr("filter(least, t -> t < token)")).drop("least")
+    placed = write(placed, "leaves")
     bits = [F.bit_or(s).alias(s) for s in _SIGS]
     nodes = [write(placed.groupBy("token", "node").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("bits")).alias("excess"),
@@ -405,12 +410,15 @@ def _tree_pairs(entries: DataFrame, classes: DataFrame) -> DataFrame:
         x, y = side(level, "x_"), side(level, "y_")
         below = pairs.join(x, (F.col("token") == F.col("x_token")) & (F.col("i") == F.col("x_up")))
         below = below.join(y, (F.col("token") == F.col("y_token")) & (F.col("j") == F.col("y_up")) & (F.col("x_node") <= F.col("y_node")) & possible)
-        pairs = write(below.select("token", F.col("x_node").alias("i"), F.col("y_node").alias("j")), "node_pairs")
+        pairs, above = write(below.select("token", F.col("x_node").alias("i"), F.col("y_node").alias("j")), "node_pairs"), pairs
+        drop(above)
     x, y = (placed.select(*[F.col(c).alias(f"{p}{c}") for c in placed.columns]) for p in ("x_", "y_"))
     found = pairs.join(x, (F.col("token") == F.col("x_token")) & (F.col("i") == F.col("x_node")))
     found = found.join(y, (F.col("token") == F.col("y_token")) & (F.col("j") == F.col("y_node")) & (F.col("x_component") != F.col("y_component"))
-                       & ((F.col("i") != F.col("j")) | (F.col("x_a") < F.col("y_a"))) & _may_match())
-    return found.select(F.least("x_a", "y_a").alias("u"), F.greatest("x_a", "y_a").alias("v")).distinct()
+                       & ((F.col("i") != F.col("j")) | (F.col("x_a") < F.col("y_a"))) & _may_match() & ~F.arrays_overlap("x_earlier", "y_earlier"))
+    out = write(found.select(F.least("x_a", "y_a").alias("u"), F.greatest("x_a", "y_a").alias("v")).distinct(), "pairs")
+    drop(placed, pairs, *nodes)
+    return out
 
 
 def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -435,32 +443,35 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         drop(sets, named)
         return out
 
-    def joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    def resolved(labels: DataFrame, pairs: DataFrame) -> DataFrame:
         """The components after all similar pairs among ``pairs`` are linked."""
-        open_ = write(_screened(pairs, known), "screened")
+        open_, kept = write(_screened(pairs, known), "screened"), []
         for turn in range(ROUNDS + 1):
             if open_.isEmpty():
                 break
             likely = F.max_by("u", F.struct("score", "u")).alias("u")
             now = write(open_.groupBy("v").agg(likely).select("u", "v"), "likely") if turn < ROUNDS else open_
-            links = similar(now)
-            if not links.isEmpty():
-                labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+            kept.append(similar(now))
             if turn == ROUNDS:
                 break
+            labels = joined(labels, kept[-1])
             rest = write(_between(open_.join(now, ["u", "v"], "left_anti"), labels), "screened")
-            drop(open_, now, links)
+            drop(open_, now)
             open_ = rest
+            release(open_)
         drop(open_)
+        for links in kept:
+            labels = joined(labels, links, whole=True)
+        drop(*kept)
         return labels
 
-    nothing = spark.createDataFrame([], "node long, component long")
-    labels = joined(nothing, _signed(_chains(entries, classes), classes))
+    labels = write(spark.createDataFrame([], "node long, component long"), "labels")
+    labels = resolved(labels, _signed(_chains(entries, classes), classes))
     apart = write(_labelled(entries, labels), "apart")
     if not apart.isEmpty():
-        labels = joined(labels, write(_tree_pairs(apart, classes), "pairs"))
+        labels = resolved(labels, _tree_pairs(apart, classes))
     drop(apart, entries)
-    labels = write(labels, "labels")
+    release(labels)
     rows = docs.select("id", "n", "a").join(labels.withColumnRenamed("node", "a"), "a", "left")
     rows = rows.withColumn("component", F.coalesce("component", "a"))
     least = rows.where("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
@@ -475,5 +486,6 @@ def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     together: they stay if one of them is the first of its group.
     """
     found = similar_groups(df, key, text).where(F.col(key).eqNullSafe(F.col("component_id")))
-    stays = found.select(F.col(key).alias("_stay")).distinct()
-    return df.join(stays, F.col(f"`{key}`").eqNullSafe(F.col("_stay")), "left_semi")
+    stay = fresh(df, "stay")
+    stays = found.select(F.col(key).alias(stay)).distinct()
+    return df.join(stays, F.col(f"`{key}`").eqNullSafe(F.col(stay)), "left_semi")
