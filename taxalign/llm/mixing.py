@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxalign.llm.hashing import BITS, row_hash
-from taxalign.llm.tables import drop, write
+from taxalign.llm.tables import drop, fresh, write
 from taxalign.operators.numbering import number_within
 
 #: Bits of the hash that a histogram resolves.
@@ -118,13 +118,14 @@ def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: s
                weights: tuple[float, ...] = (3.0, 1.0, 2.0), total: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mix itself: every row of ``df`` as often as it is taken, its columns as they were."""
     _, sources = plan(df, key, text, source, weights, total, most)
-    names = {c: f"_mix_{c}" for c in (*_KEY, "full", "threshold")}
+    mark = fresh(df, "mix_")
+    names = {c: mark + c for c in (*_KEY, "full", "threshold")}
     sources = sources.select(*[F.col(c).alias(n) for c, n in names.items()])
-    key_of = dict(zip(_KEY, _source_key(source)))
-    rows = df.withColumns({names[c]: e for c, e in key_of.items()}).join(sources, [names[c] for c in _KEY])
-    times = F.col("_mix_full") + (row_hash(key) <= F.col("_mix_threshold")).cast("long")
-    copies = F.explode(F.expr("case when _mix_times > 0 then sequence(1L, _mix_times) end"))
-    return rows.withColumn("_mix_times", times).withColumn("_mix_copy", copies).select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.withColumns({names[c]: e for c, e in zip(_KEY, _source_key(source))}).join(sources, [names[c] for c in _KEY])
+    times = F.col(names["full"]) + (row_hash(key) <= F.col(names["threshold"])).cast("long")
+    rows = rows.withColumn(f"{mark}times", times)
+    copies = F.explode(F.expr(f"case when {mark}times > 0 then sequence(1L, {mark}times) end"))
+    return rows.withColumn(f"{mark}copy", copies).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 ORACLE = r"""
