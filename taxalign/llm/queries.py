@@ -40,6 +40,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents"))
 
 
+def sharding_64k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a limit that splits small tables too."""
+    return sharding.shards(_table(spark, sf_dir, "documents"), limit=1 << 16)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -77,7 +82,8 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_embedding_dedup, op2_language_id, op3_html_text, op4_ngram_join, op5_mixing, op6_sharding, op7_token_counts,
-        op8_quality, op9_exact_dedup, op10_byte_bpe, op11_importance, op12_chat_format, op13_ranked_search)}
+        op8_quality, op9_exact_dedup, op10_byte_bpe, op11_importance, op12_chat_format, op13_ranked_search,
+        sharding_64k)}
 
 _OP9 = r"""
 WITH rows AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
@@ -87,5 +93,5 @@ counted AS (SELECT r.doc_id, b.keep_id, CAST(b.n AS BIGINT) AS group_size, r.t,
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND copy = 1 AS kept, sha256(t) AS text_sha256 FROM counted
 """
 
-SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op6_sharding": sharding.ORACLE, "op9_exact_dedup": _OP9,
+SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op6_sharding": sharding.oracle(), "op9_exact_dedup": _OP9, "sharding_64k": sharding.oracle(1 << 16),
                        "op11_importance": importance.oracle(), "op12_chat_format": chat_format.ORACLE, "op13_ranked_search": ranked_search.ORACLE}
