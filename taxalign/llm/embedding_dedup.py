@@ -18,8 +18,8 @@ costs counts.  Work still grows with the square of the number of different vecto
 many dimensions one projection separates little, and each of its windows holds a large
 part of all vectors.
 
-Defined results: null or empty vectors, and those with null or non-finite components or a
-length that is zero or not finite, link with nothing; vectors of different dimensions
+Defined results: null or empty vectors, and those with null or non-finite components or only
+zeros, link with nothing; vectors of different dimensions
 don't link; rows that repeat an id count as vectors of their own and share a node's id; a
 null id is counted as a row and has the component's smallest id.
 """
@@ -40,6 +40,8 @@ COSINE = 0.95
 DIRECTIONS, MISS = 40, 0.44
 #: Vectors of a block, and queries that are compared with a block at a time.
 BLOCK, QUERIES = 8192, 64
+#: A product of matrices that is this near the threshold is computed again, pair by pair.
+CLOSE = 1e-9
 _SEED = 20_26
 
 
@@ -55,6 +57,12 @@ def allowed(m: int, cosine: float) -> tuple[float, int]:
     return float(np.sqrt((2.0 - 2.0 * cosine) / miss)) + 1e-6, miss
 
 
+def units(raw: np.ndarray) -> np.ndarray:
+    """Rows of length one; the largest component is brought to one first, so no square over- or underflows."""
+    scaled = raw / np.abs(raw).max(axis=1)[:, None]
+    return scaled / np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
+
+
 def quantised(unit: np.ndarray) -> np.ndarray:
     """Projections as bytes, a row per direction; the outermost values share a byte."""
     p = unit @ directions(unit.shape[1])
@@ -79,11 +87,16 @@ def linked(x: np.ndarray, qx: np.ndarray, y: np.ndarray, qy: np.ndarray, cosine:
         some = slice(at, at + QUERIES)
         maybe = candidates(qx[:, some], qy, cosine)
         if maybe.mean() > 0.02:
-            i, j = np.nonzero(maybe & (x[some] @ y.T >= cosine))
+            product = x[some] @ y.T
+            i, j = np.nonzero(maybe & (product >= cosine - CLOSE))
+            open_ = product[i, j] < cosine + CLOSE
         else:
             i, j = np.nonzero(maybe)
-            good = np.einsum("ij,ij->i", x[some][i], y[j]) >= cosine
-            i, j = i[good], j[good]
+            open_ = np.ones(len(i), bool)
+        # by one formula for every pair, however many meet here
+        good = ~open_
+        good[open_] = np.einsum("ij,ij->i", x[some][i[open_]], y[j[open_]]) >= cosine
+        i, j = i[good], j[good]
         if len(i):
             yield i + at, j
 
@@ -111,9 +124,8 @@ class Forest:
 def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, v, usable) of every row."""
     rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
-    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = F.coalesce(F.col("v").isNotNull() & (F.size("v") > 0) & finite & (squares > 0) & (squares < float("inf")), F.lit(False))
+    usable = F.coalesce(F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     return rows.withColumn("usable", usable)
 
 
@@ -131,8 +143,7 @@ def _blocks(classes: DataFrame) -> DataFrame:
             lists = batch.column(1)
             lead = np.zeros(batch.num_rows)
             for i, v in enumerate(lists):
-                unit = np.array(v.values)
-                unit = unit / np.linalg.norm(unit)
+                unit = units(np.array(v.values)[None, :])[0]
                 lead[i] = unit @ first(len(unit))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists.value_lengths(), pa.array(lead)], ["class", "dim", "lead"])
 
@@ -163,7 +174,7 @@ def near_copies(df: DataFrame, key: str = "vec_id", vector: str = "embedding", c
         order = np.lexsort((of, block))
         block, of, size = block[order], of[order], table.column("size").to_numpy()[order]
         raw = np.array(table.column("v").combine_chunks().flatten()).reshape(n, -1)[order]
-        unit = raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
+        unit = units(raw)
         bytes_ = quantised(unit)
         low, high = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
         cut = int(np.searchsorted(block, low, "right"))
