@@ -8,13 +8,14 @@ from pyspark.sql import Column, functions as F
 
 # The ranks in increasing order, numbered from 1.
 RANKS = (
-    "cluster, subform, forma, form, subvariety, varietas, variety, natio, subspecies, "
-    "infraspecificname, species, species subgroup, species group, subgenus, genus, subtribe, "
-    "tribe, supertribe, subfamily, family, superfamily, subsection, section, parvorder, "
-    "infraorder, suborder, order, superorder, magnorder, megaorder, subcohort, cohort, "
-    "subterclass, infraclass, subclass, class, superclass, subdivision, infraphylum, subphylum, "
-    "phylum, superphylum, infrakingdom, division, subkingdom, kingdom, superkingdom, domain, top"
-).split(", ")
+    "cluster", "subform", "forma", "form", "subvariety", "varietas", "variety", "natio", "subspecies",
+    "infraspecificname", "species", "species subgroup", "species group", "subgenus", "genus", "subtribe",
+    "tribe", "supertribe", "subfamily", "family", "superfamily", "subsection", "section", "parvorder",
+    "infraorder", "suborder", "order", "superorder", "magnorder", "megaorder", "subcohort", "cohort",
+    "subterclass", "infraclass", "subclass", "class", "superclass", "subdivision", "infraphylum",
+    "subphylum", "phylum", "superphylum", "infrakingdom", "division", "subkingdom", "kingdom",
+    "superkingdom", "domain", "top",
+)
 
 NUMBER = {name: i for i, name in enumerate(RANKS, start=1)}
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import chain
+from itertools import chain, combinations, product
 
 from pyspark.sql import Column, functions as F
 
@@ -18,16 +18,7 @@ SYMBOLS = {
     LE: "<=", GE: ">=", COMPARABLE: "<=>", INTERSECT: "not!", NEQ: "not=", NOINFO: "?",
     0: "⋕", LT | DISJOINT: "<!", GT | DISJOINT: ">!",
 }
-ALIASES = {"!=": NEQ, "∩": INTERSECT, "{}": 0, "*": OVERLAP}
-# Composition of base relations, row by row in the order < > = ! ><.
-COMPOSITION = """
-<    ?        <    !        {<!*}
-not! >        >    {>!*}    {>*}
-<    >        =    !        ><
-{<!*} !       !    ?        {<!*}
-{<*} {>!*}    ><   {>!*}    ?
-"""
-
+ALIASES = {"!=": NEQ, "∩": INTERSECT, "{}": 0}
 _BASE = (LT, GT, EQ, DISJOINT, OVERLAP)
 
 
@@ -37,22 +28,27 @@ def symbol_of(code: int) -> str:
     return named or "{" + " ".join(SYMBOLS[b] for b in _BASE if code & b) + "}"
 
 
+def relation_of(s: set, t: set) -> int:
+    """Relation of two nonempty sets."""
+    if s == t:
+        return EQ
+    return LT if s < t else GT if s > t else OVERLAP if s & t else DISJOINT
+
+
 def _composition_table() -> list[int]:
-    names = {s: c for c, s in SYMBOLS.items()} | ALIASES
-
-    def cell(text: str) -> int:
-        members = text[1:-1] if text.startswith("{") else [text]
-        return reduce(int.__or__, (names[m] for m in members))
-
-    base = {
-        (r, s): cell(text)
-        for r, line in zip(_BASE, COMPOSITION.strip().splitlines())
-        for s, text in zip(_BASE, line.split())
-    }
-    return [
-        reduce(int.__or__, (base[r, s] for r in _BASE for s in _BASE if i & r and j & s), 0)
-        for i in range(32) for j in range(32)
-    ]
+    """What A?C can be for every A?B and B?C, by all ways in which three sets can share points.
+
+    A point is told by the sets it is in, so there are seven kinds of points, and a way is a
+    choice of kinds that occur.
+    """
+    base = dict.fromkeys(product(_BASE, repeat=2), 0)
+    kinds = [k for k in product((False, True), repeat=3) if any(k)]
+    for n in range(1, len(kinds) + 1):
+        for points in combinations(kinds, n):
+            a, b, c = ({p for p in points if p[i]} for i in range(3))
+            if a and b and c:
+                base[relation_of(a, b), relation_of(b, c)] |= relation_of(a, c)
+    return [reduce(int.__or__, (base[r, s] for r in _BASE for s in _BASE if i & r and j & s), 0) for i in range(32) for j in range(32)]
 
 
 COMPOSE = _composition_table()
