@@ -2,8 +2,9 @@
 
 A page becomes a tree of block elements; inline elements belong to the block around them,
 but those with attribute tokens are nodes too, and so is each run of text directly in body.
-Each node gets features: text, links and tags of its subtree, depth, siblings, its kind
-and its attribute tokens, and those of the nodes above.  Boosted trees give the log-odds
+Each node gets features: text, links and tags of its subtree, depth, siblings and how many
+of them have its shape, its place before, in or after the part of the page with most running
+text, its kind and its attribute tokens, and those of the nodes above.  Boosted trees give the log-odds
 that a node holds main text.  Decoding takes the labelling with the highest likelihood in
 which no kept node lies below a dropped one: a node's worth is its log-odds plus the worth
 of its children, or zero for dropping the whole subtree, whichever is more.
@@ -11,10 +12,14 @@ of its children, or zero for dropping the whole subtree, whichever is more.
 *Training.*  Pages carry no labels.  A bounded sample of the pages of the table
 (``SAMPLE`` different pages, least hashes first) is learned from: a node's label comes from the
 elements that say what they hold (article and main against nav, footer and the like) and
-from attribute tokens of known meaning.  Each sampled page is also seen again with its
-main text and other parts moved into other containers, so that trees rely on
-several features and not on one element's name.  Scripts, styles and the like never hold
-text.  Trees are fitted by Spark ML and applied inside the tasks that parse.
+from attribute tokens of known meaning.  Each sampled page is also seen again as pages whose
+makeup is known because they are put together from its text: main text, menus, side bars,
+notices, reader comments and footers in changing containers.  Most of these then lose what
+names them: tokens go or become arbitrary, and telling elements become div, while the labels
+stay.  So the trees have to go by structure where nothing is named.  A page without any
+telling element or token teaches by such copies alone, as its own labels aren't known.
+Scripts, styles and the like never hold text.  Trees are fitted by Spark ML and applied
+inside the tasks that parse, to all nodes of a step's pages at once.
 
 Defined results: null, empty and text-only pages: the latter's text (no markup at all) is a
 paragraph and kept, the others give an empty text; repeated rows give a row each; broken markup is read as far as
@@ -37,10 +42,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxalign.llm.batches import map_arrow
+from taxalign.llm.batches import map_arrow, steps
 
 #: Pages learned from at most, trees, their depth, and the seed of the rearranged copies.
-SAMPLE, TREES, DEPTH, SEED = 400, 12, 4, 7
+SAMPLE, TREES, DEPTH, SEED = 400, 20, 5, 7
 
 # Elements of HTML by how they are laid out or what they mean.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label".split())
@@ -65,7 +70,8 @@ _NEUTRAL = "name term link ref icon highlight date author underline x note label
 _GROUPS = ("p", "article", "main", "section", "div", "nav", "header", "footer", "aside", "form", "ul", "li", "table", "td", "blockquote", "pre", RUN)
 _BUCKETS = 8
 _TOKEN = re.compile(r"[a-z]+")
-N_FEATURES = 20 + len(_GROUPS) + _BUCKETS
+_PLAIN = 30
+N_FEATURES = _PLAIN + len(_GROUPS) + _BUCKETS
 
 
 class Node:
@@ -205,8 +211,26 @@ def _hits(node: Node, of: frozenset) -> int:
     return sum(t in of for t in node.tokens)
 
 
+def running(node: Node) -> int:
+    """Text of a node's children that isn't in links: much for what holds paragraphs."""
+    return sum(max(c.own - c.links, 0) for c in node.children if not c.silent)
+
+
 def features(nodes: list[Node]) -> np.ndarray:
     out = np.zeros((len(nodes), N_FEATURES))
+    mass = [0 if n.silent else running(n) for n in nodes]
+    heavy = max(range(len(nodes)), key=mass.__getitem__) if nodes else 0
+    inside, onto = {id(nodes[heavy])} if nodes else set(), set()
+    up_from = nodes[heavy] if nodes else None
+    while up_from is not None:
+        onto.add(id(up_from))
+        up_from = up_from.parent
+    shapes: Counter = Counter()
+    shape_of = []
+    for node in nodes:
+        shape_of.append((id(node.parent), node.tag, tuple(c.tag for c in node.children[:4])))
+        shapes[shape_of[-1]] += 1
+    before = 0
     above: dict[int, tuple[int, int, int]] = {}
     place: dict[int, tuple[int, int, float]] = {}
     total = max(nodes[0].chars, 1) if nodes else 1
@@ -224,15 +248,25 @@ def features(nodes: list[Node]) -> np.ndarray:
             math.log1p(node.chars), math.log1p(node.own), node.links / max(node.chars, 1), math.log1p(node.tags), node.chars / node.tags,
             node.depth, n, i / max(n_sib - 1, 1), n_sib, node.chars / max(mean_sib, 1.0), node.chars / total, node.stops / max(node.words, 1),
             parent.chars / parent.tags, parent.links / max(parent.chars, 1), other, good, up[0], up[1], up[2], node.tag in HEADINGS)
+        if node.parent and id(node.parent) in inside:
+            inside.add(id(node))
+        side = 0 if id(node) in inside else 2 if id(node) in onto else -1 if at < heavy else 1
+        out[at, 20:_PLAIN] = (
+            side, node.depth - nodes[heavy].depth, mass[at] / total, mass[at] / max(mass[heavy], 1), before / total, (before + node.chars) / total,
+            shapes[shape_of[at]], shapes[shape_of[at]] / max(n_sib, 1), node.own / max(node.chars, 1), math.log1p(node.words / node.tags))
+        before += 0 if node.silent else node.own
         if node.tag in _GROUPS:
-            out[at, 20 + _GROUPS.index(node.tag)] = 1
+            out[at, _PLAIN + _GROUPS.index(node.tag)] = 1
         for token in node.tokens:
-            out[at, 20 + len(_GROUPS) + sum(token.encode()) % _BUCKETS] = 1
+            out[at, _PLAIN + len(_GROUPS) + sum(token.encode()) % _BUCKETS] = 1
     return out
 
 
-def label(nodes: list[Node]) -> None:
-    """Mark the nodes that hold main text, as elements and tokens of known meaning say."""
+def label(nodes: list[Node]) -> bool:
+    """Mark the nodes that hold main text, as elements and tokens of known meaning say.
+
+    Returns whether any says so.
+    """
     inside: dict[int, tuple[bool, bool]] = {}
     marked = any(n.tag in ("article", "main") or _hits(n, MAIN_TOKENS) for n in nodes)
     for node in nodes:
@@ -245,6 +279,21 @@ def label(nodes: list[Node]) -> None:
     for node in reversed(nodes):
         if node.label and node.parent:
             node.parent.label = True
+    return marked
+
+
+def _guess(nodes: list[Node]) -> None:
+    """Mark blocks with much running text, as material for copies of a page that says nothing itself."""
+    for node in nodes:
+        node.label = not node.silent and node.own > 80 and 5 * node.links < node.own
+
+
+def unnamed(nodes: list[Node], rng: random.Random) -> None:
+    """Take away what names the parts of a page; labels stay."""
+    for node in nodes:
+        node.tokens = () if rng.random() < 0.5 else ("".join(rng.choices("bcdfghklmnprstvz", k=rng.randint(2, 6))),)
+        if node.tag in AROUND or node.tag in ("article", "main", "section"):
+            node.tag = "div"
 
 
 def rearranged(nodes: list[Node], rng: random.Random) -> str:
@@ -267,9 +316,27 @@ def rearranged(nodes: list[Node], rng: random.Random) -> str:
     def other() -> str:
         tag = rng.choice(("div", "section", "aside", "nav", "header", "footer", "form"))
         token = rng.choice(sorted(OTHER_TOKENS)) if tag in ("div", "section") or rng.random() < 0.5 else ""
-        inner = rng.choice((links, short, lambda: short() + short(), lambda: "<div>" + short() + "</div>", lambda: "<div><b>Reader</b>" + short() + "</div>"))()
+        inner = rng.choice((links, short, lambda: short() + short(), lambda: "<div>" + short() + "</div>", aside))()
         return f'<{tag} class="{token}">{inner}</{tag}>'
 
+    def aside() -> str:
+        return f"<h3>{html.escape(rng.choice(rest)[:30])}</h3>" + rng.choice((links, short, lambda: links() + short()))()
+
+    def footer() -> str:
+        tag, token = rng.choice((("footer", ""), ("div", "footer"), ("div", "copyright")))
+        said = rng.choice((short(), f"<p>&copy; {html.escape(rng.choice(rest)[:60])}</p>", f"&copy; {html.escape(rng.choice(rest)[:60])}", f"<p>{html.escape(rng.choice(texts)[:60])}</p>" + links()))
+        return f'<{tag} class="{token}">{said}</{tag}>'
+
+    def comments() -> str:
+        outer, each, name = rng.choice(("div", "section")), rng.choice(("div", "div", "li", "article")), rng.choice(("b", "h4", "span", "p"))
+        inner, title = rng.choice(("p", "p", "div", "")), rng.choice(("", "<h3>Comments</h3>", f"<h2>{html.escape(rng.choice(rest)[:20])}</h2>"))
+        said = []
+        for _ in range(rng.randint(1, 7)):
+            text = html.escape(rng.choice(texts)[:rng.randint(20, 400)])
+            said.append(f"<{each}><{name}>{html.escape(rng.choice(rest)[:12])}</{name}> " + (f"<{inner}>{text}</{inner}>" if inner else text) + f"</{each}>")
+        listed = "".join(said)
+        return f'<{outer} class="{rng.choice(("comments", "discussion", "replies", "respond"))}">{title}{f"<ul>{listed}</ul>" if each == "li" else listed}</{outer}>'
+
     tag = rng.choice(("article", "main", "div", "section"))
     token = rng.choice(sorted(MAIN_TOKENS)) if tag in ("div", "section") else ""
     body = "".join(block(*m) for m in main)
@@ -279,7 +346,11 @@ def rearranged(nodes: list[Node], rng: random.Random) -> str:
     for _ in range(rng.randint(0, 2)):
         middle = f"<div>{middle}{other() if rng.random() < 0.5 else ''}</div>"
     before, after = ("".join(other() for _ in range(rng.randint(0, 4))) for _ in range(2))
-    return f"<html><body>{before}{middle}{after}</body></html>"
+    after = (comments() if rng.random() < 0.6 else "") + after + (footer() if rng.random() < 0.7 else "")
+    if rng.random() < 0.3:  # comments beside the text, in the same container
+        middle = f"<div>{middle}{comments()}</div>"
+    page = before + middle + after
+    return f"<html><body>{f'<div>{page}</div>' if rng.random() < 0.4 else page}</body></html>"
 
 
 def inline_copy(nodes: list[Node], rng: random.Random) -> str:
@@ -313,15 +384,18 @@ def inline_copy(nodes: list[Node], rng: random.Random) -> str:
 
 
 def examples(page: str | None, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a page's nodes, of two rearranged copies, and of one with inline nodes."""
+    """Features and labels of a page's nodes, of rearranged copies, most of them unnamed, and of one with inline nodes."""
     nodes = parse(page)
-    label(nodes)
     rng = random.Random(seed)
-    every = [nodes]
+    every = [nodes] if label(nodes) else []
+    if not every:
+        _guess(nodes)
     if any(n.label for n in nodes):
-        for _ in range(2):
+        for copy in range(4):
             every.append(parse(rearranged(nodes, rng)))
             label(every[-1])
+            if copy:
+                unnamed(every[-1], rng)
         every.append(parse(inline_copy(nodes, rng)))
         label(every[-1])
     rows = [(f, n.label) for some in every for f, n in zip(features(some), some) if not n.silent and n.parent]
@@ -410,12 +484,19 @@ def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
     return keep
 
 
+def main_texts(pages: list[str | None], trees: Trees | None) -> list[str]:
+    """Main text of each page; the trees see the nodes of all pages at once."""
+    parsed = [parse(page) for page in pages]
+    ends = np.cumsum([0, *map(len, parsed)])
+    odds = np.full(ends[-1], 1.0) if trees is None else trees.log_odds(np.concatenate([features(nodes) for nodes in parsed]))
+    return [_chosen(nodes, odds[low:high]) for nodes, low, high in zip(parsed, ends, ends[1:])]
+
+
 def main_text(page: str | None, trees: Trees | None) -> str:
-    nodes = parse(page)
-    if trees is None:
-        odds = np.full(len(nodes), 1.0)
-    else:
-        odds = trees.log_odds(features(nodes))
+    return main_texts([page], trees)[0]
+
+
+def _chosen(nodes: list[Node], odds: np.ndarray) -> str:
     if len(nodes) == 2 and nodes[1].tag == RUN and nodes[1].tags == 1:
         odds[1] = 1.0  # text without markup
     keep = {id(n) for n, k in zip(nodes, decode(nodes, odds)) if k}
@@ -440,8 +521,8 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html_column:
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{html_column}`").alias("html"))
 
     def run(batches):
-        for batch in batches:
-            texts = [main_text(p, trees) for p in batch.column(2).to_pylist()]
+        for batch in steps(batches, 2):
+            texts = main_texts(batch.column(2).to_pylist(), trees)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["key", "url", "text", "n_chars"])
 
     schema = f"key {df.schema[key].dataType.simpleString()}, url {df.schema[url].dataType.simpleString()}, text string, n_chars long"
