@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from taxalign.llm import bpe, embedding_dedup, exact_dedup, html_text, language_id, mixing, ngram_join, quality, token_counts
+from taxalign.llm import bpe, embedding_dedup, exact_dedup, html_text, language_id, mixing, ngram_join, quality, sharding, token_counts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, hash string"
@@ -163,8 +163,11 @@ def test_embedding_dedup(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 16))
     vectors = [v.tolist() for v in np.concatenate([base, base[:10] + 0.1 * rng.standard_normal((10, 16)), base[:3], 2 * base[:2]])]
+    # tiny and huge ones have a direction too
+    vectors += [(v * 1e-200).tolist() for v in base[:2]] + [(v * 1e200).tolist() for v in base[1:3]]
     bad = [None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0]]
-    unit = np.array([np.array(v) / np.linalg.norm(v) for v in vectors])
+    unit = np.array([np.array(v) / np.abs(v).max() for v in vectors])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
     near = (unit @ unit.T >= 0.95) & ~np.eye(len(unit), dtype=bool)
     label = closed(len(vectors), list(zip(*np.nonzero(near))))
     want = {(i, int(near[i].sum()), label[i], label[i] == i) for i in range(len(vectors))}
@@ -183,6 +186,33 @@ def test_html_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def unnamed_page(rng, i):
+    """A page in plain div elements with arbitrary class names, and what its article says."""
+    names = iter("".join(rng.choices("qwxzkjvb", k=3)) for _ in range(20))
+    article = [sentence(rng, 7).capitalize(), *(". ".join(sentence(rng, rng.randint(6, 16)).capitalize() for _ in range(rng.randint(2, 6))) + "." for _ in range(rng.randint(3, 8)))]
+    box = lambda inner: f'<div class="{next(names)}">{inner}</div>'
+    body = box(f"<h1>{article[0]}</h1>" + "".join(f"<p>{x}</p>" for x in article[1:]))
+    said = "".join(box(f"<b>{sentence(rng, 1)}</b><p>Comment {sentence(rng, 12)}.</p>") for _ in range(rng.randint(2, 5)))
+    comments = box(f"<h3>{sentence(rng, 2)}</h3>{said}")
+    side = box(f"<h4>{sentence(rng, 1)}</h4><p>Beside {sentence(rng, 9)}.</p><ul>" + "".join(f'<li><a href="#">{sentence(rng, 3)}</a></li>' for _ in range(5)) + "</ul>")
+    menu = box("".join(f'<a href="#">{sentence(rng, 1)}</a> ' for _ in range(6)))
+    foot = box(f"<p>&copy; {sentence(rng, 5)}</p>")
+    middle = box(body + (comments if i % 3 else "")) + (side if i % 2 else "")
+    return f"<html><body>{menu}{middle}{'' if i % 3 else comments}{foot}</body></html>", " ".join(article)
+
+
+def test_html_where_nothing_is_named(spark):
+    """Trees learned from named pages tell the parts of others by structure."""
+    rng = random.Random(12)
+    named = [f'<nav><ul><li><a href="#">Home {i}</a></li></ul></nav><div class="ad">{sentence(rng, 6)}</div><article><h1>{sentence(rng, 5)}</h1>'
+             + "".join(f"<p>{sentence(rng, rng.randint(20, 60))}. {sentence(rng, 15)}.</p>" for _ in range(5)) + f"</article><footer>&copy; {sentence(rng, 4)}</footer>" for i in range(60)]
+    others = [unnamed_page(rng, i) for i in range(30)]
+    df = spark.createDataFrame([(i, "u", p) for i, p in enumerate(named)], "page_id long, url string, html string")
+    got = html_text.main_texts([page for page, _ in others], html_text.learn(df))
+    assert not any(x in text for text in got for x in ("Comment", "Beside", "\u00a9"))
+    assert sum(text == want for text, (_, want) in zip(got, others)) >= 27
+
+
 def test_html_inline_nodes_and_text_in_body(spark):
     rng = random.Random(9)
     pages = [f'<a href="#">Skip to text</a> <a href="#">Home {i}</a><hr><article><h1>Title {i}</h1><p>{sentence(rng, 20)} with <span class="term">bold</span>er words. '
@@ -221,6 +251,130 @@ def test_no_kept_node_below_a_dropped_one():
     assert keep == [True, True, True, False, False, False]
 
 
+def test_ngram_join_of_long_sets(spark):
+    """Sets of 3,000 shingles, whose bitmaps have far more bits than a signature."""
+    rng = random.Random(4)
+    base = sentence(rng, 3004).split()
+    some = [" ".join(f"x{rng.randrange(9999)}" if rng.random() < rate else w for w in base) for rate in (0.0, 0.01, 0.02, 0.03, 0.06) for _ in range(6)]
+    test_ngram_join(spark, some)
+
+
+def test_mixing_against_brute_force(spark, texts):
+    """Targets by water filling; the words taken come as near as whole rows allow."""
+    rows = documents(spark, texts * 5)
+    got = mixing.mix(rows).collect()
+    data = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0d]+", r.text or ""))) for r in rows.collect()]
+    sums = {}
+    for _, source, n in data:
+        sums[source] = sums.get(source, 0) + n
+    order = sorted(sums, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, open_, left = {}, set(order), Fraction(3, 2) * sum(sums.values())
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 2 * sums[s]}
+        if not full:
+            target |= share
+            break
+        target |= {s: Fraction(2 * sums[s]) for s in full}
+        left -= sum(2 * sums[s] for s in full)
+        open_ -= full
+    source_of, size_of = {i: s for i, s, _ in data}, {i: n for i, _, n in data}
+    taken = {}
+    for r in got:
+        s = source_of[r.doc_id]
+        assert (r.size, r.source_size) == (size_of[r.doc_id], sums[s]) and abs(r.target - float(target[s])) < 1e-6
+        assert r.size == 0 or (r.taken % r.size == 0 and r.taken <= 2 * r.size)
+        taken[s] = taken.get(s, 0) + r.taken
+    for s, n in taken.items():
+        largest = max(size_of[i] for i in source_of if source_of[i] == s)
+        assert abs(n - target[s]) <= largest / 2 + 1
+
+
+def test_sharding_against_brute_force(spark, texts, tmp_path):
+    """Small limits: a shard is the shortest run of leading bits whose rows fit."""
+    df = documents(spark, texts * 4).withColumn("shard", F.lit("mine"))
+    data = {r.doc_id: len((r.text or "").encode()) for r in df.collect()}
+    bits = {i: f"{int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16):060b}" for i in data}
+    for limit in (100_000, 700):
+        got = {r.doc_id: r for r in sharding.shards(df, limit=limit).collect()}
+        for i, r in got.items():
+            for depth in range(r.depth + 1):
+                inside = [j for j in data if bits[j].startswith(bits[i][:depth])]
+                fits = sum(data[j] for j in inside) <= limit or len(inside) == 1
+                assert fits == (depth == r.depth)
+            assert (r.shard, r.shard_bytes, r.shard_rows, r.n_bytes) == (bits[i][:r.depth], sum(data[j] for j in inside), len(inside), data[i])
+    repeated = spark.createDataFrame([(1, "a" * 400), (1, "a" * 400), (1, "b"), (None, "c"), (2, None)], "doc_id long, text string")
+    placed = sharding.write_shards(repeated, str(tmp_path / "s"), limit=500)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(str, back.drop("shard").collect())) == sorted(map(str, repeated.collect())) and placed.count() == 5
+    assert all(r.b <= 500 for r in back.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b")).collect())
+
+
+def test_clashing_names(spark, texts):
+    """Columns named like those that the operators add."""
+    df = documents(spark, texts[:8]).withColumns({n: F.lit(1) for n in ("_stay_id", "_stay", "stay", "_mix_full", "mix_full", "bytes", "row", "whole", "rest", "group", "component", "node")})
+    for keep in (exact_dedup.drop_copies, ngram_join.drop_near_copies, mixing.mixed_rows):
+        assert keep(df).columns == df.columns
+
+
+def test_empty_tables(spark):
+    df = documents(spark, ["x"]).limit(0)
+    assert all(f(df).count() == 0 for f in (exact_dedup.exact_groups, exact_dedup.drop_copies, ngram_join.similar_groups, ngram_join.drop_near_copies,
+                                            mixing.mix, mixing.mixed_rows, sharding.shards))
+    assert token_counts.token_counts(df, MODEL).count() == 0
+    assert bpe.round_trip(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert embedding_dedup.near_copies(empty).count() == 0
+
+
+def test_quality_gradient_is_that_of_the_likelihood():
+    """Finite differences of the cumulative-link likelihood, for values and thresholds."""
+    rng = np.random.default_rng(3)
+    f, y, t = rng.normal(size=7), np.array([0, 1, 2, 3, 3, 1, 0]), np.array([-0.7, 0.1, -0.4])
+
+    def loss(f, t):
+        upto = np.concatenate([np.zeros((len(f), 1)), 1 - quality.above(f, t), np.ones((len(f), 1))], axis=1)
+        return -np.log(upto[np.arange(len(f)), y + 1] - upto[np.arange(len(f)), y]).sum()
+
+    by_f, by_t = quality.gradient(f, y, t)
+    for i in range(len(f)):
+        step = np.eye(len(f))[i] * 1e-6
+        assert abs((loss(f + step, t) - loss(f - step, t)) / 2e-6 - by_f[i]) < 1e-5
+    for i in range(len(t)):
+        step = np.eye(len(t))[i] * 1e-6
+        assert abs((loss(f, t + step) - loss(f, t - step)) / 2e-6 - by_t[i]) < 1e-5
+
+
+def test_quality_comes_near_the_best_fit(spark):
+    """The likelihood reached on the rated rows is near that of full-batch descent from scratch."""
+    rng = random.Random(8)
+    tell = ("bad awful", "so plain", "fine great")
+    rows = [(i, f"{sentence(rng, 4)} {tell[i % 3] if rng.random() < 0.85 else tell[(i + 1) % 3]}") for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    w, t = quality.learn(df, spark.createDataFrame([(i, i % 3) for i in range(240)], "doc_id long, grade int"), 3)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([x for _, x in rows])], ["text"])
+    begins, cells, values = quality.features(batch, 0)
+    used, at = np.unique(cells, return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), np.diff(begins))
+    y = np.array([i % 3 for i, _ in rows])
+
+    def mean_loss(weights, params):
+        f = np.bincount(owner, weights[at] * values, len(rows))
+        upto = np.concatenate([np.zeros((len(f), 1)), 1 - quality.above(f, params), np.ones((len(f), 1))], axis=1)
+        return -np.log(np.maximum(upto[np.arange(len(f)), y + 1] - upto[np.arange(len(f)), y], 1e-12)).mean()
+
+    best_w, best_t = np.zeros(len(used)), np.array([-0.7, 0.3])
+    for _ in range(400):
+        f = np.bincount(owner, best_w[at] * values, len(rows))
+        by_f, by_t = quality.gradient(f, y, best_t)
+        best_w -= 2.0 * np.bincount(at, by_f[owner] * values, len(used)) / len(rows)
+        best_t -= 0.5 * by_t / len(rows)
+    assert mean_loss(w[used], t) < max(1.3 * mean_loss(best_w, best_t), 0.35) < mean_loss(np.zeros(len(used)), np.array([-0.7, 0.3]))
+
+
 def test_quality(spark):
     rng = random.Random(6)
     tell = ("bad awful", "so plain", "fine great")
