@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from taxalign.functions import homotypy as H
 from taxalign.operators import match as M, report
 from taxalign.plans.align import Alignment
+from taxalign.staging import stage
 
 HEAD = """
 f | Fam | | family | accepted | |
@@ -324,3 +325,27 @@ def test_block_sizes_count_an_exemplar_once(checklist, spark):
     for r in TH.blocks(al.theory.members).collect():
         want[r.nid] = want.get(r.nid, 0) + 1
     assert {r.nid: r.block_size for r in al.theory.nodes.collect() if r.block_size} == want
+
+
+def test_stored_tables_are_not_broadcast_unasked(spark, capsys):
+    """Their files say little about their size in memory: 20,000 equal names are a few hundred bytes."""
+    name = stage(spark.range(20_000).select("id", F.lit("a long name that repeats " * 8).alias("name")))
+    exploded = name.select("id", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("tag"), "name")
+    for left, right in ((spark.range(10), name), (name, exploded), (exploded.groupBy("id").agg(F.count("*").alias("n")), name)):
+        left.join(right, "id").explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    name.join(F.broadcast(spark.range(3)), "id").explain()
+    assert "BroadcastHashJoin" in capsys.readouterr().out
+
+
+def test_version_8_lists_tags_that_the_other_side_can_have(spark, checklist):
+    """Where all parts are known on both sides, a record is listed once for each way, not under tags of unknown parts."""
+    rows = "f|Felidae||family|accepted||\ng|Mus||genus|accepted|f|\n" + "\n".join(
+        f"s{i}|Mus minor{i % 5}|(Gray, {1800 + i % 3})|species|accepted|g|" for i in range(30))
+    run = Alignment(checklist(rows), checklist(rows), version=8)
+    species = run.records.filter("epithet <> '' and canonicalName like '% %'")
+    listed = M._lookups_v8(species, M._WAYS_V8).groupBy("nid").count()
+    assert {r["count"] for r in listed.collect()} == {len(M._WAYS_V8)}
+    # a key that the other side lacks is not listed at all
+    assert M._lookups_v8(species.filter("side = 'A' or epithet = 'minor1'"), M._WAYS_V8).filter("epithet <> '=minor1'").isEmpty()
