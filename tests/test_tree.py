@@ -159,3 +159,31 @@ def test_subset_by_chains_rings_and_forks(spark):
     assert got == set("abcdfgk")
     deep = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(200)], "id string, above string")
     assert T.reachable_ids(deep, "n150").count() == 51
+
+
+def test_sums_along_paths_against_a_walk(checklist, capsys):
+    """Also where rows repeat; and pairs read stored sums instead of exploding paths once for each of their ends."""
+    nodes = T.build_tree(checklist("""
+        a|A||order|accepted||
+        b|B||family|accepted|a|
+        c|C||genus|accepted|b|
+        d|C d||species|accepted|c|
+        e|C e||species|synonym||d
+        f|C f||species|accepted|c|
+        g|G||genus|accepted|b|"""))
+    for table in (nodes, nodes.unionByName(nodes.filter("taxonID in ('b', 'd', 'g')"))):
+        rows = table.collect()
+        want = {}
+        for r in rows:
+            n = want.setdefault(r.nid, [0, 0, 0])
+            for a in (x for up in r.path for x in rows if x.nid == up):
+                crowd = [max(x.n_children, 1) for x in rows if x.nid == a.sup] or [None]
+                for k in crowd:
+                    n[0] += a.relation == rcc5.LT
+                    n[1] += a.relation == rcc5.LE
+                    n[2] += (k or 1).bit_length() - 1
+        assert {r.nid: [r.n_lt, r.n_le, r.weight] for r in T.path_sums(table).collect()} == want
+    pairs = nodes.select(F.col("nid").alias("x")).join(nodes.select(F.col("nid").alias("y")))
+    for compared in (T.compare_in_tree_v8(pairs, nodes), T.lineage_distance(pairs, nodes)):
+        compared.explain()
+        assert "Generate" not in capsys.readouterr().out
