@@ -50,25 +50,27 @@ def joined(labels: DataFrame, links: DataFrame, whole: bool = False) -> DataFram
     forest, whose roots pointer jumping finds.  A component with several smaller neighbours
     may need another turn for the others; ``whole`` takes turns until no link leads from one
     component to another.
+
+    Most turns have few links, labels or hooks, so small ones may be broadcast.
     """
     while True:
         apart = labelled(links, labels).where("u_in <> v_in")
         hooks = apart.groupBy(F.greatest("u_in", "v_in").alias("c")).agg(F.min(F.least("u_in", "v_in")).alias("p"))
-        hooks = write(hooks.withColumn("open", F.lit(True)), "hooks")
+        hooks = write(hooks.withColumn("open", F.lit(True)), "hooks", merge=False)
         if hooks.isEmpty():
             drop(hooks)
             return labels
         while True:
             above = hooks.select(F.col("c").alias("p"), F.col("p").alias("q"), F.lit(True).alias("moved"))
             jumped = hooks.join(above, "p", "left").select("c", F.coalesce("q", "p").alias("p"), F.coalesce("moved", F.lit(False)).alias("open"))
-            jumped = write(jumped, "hooks")
+            jumped = write(jumped, "hooks", merge=False)
             drop(hooks)
             hooks = jumped
             if hooks.where("open").isEmpty():
                 break
         new = hooks.join(labels.select(F.col("node").alias("c")), "c", "left_anti").select(F.col("c").alias("node"), F.col("p").alias("component"))
         old = labels.join(hooks.select(F.col("c").alias("component"), "p"), "component", "left").select("node", F.coalesce("p", "component").alias("component"))
-        following = write(old.unionByName(new), "labels")
+        following = write(old.unionByName(new), "labels", merge=False)
         drop(labels, hooks)
         labels = following
         if not whole:

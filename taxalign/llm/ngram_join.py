@@ -439,7 +439,7 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         """Those of the screened pairs whose sets are similar, as a written table."""
         named = write(maybe.select(F.explode(F.array("u", "v")).alias("a")).distinct(), "named")
         sets = write(_sets(texts, known.join(named, "a").select("rep")), "tokens")
-        out = write(_verified(maybe.select("u", "v"), sets.join(named, "a", "left_semi")), "links")
+        out = write(_verified(maybe.select("u", "v"), sets.join(named, "a", "left_semi")), "links", merge=False)
         drop(sets, named)
         return out
 
@@ -465,7 +465,7 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         drop(*kept)
         return labels
 
-    labels = write(spark.createDataFrame([], "node long, component long"), "labels")
+    labels = write(spark.createDataFrame([], "node long, component long"), "labels", merge=False)
     labels = resolved(labels, _signed(_chains(entries, classes), classes))
     apart = write(_labelled(entries, labels), "apart")
     if not apart.isEmpty():

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from taxalign.staging import stage
 
 
-def write(df: DataFrame, label: str) -> DataFrame:
+def write(df: DataFrame, label: str, merge: bool = True) -> DataFrame:
     """Write ``df`` and return a scan of it: the plan is cut, lost executors cost nothing."""
-    out = stage(df, label)
+    out = stage(df, label, merge)
     out._written_at = out.inputFiles() and out.inputFiles()[0].rpartition("/")[0]
     return out
 

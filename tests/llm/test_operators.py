@@ -12,6 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from taxalign.llm import bpe, embedding_dedup, exact_dedup, html_text, language_id, mixing, ngram_join, quality, sharding, token_counts
+from taxalign.llm.components import joined, labelled
+from taxalign.llm.tables import write
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, hash string"
@@ -375,6 +377,17 @@ def test_quality_against_descent_over_all_rows(spark):
     assert held_out(w[used], t) < 1.25 * held_out(best_w, best_t) < nothing
 
 
+def test_small_labels_may_be_broadcast(spark, capsys):
+    """Components are joined in many turns over few rows, which need no shuffle each."""
+    labels = write(spark.createDataFrame([(5, 4)], "node long, component long"), "labels", merge=False)
+    links = write(spark.createDataFrame([(5, 6), (6, 1), (8, 9)], "u long, v long"), "links", merge=False)
+    out = joined(labels, links, whole=True)
+    spark.range(10).withColumnRenamed("id", "node").join(out, "node").explain()
+    assert "BroadcastHashJoin" in capsys.readouterr().out
+    near = {(r.u, r.v): (r.u_in, r.v_in) for r in labelled(links, out).collect()}
+    assert near == {(5, 6): (1, 1), (6, 1): (1, 1), (8, 9): (8, 8)}
+
+
 def test_quality(spark):
     rng = random.Random(6)
     tell = ("bad awful", "so plain", "fine great")
