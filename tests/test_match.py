@@ -339,6 +339,23 @@ def test_stored_tables_are_not_broadcast_unasked(spark, capsys):
     assert "BroadcastHashJoin" in capsys.readouterr().out
 
 
+def test_decisions_broadcast_no_matches(spark, checklist, capsys):
+    """The side of a join that is itself a join has no hint of its own; where no match is ambiguous it is all of them."""
+    rows = "f|Felidae||family|accepted||\ng|Mus||genus|accepted|f|\n" + "\n".join(f"s{i}|Mus minor{i}|Gray, 1850|species|accepted|g|" for i in range(5))
+    al = Alignment(checklist(rows), checklist(rows))
+    out = M.match_decisions(al.best, al.nodes, al.ties)
+    out.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+    assert {(r.spec + 1, r.outcome) for r in out.collect()} == {(r.v1, "match") for r in out.collect()}
+
+
+def test_names_are_parsed_once(checklist):
+    """Links read the rows twice; what they read has the parts of the names already."""
+    al = Alignment(checklist(HEAD), checklist(HEAD))
+    assert {(r.taxonID, r.parts.canonical) for r in al.rows.collect()} == {("f", "Fam"), ("g", "Genus"), ("h", "Hortus")}
+    assert al.nodes.filter("level > 1").count() == 6
+
+
 def test_version_8_lists_tags_that_the_other_side_can_have(spark, checklist):
     """Where all parts are known on both sides, a record is listed once for each way, not under tags of unknown parts."""
     rows = "f|Felidae||family|accepted||\ng|Mus||genus|accepted|f|\n" + "\n".join(
