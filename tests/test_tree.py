@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from taxalign.functions import rcc5
 from taxalign.operators import tree as T
 from taxalign.operators.numbering import number_within
+from taxalign.staging import stage
 
 SMALL = """
 r | Root     |  | family  | accepted |   |
@@ -34,6 +35,20 @@ def test_links_levels_and_counts(checklist):
     assert ids[rows["t"].species_nid] == "a" and ids[rows["t"].family_nid] == "r"
 
 
+def test_trees_broadcast_no_nodes(checklist, monkeypatch, capsys):
+    """A union of stored tables has no hint of its own: all rows were broadcast when they met their places."""
+    def told(df, *args):
+        df.explain()
+        return stage(df, *args)
+
+    monkeypatch.setattr(T, "stage", told)
+    out = T.build_tree(checklist(SMALL))
+    joins = [line for line in capsys.readouterr().out.splitlines() if "BroadcastHashJoin" in line]
+    # one row per sort partition is broadcast
+    assert joins and all("[_part" in line for line in joins)
+    assert out.filter("path is not null").count() == 8
+
+
 def test_in_tree_relations_of_all_pairs(checklist, spark):
     nodes = T.build_tree(checklist(SMALL))
     ids = {r.nid: r.taxonID for r in nodes.collect()}
