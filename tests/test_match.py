@@ -349,6 +349,19 @@ def test_decisions_broadcast_no_matches(spark, checklist, capsys):
     assert {(r.spec + 1, r.outcome) for r in out.collect()} == {(r.v1, "match") for r in out.collect()}
 
 
+def test_groups_meet_once(checklist, capsys):
+    """Marking a specimen's best class reads its groups once: one join of specimens with the sizes of groups."""
+    rows = HEAD + "1 | Genus a | Gray, 1850 | species | accepted | g |\n2 | Hortus b | Gray, 1850 | species | accepted | h |"
+    other = HEAD + "1 | Genus a | Gray, 1850 | species | accepted | g |\n2 | Hortus b | Gray, 1851 | species | accepted | h |"
+    al = Alignment(checklist(rows), checklist(other))
+    out = M.partner_groups(al.records)
+    out.explain()
+    plan = capsys.readouterr().out.split("Initial Plan")[-1]
+    assert plan.count("Join") == 1
+    tops = {(r.taxonID, r.side, r.cls, r.n): r.top for r in out.join(al.nodes.select(F.col("nid").alias("spec"), "taxonID"), "spec").collect()}
+    assert tops["1", "A", H.HOMOTYPIC, 1] and not tops["1", "B", H.CORRECTION, 1] and tops["2", "A", H.CORRECTION, 1]
+
+
 def test_names_are_parsed_once(checklist):
     """Links read the rows twice; what they read has the parts of the names already."""
     al = Alignment(checklist(HEAD), checklist(HEAD))
