@@ -379,3 +379,61 @@ def test_version_8_lists_tags_that_the_other_side_can_have(spark, checklist):
     assert {r["count"] for r in listed.collect()} == {len(M._WAYS_V8)}
     # a key that the other side lacks is not listed at all
     assert M._lookups_v8(species.filter("side = 'A' or epithet = 'minor1'"), M._WAYS_V8).filter("epithet <> '=minor1'").isEmpty()
+
+
+def test_best_matches_sort_no_texts_to_find_the_least(spark, capsys):
+    """The most important partner is the least of numbers, which needs no sorted aggregate of texts; ties go by specimen."""
+    rnd = random.Random(5)
+    rows = []
+    for nid in range(60):
+        importance = (rnd.randint(1, 2), 0, -rnd.randint(0, 1), 0, rnd.choice("ab"), "t")
+        part = lambda *of: rnd.choice([None, "", *of])
+        rows.append(("AB"[nid % 2], (nid - 2 * rnd.randint(0, 1)) % 60, nid, importance, "k", rnd.choice(["e", "e,1"]), part("G", "1,G"), part("T"), part("1"), part("F")))
+    struct = "struct<status int, form int, children int, synonyms int, scientific string, taxonID string>"
+    records = spark.createDataFrame(rows, f"side string, spec bigint, nid bigint, importance {struct}, key string, epithet string, genus string, token string, year string, family string")
+    out = M.best_matches(stage(records))
+    out.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
+
+    def ways(r):
+        side, spec, nid, importance, key, e, g, t, y, f = r
+        found = [(H.HOMOTYPIC, e, g, t, y, "")] if None not in (g, t, y) else []
+        found += [(H.CORRECTION, e, g, t, "", "")] if None not in (g, t) else []
+        found += [(H.CORRECTION, e, g, "", y, "")] if None not in (g, y) else []
+        return found + ([(H.MOTION, e, "", t, y, f)] if None not in (t, y, f) else [])
+
+    want = {}
+    for r in rows:
+        for q in rows:
+            for w in set(ways(r)) & set(ways(q)):
+                if r[0] != q[0]:
+                    cands = want.setdefault((r[0], r[1]), {})
+                    cls, least = cands.get(q[1], (w[0], q[3]))
+                    cands[q[1]] = (max(cls, w[0]), min(least, q[3]))
+    best = {}
+    for who, cands in want.items():
+        ranked = sorted((-cls, least, c) for c, (cls, least) in cands.items())
+        best[who] = (-ranked[0][0], ranked[0][2], ranked[1][2] if len(ranked) > 1 and ranked[1][0] == ranked[0][0] else None)
+    assert {(r.side, r.spec): (r.cls, r.first, r.second) for r in out.collect()} == best and len(best) > 20
+
+
+def test_theory_looks_up_paths_not_members(checklist, spark, capsys):
+    """Wanted nodes above members are found once per path; nodes without exemplars take the nearest above that has some."""
+    from taxalign.operators import theory as TH
+
+    tree = "f | Fam | | family | accepted | |\n" + "".join(f"g{i} | G{i} | | genus | accepted | f |\n" for i in range(4)) + "\n".join(
+        f"s{i} | G x{i} | | species | accepted | g{i % 4} |\nt{i} | G y{i} | | species | synonym | | s{i}" for i in range(24))
+    given = [(i, side, f"{'st'[i % 2]}{i}") for side in "AB" for i in range(0, 24, 3)]
+    al = Alignment(checklist(tree), checklist(tree), given_exemplars=spark.createDataFrame(given, "`exemplar id` bigint, checklist string, taxonID string"))
+    assert "parts" not in al.theory.nodes.columns
+    every = {tuple(r) for r in TH.blocks(al.theory.members).collect()}
+    for wanted in (al.nodes, al.nodes.filter("rank = 'species' and accepted"), al.nodes.filter("level > 99"), al.nodes.filter("level < 3")):
+        nids = {r.nid for r in wanted.collect()}
+        some = TH.blocks(al.theory.members, wanted)
+        assert {tuple(r) for r in some.collect()} == {r for r in every if r[0] in nids}
+    some.explain()
+    plan = capsys.readouterr().out
+    assert "Generate explode(_above" in plan and "Generate explode(path" not in plan
+    full = {r[0] for r in every}
+    for r in al.theory.nodes.collect():
+        assert r.central == [n for n in r.path if n in full][-1]
